@@ -8,7 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm.common import table
 from wayfarer.llm.near_text import near_text
+from wayfarer.llm.near_vectors import near_vectors
+from wayfarer.llm.packing import pack
 from wayfarer.llm.substring import repeated_spans
+from wayfarer.llm.token_files import token_files
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file, in the place where it is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,17 +37,39 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_embedding_near_dedup,
+        op2_token_files,
         op4_minhash_near_dedup,
         op9_substring_dedup,
+        op10_best_fit_packing,
     )
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        sides AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b
+            ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (
+            SELECT vec_id, vec_id AS seen FROM embeddings
+            UNION
+            SELECT r.vec_id, s.v FROM reach r JOIN sides s ON s.u = r.seen),
+        n AS (SELECT u, count(*) AS k FROM sides GROUP BY u)
+        SELECT r.vec_id, coalesce(any_value(n.k), 0)::BIGINT AS n_links, min(seen) AS component_id, min(seen) = r.vec_id AS kept
+        FROM reach r LEFT JOIN n ON n.u = r.vec_id GROUP BY r.vec_id""",
     "op4_minhash_near_dedup": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws
