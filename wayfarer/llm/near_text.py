@@ -10,9 +10,10 @@
    group of edited copies tends to be their original. All members are held against
    the pivot: one pair for each, however large the bucket is.
 4. Pairs whose sketches allow a similarity of 0.75 are confirmed on the full sets.
-5. Buckets whose members are in one component by now are done. In the others, all
-   pairs from different components are held against each other in blocks of bounded
-   size, again by sketch and then on full sets, so no candidate pair is given up.
+5. Buckets whose members are in one component by now are done. The others, united if
+   their largest component is the same, go to blocks of bounded size in which every
+   pair of different components is compared, again by sketch and then on full sets.
+   So no candidate pair is given up, and a block yields only the links that unite.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
 #: 128 samples differ on average (deviation 4.9) and 57 bits; 64 differing samples,
 #: over six deviations more, give about 101 bits.
 SKETCH_MOST = 106
-BLOCK = 512
+#: Members of a block, and outliers of a block.
+BLOCK = 256
 
 _rng = np.random.default_rng(4)
 _MUL = _rng.integers(1, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -100,24 +102,23 @@ def _sign(width: int):
     return run
 
 
-def _verify(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[int, np.ndarray] = {}
+def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for i, j, words in word_chunks(column, lower=True):
+        hashes = words.hashes()
+        out += [np.unique(shingles(hashes[words.first[k] : words.first[k + 1]], width)) for k in range(j - i)]
+    return out
 
-        def sets(ids: list, column: pa.Array) -> list[np.ndarray]:
-            out: list[np.ndarray] = []
-            for i, j, words in word_chunks(column, lower=True):
-                hashes = words.hashes()
-                out += [np.unique(shingles(hashes[words.first[k] : words.first[k + 1]], width)) for k in range(j - i)]
-            return out
 
+def _verify(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # The partner is the same for long runs of rows: hash it once.
             v = batch.column("v").to_pylist()
             fresh = [k for k in range(len(v)) if not k or v[k] != v[k - 1]]
-            cache = dict(zip(fresh, sets(v, batch.column("v_text").take(pa.array(fresh))), strict=True)) if fresh else {}
+            cache = dict(zip(fresh, _sets(batch.column("v_text").take(pa.array(fresh)), width), strict=True)) if fresh else {}
             ok, b = [], np.zeros(0, np.uint64)
-            for k, a in enumerate(sets(v, batch.column("u_text"))):
+            for k, a in enumerate(_sets(batch.column("u_text"), width)):
                 b = cache.get(k, b)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(bool(len(a)) and 100 * both >= percent * (len(a) + len(b) - both))
@@ -138,21 +139,64 @@ def _sketch_distance(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of one block that are of different components and near by sketch."""
-    ids, comp = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
-    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-    odd = table.column("outlier").to_numpy(zero_copy_only=False)
-    left = np.flatnonzero(odd) if key[3].as_py() else np.arange(len(ids))
-    us, vs = [], []
-    for i in left:
-        near = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1, dtype=np.int32) <= SKETCH_MOST
-        j = np.flatnonzero(near & (comp != comp[i]))
-        us.append(np.maximum(ids[i], ids[j]))
-        vs.append(np.minimum(ids[i], ids[j]))
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    pairs = np.unique(np.stack([u, v]), axis=1)
-    return pa.table({"u": pairs[0], "v": pairs[1]})
+def _common(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets u[i] and v[i]."""
+    if len(u) <= 2000:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(u, v, strict=True)], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = times > 1
+    owner, number = owner[again[number]], (np.cumsum(again) - 1)[number[again[number]]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(again.sum()), 4096):
+        a, b = np.searchsorted(number, [first, first + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[a:b], number[a:b] - first] = 1
+        both += held @ held.T
+    return both[u, v].astype(np.int64)
+
+
+def _settle(width: int, percent: int):
+    """One block: links on full sets that unite members of different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        # In a large group only outliers are compared, with all that are here.
+        left = np.flatnonzero(table.column("outlier").to_numpy(zero_copy_only=False))
+        pairs = []
+        for i in left:
+            apart = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1, dtype=np.int32)
+            j = np.flatnonzero((apart <= SKETCH_MOST) & (comp != comp[i]))
+            pairs.append(np.stack([np.full(len(j), i), j, apart[j]]))
+        u, v, apart = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+        links: dict[str, list[int]] = {"u": [], "v": []}
+        if len(u):
+            sets = _sets(table.column("text").combine_chunks(), width)
+            size = np.array([len(x) for x in sets])
+            both = _common(sets, u, v)
+            good = np.flatnonzero((100 * both >= percent * (size[u] + size[v] - both)) & (both > 0))
+            root = {c: c for c in comp.tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for k in good[np.argsort(apart[good], kind="stable")]:
+                a, b = find(int(comp[u[k]])), find(int(comp[v[k]]))
+                if a != b:
+                    root[a] = b
+                    links["u"].append(int(ids[u[k]]))
+                    links["v"].append(int(ids[v[k]]))
+        return pa.table(links, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    def block(table: pa.Table) -> pa.Table:
+        return run(table)
+
+    return block
 
 
 def near_text(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -197,24 +241,22 @@ def near_text(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     comps = components(links)
 
     # What is left: buckets that still hold more than one component.
-    placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("comp"))
+    placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
     by_comp = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
-    open_ = by_comp.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("all")).where("comps > 1")
-    open_ = open_.select("band", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.m")).alias("outliers"))
-    rest = placed.join(open_, "band").withColumn("outlier", F.col("comp") != F.col("main")).withColumn("large", F.col("n") > BLOCK)
-    parts = lambda c: F.when(F.col("large"), F.ceil(F.col(c) / BLOCK).cast("int")).otherwise(1)
-    at = lambda c: F.pmod(F.xxhash64("doc_id"), parts(c)).cast("int")
-    every = lambda c: F.sequence(F.lit(0), parts(c) - 1)
-    # Each block of members meets each block of outliers; outliers are among the members too.
-    as_member = rest.withColumn("i", at("n")).withColumn("j", F.explode(every("outliers"))).withColumn("outlier", F.lit(False)).where("large")
-    as_outlier = rest.where("outlier and large").withColumn("j", at("outliers")).withColumn("i", F.explode(every("n")))
+    open_ = by_comp.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("top.comp").alias("main"))
+    rest = staged(placed.join(open_, "band").select("main", "doc_id", "comp").distinct(), "rest")
+    size = rest.groupBy("main").agg(F.count("*").alias("n"), F.sum((F.col("comp") != F.col("main")).cast("int")).alias("m"))
+    rest = rest.join(size, "main").withColumn("outlier", F.col("comp") != F.col("main")).withColumn("large", F.col("n") > BLOCK)
+    at = lambda c: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(c) / BLOCK)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.ceil(F.col(c) / BLOCK).cast("int") - 1)
+    # Each block of members meets each block of outliers, which are members too.
     small = rest.where("not large").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    columns = ["band", "i", "j", "large", "doc_id", "comp", "outlier"]
+    as_member = rest.where("large").withColumn("i", at("n")).withColumn("j", F.explode(every("m"))).withColumn("outlier", F.lit(False))
+    as_outlier = rest.where("large and outlier").withColumn("j", at("m")).withColumn("i", F.explode(every("n")))
+    columns = ["main", "i", "j", "doc_id", "comp", "outlier"]
     blocks = small.select(columns).union(as_member.select(columns)).union(as_outlier.select(columns))
-    second = blocks.join(sketches, "doc_id").groupBy("band", "i", "j", "large").applyInArrow(_cross, "u long, v long").distinct()
-    known = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    second = staged(second.join(known, ["u", "v"], "left_anti"), "pairs")
-    more = confirmed(second, held, width, percent)
+    blocks = blocks.join(sketches, "doc_id").join(held, "doc_id").select(*columns, "sketch", "text")
+    more = blocks.groupBy("main", "i", "j").applyInArrow(_settle(width, percent), "u long, v long")
     groups = components(links.union(more).union(same))
     return signed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id",
