@@ -13,7 +13,7 @@ import numpy as np
 
 #: For vocabularies that drop white space: what lies between ASCII white space.
 WORDS = re.compile(r"[^\t-\r ]+")
-_EDGE = "\x1c-\x1f\x85\xa0  -     　"
+_EDGE = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: For vocabularies that keep it: white space and the text after it. Rarer kinds of
 #: white space, of which regex engines differ, are never a stretch's border.
 SPACED = re.compile(rf"[\s\x85]*[^\s\x85]+(?:[{_EDGE}][\s\x85]*(?:[^\s\x85]+|\Z))*|[\s\x85]+")

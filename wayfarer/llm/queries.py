@@ -10,8 +10,10 @@ from wayfarer.llm.common import table
 from wayfarer.llm.near_text import near_text
 from wayfarer.llm.near_vectors import near_vectors
 from wayfarer.llm.packing import pack
+from wayfarer.llm.quality import quality
 from wayfarer.llm.substring import repeated_spans
 from wayfarer.llm.token_files import token_files
+from wayfarer.llm.toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +35,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_embedding_near_dedup,
         op2_token_files,
         op4_minhash_near_dedup,
+        op6_quality_classifier,
+        op8_toxicity,
         op9_substring_dedup,
         op10_best_fit_packing,
     )

@@ -97,7 +97,8 @@ def _write(folder: str, vocabulary: str, end_id: int):
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [path], "docs": [len(writer.ids)], "tokens": [tokens]})
+            row = {"shard": [TaskContext.get().partitionId()], "path": [path], "docs": [len(writer.ids)], "tokens": [tokens]}
+            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     return run
 
