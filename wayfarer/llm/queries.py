@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfarer.llm.ann import nearest_vectors
 from wayfarer.llm.common import table
 from wayfarer.llm.near_text import near_text
 from wayfarer.llm.near_vectors import near_vectors
@@ -39,6 +40,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op7_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_files,
         op4_minhash_near_dedup,
         op6_quality_classifier,
+        op7_approximate_neighbours,
         op8_toxicity,
         op9_substring_dedup,
         op10_best_fit_packing,
