@@ -11,6 +11,7 @@ from wayfarer.llm.common import table
 from wayfarer.llm.near_text import near_text
 from wayfarer.llm.near_vectors import near_vectors
 from wayfarer.llm.packing import pack
+from wayfarer.llm.pieces import sampled_pieces_digest
 from wayfarer.llm.quality import quality
 from wayfarer.llm.substring import repeated_spans
 from wayfarer.llm.token_files import token_files
@@ -36,6 +37,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text(table(spark, sf_dir, "documents"))
 
 
+def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_embedding_near_dedup,
         op2_token_files,
         op4_minhash_near_dedup,
+        op3_sampled_pieces,
         op6_quality_classifier,
         op7_approximate_neighbours,
         op8_toxicity,
