@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm.ann import nearest_vectors
 from wayfarer.llm.common import table
+from wayfarer.llm.html_text import main_text
 from wayfarer.llm.near_text import near_text
 from wayfarer.llm.near_vectors import near_vectors
 from wayfarer.llm.packing import pack
@@ -41,6 +42,10 @@ def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -66,8 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_embedding_near_dedup,
         op2_token_files,
-        op4_minhash_near_dedup,
         op3_sampled_pieces,
+        op4_minhash_near_dedup,
+        op5_html_main_text,
         op6_quality_classifier,
         op7_approximate_neighbours,
         op8_toxicity,
