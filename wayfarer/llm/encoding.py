@@ -1,86 +1,193 @@
 """Token ids of whole texts, encoding each distinct stretch of text once.
 
-Both vocabularies' pre-tokenizers end a token wherever white space follows other
-text, so a text's ids are its stretches' ids one after another.
+Both kinds of vocabulary end a token wherever white space follows other text, and
+between a letter and punctuation. So a text falls into stretches whose ids, one
+after another, are the text's. Stretches are found and hashed with numpy, a few MB of
+text at a time; only those whose 64-bit hash was not met before go to the tokenizer,
+words of letters many in one call, told apart by the mark that the vocabulary puts at
+each word's end or beginning.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: For vocabularies that drop white space: what lies between ASCII white space.
-WORDS = re.compile(r"[^\t-\r ]+")
-_EDGE = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: For vocabularies that keep it: white space and the text after it. Rarer kinds of
-#: white space, of which regex engines differ, are never a stretch's border.
-SPACED = re.compile(rf"[\s\x85]*[^\s\x85]+(?:[{_EDGE}][\s\x85]*(?:[^\s\x85]+|\Z))*|[\s\x85]+")
+from wayfarer.llm.words import _BYTE_VALUE, _LOWER, Words, column, ranges_hash, split_rows
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".,;:!?")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Last two or three UTF-8 bytes of white space beyond ASCII (fixed values of Unicode).
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE2, _WIDE3 = ([int.from_bytes(b, "big") for b in _WIDE if len(b) == n] for n in (2, 3))
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def _ends_in_letter(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """ASCII letters, and those of two bytes that begin with 0xC3 (Latin-1)."""
+    last, before = data[end - 1], data[np.maximum(end - 2, 0)]
+    return _LETTER[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+
+
+def stretches(words: Words, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of the stretches, and the first stretch of each document.
+
+    Where white space counts (``spaced``) a stretch begins with that before it. Of
+    rarer kinds of white space, which regex engines tell apart differently, none is
+    ever a stretch's border.
+    """
+    data, start, end = words.data, words.start, words.end
+    stop = end.copy()
+    for _ in range(3):
+        stop -= _STOPS[data[stop - 1]] & (stop - start > 1)
+    cut = (stop < end) & _ends_in_letter(data, stop)
+    if not spaced:
+        starts = np.sort(np.concatenate([start, stop[cut]]))
+        ends = np.sort(np.concatenate([end, stop[cut]]))
+        return starts, ends, np.searchsorted(starts, words.offsets)
+    whole = data[end - 1] > 0x20
+    beyond = np.flatnonzero(data[end - 1] >= 0x80)
+    tails = sum(data[np.maximum(end[beyond] - 1 - k, 0)].astype(np.int64) << (8 * k) for k in range(3))
+    whole[beyond[np.isin(tails, _WIDE3) | np.isin(tails & 0xFFFF, _WIDE2)]] = False
+    borders = np.unique(np.concatenate([words.offsets, end[whole], stop[cut]]))
+    starts, ends = borders[:-1], borders[1:]
+    return starts, ends, np.searchsorted(starts, words.offsets)
 
 
 class Encoder:
     """One vocabulary in one process, with the ids of the stretches met so far."""
 
-    #: Characters of remembered stretches; beyond it the memory starts anew.
-    MOST = 6_000_000
+    #: Remembered stretches; beyond it the memory starts anew.
+    MOST = 4_000_000
 
-    def __init__(self, path: str, stretches: re.Pattern[str]):
+    def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
-        self.stretches = stretches
+        self.spaced = spaced
+        tokens = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(tokens.values()) + 1, bool)
+        for token, i in tokens.items():
+            self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.chars = 0
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        ids, lengths = [self.flat], []
-        for i in range(0, len(new), 10_000):
-            for e in self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False):
-                ids.append(np.array(e.ids, np.uint32))
-                lengths.append(len(ids[-1]))
-        for s in new:
-            self.number[s] = len(self.number)
-        start = len(self.flat) + np.cumsum([0, *lengths[:-1]])
-        self.flat = np.concatenate(ids)
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, lengths])
-        self.chars += sum(map(len, new))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.chars > self.MOST:
-            self._forget()
-        parts = [self.stretches.findall(t) for t in texts]
-        found: set[str] = set()
-        found.update(*parts)
-        if new := list(found.difference(self.number)):
-            self._learn(new)
-        out = []
-        for p in parts:
-            at = np.fromiter(map(self.number.__getitem__, p), np.int64, len(p))
-            n = self.length[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)])
-        return out
-
-
-def encoder(path: str, stretches: re.Pattern[str]) -> Encoder:
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.old, self.new = nothing, nothing  # sorted hashes and their numbers
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _simple(self, s: str) -> bool:
+        """One word of letters, behind one space where white space counts."""
+        if self.spaced:
+            return s[:1] == " " and s[1:].isalpha()
+        return s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha())
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these stretches, and how many each of them has."""
+        simple = np.fromiter(map(self._simple, texts), bool, len(texts))
+        order, ids, lengths, glue = [], [], [], "" if self.spaced else " "
+        at, others = np.flatnonzero(simple), [np.flatnonzero(~simple)]
+        for i in range(0, len(at), 10_000):
+            lines = [at[k : k + 100] for k in range(i, min(i + 10_000, len(at)), 100)]
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([glue.join([texts[k] for k in x]) for x in lines], add_special_tokens=False), strict=True):
+                x = np.array(e.ids, np.uint32)
+                edge = np.flatnonzero(self.edge[x])
+                size = np.diff(edge, append=len(x)) if self.spaced else np.diff(edge, prepend=-1)
+                if len(size) == len(line) and size.sum() == len(x):
+                    order.append(line)
+                    ids.append(x)
+                    lengths.append(size)
+                else:  # a letter here that the vocabulary's own rules don't take for one
+                    others.append(line)
+        rest = np.concatenate(others)
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)]
+            order.append(part)
+            ids.append(np.array([x for f in found for x in f], np.uint32))
+            lengths.append(np.array([len(f) for f in found], np.int64))
+        order_, flat, length = np.concatenate(order), np.concatenate(ids), np.concatenate(lengths)
+        back = np.argsort(order_)
+        begin = np.cumsum(length) - length
+        return flat[_ragged(begin[back], length[back])], length[back]
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+        known, number = table
+        if not len(known):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[at] == h, number[at], -1)
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each stretch, after learning those not met before."""
+        h, at, inverse = np.unique(ranges_hash(_BYTE_VALUE[data], start, end), return_index=True, return_inverse=True)
+        number = self._find(self.old, h)
+        lost = np.flatnonzero(number < 0)
+        number[lost] = self._find(self.new, h[lost])
+        lost = lost[number[lost] < 0]
+        if len(lost):
+            raw = data.tobytes()
+            ids, length = self._ids([raw[a:b].decode() for a, b in zip(start[at[lost]].tolist(), end[at[lost]].tolist(), strict=True)])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            number[lost] = len(self.start) + np.arange(len(lost))
+            self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length.astype(np.int32)])
+            self.used += len(ids)
+            self.new = self._merged(self.new, (h[lost], number[lost].astype(np.int32)))
+            if len(self.new[0]) > max(100_000, len(self.old[0]) // 4):
+                self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        return number[inverse]
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+    def encode(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
+        """Ids of each text of a string column, in runs of a few MB; nulls are empty."""
+        data, offsets = column(texts)
+        for i, j in split_rows(np.diff(offsets)):
+            if len(self.start) > self.MOST:
+                self._forget()
+            a, b = offsets[i], offsets[j]
+            part = data[a:b] if self.spaced else _LOWER[data[a:b]]  # the other kind lower-cases
+            words = Words(part, offsets[i : j + 1] - a)
+            start, end, first = stretches(words, self.spaced)
+            number = self._numbers(part, start, end) if len(start) else np.zeros(0, np.int64)
+            n = self.length[number].astype(np.int64)
+            ids = self.flat[_ragged(self.start[number], n)]
+            bounds = np.concatenate([[0], np.cumsum(n)])[first]
+            yield [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of several ranges, one after another."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def encoder(path: str, spaced: bool) -> Encoder:
     """This process's encoder for a vocabulary file that every executor has."""
-    key = (path, stretches.pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, stretches)
-    return _ENCODERS[key]
+    if (path, spaced) not in _ENCODERS:
+        _ENCODERS[path, spaced] = Encoder(path, spaced)
+    return _ENCODERS[path, spaced]
 
 
-def batches_of(texts: list[str], chars: int = 2_000_000):
+def batches_of(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts with about so many characters."""
     i = 0
     while i < len(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import staged, texts
-from wayfarer.llm.encoding import SPACED, batches_of, encoder
+from wayfarer.llm.encoding import encoder
 
 
 def cut_points(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -34,12 +34,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, task, seen = encoder(vocabulary, SPACED), TaskContext.get().partitionId(), Counter()
+        code, task, seen = encoder(vocabulary, spaced=True), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            ids, found = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in batches_of(found):
+            ids = iter(batch.column("doc_id").to_pylist())
+            for part in code.encode(batch.column("text")):
                 rows = []
-                for doc_id, x in zip(ids[i:j], code.encode(found[i:j]), strict=True):
+                for x in part:
+                    doc_id = next(ids)
                     plain = np.append(x, np.uint32(end_id)).astype("<u4").tobytes()
                     for piece, (start, n) in enumerate(cut_points(len(plain) // 4, capacity)):
                         rows.append((doc_id, piece, start, n, zlib.crc32(plain[4 * start : 4 * (start + n)]), task, seen[n]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import scratch, staged, texts
-from wayfarer.llm.encoding import WORDS, batches_of, encoder
+from wayfarer.llm.encoding import encoder
 
 # Fixed values of the seekable format: skippable frame, its footer, and a flag for checksums.
 _SKIPPABLE, _FOOTER, _CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -84,15 +84,15 @@ def _write(folder: str, vocabulary: str, end_id: int):
         # Each attempt has a file of its own; only those named in the manifest count.
         path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid4().hex}.ids.zst"
         store, at = fs.FileSystem.from_uri(path)
-        writer, tokens, code = None, 0, encoder(vocabulary, WORDS)
+        writer, tokens, code = None, 0, encoder(vocabulary, spaced=False)
         for batch in batches:
             if writer is None:
                 out = store.open_output_stream(at, compression=None)
                 writer = Writer(out)
-            ids, found = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in batches_of(found):
-                for doc_id, x in zip(ids[i:j], code.encode(found[i:j]), strict=True):
-                    writer.add(doc_id, np.append(x, np.uint32(end_id)))
+            ids = iter(batch.column("doc_id").to_pylist())
+            for part in code.encode(batch.column("text")):
+                for x in part:
+                    writer.add(next(ids), np.append(x, np.uint32(end_id)))
                     tokens += len(x) + 1
         if writer is not None:
             writer.close()

@@ -22,7 +22,7 @@ from wayfarer.llm.words import _BYTE_VALUE, Words, ranges_hash, word_chunks
 
 BUCKETS, DIM, STRETCH = 1 << 17, 8, 2
 #: The fit's bound: so many labelled documents of each class at most.
-EACH = 2000
+EACH = 1000
 ROUNDS = 40
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -116,7 +116,7 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
         number, start, end = distinct_words(w)
         word, bucket = grams(w.data, start, end)
         numbers.append(number + base)
-        words_of.append(np.stack([word + base, bucket]))
+        words_of.append(np.stack([word + base, bucket]).astype(np.int32))
         first += (w.first[1:] + seen).tolist()
         base, seen = base + len(start), seen + len(number)
     if not seen:
@@ -138,10 +138,15 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
             wt = np.where(target == k, wt * 0.2 / share, wt * 0.8 / (1 - share))
     # Embeddings begin along the softmax direction, as far as a bucket's documents lean
     # to one class and are many enough to tell; else the first maxima would be chance.
-    has = np.unique(np.repeat(np.arange(len(first) - 1), np.diff(first))[np.repeat(np.arange(len(number)), size[number])] * BUCKETS + bucket_of[_ragged(gram_at[number], size[number])])
-    doc, gram = has // BUCKETS, has % BUCKETS
-    toxic = np.bincount(gram, y[doc] == 1, BUCKETS)
-    clean = np.bincount(gram, y[doc] == 0, BUCKETS)
+    toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    doc_of_word = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for a in range(0, len(number), 100_000):
+        part = np.unique(doc_of_word[a : a + 100_000] * np.int64(base) + number[a : a + 100_000])
+        doc, w = part // base, part % base
+        has = np.unique(np.repeat(doc, size[w]) * BUCKETS + bucket_of[_ragged(gram_at[w], size[w])])
+        bad = y[has // BUCKETS] == 1
+        toxic += np.bincount(has[bad] % BUCKETS, minlength=BUCKETS)
+        clean += np.bincount(has[~bad] % BUCKETS, minlength=BUCKETS)
     lean = np.log((toxic + 0.5) / ((y == 1).sum() + 1)) - np.log((clean + 0.5) / ((y == 0).sum() + 1))
     lean *= np.where(lean > 0, toxic / (toxic + 8), clean / (clean + 8)) * (toxic + clean > 1)
     embed += (lean[:, None] * soft[None, :] / (soft @ soft)).astype(np.float32)
