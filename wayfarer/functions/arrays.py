@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def distinct_ignoring_case(c: Column) -> Column:
     """Trimmed values in order, the first spelling of each; blanks and nulls go."""
-    bare = F.filter(F.transform(c, F.trim), lambda x: x.isNotNull() & (x != ""))
+    bare = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     low = F.transform(bare, F.lower)
     return F.filter(bare, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 

@@ -53,7 +53,8 @@ def months_service(start: Column, end: Column, as_of: Column | None = None) -> C
     now = F.year(day) * 12 + F.month(day)
     open_end = end.isNull() | (F.trim(end) == "") | is_current(end)
     last = F.when(open_end, now).otherwise(month_index_strict(end))
-    return F.greatest(last - month_index_strict(start), F.lit(0)) + (last * 0)
+    months = last - month_index_strict(start)
+    return F.when(months.isNotNull(), F.greatest(months, F.lit(0)))  # greatest alone skips nulls
 
 
 def expires_at(issued: Column, hours: int) -> Column:

@@ -25,9 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
+def clamped(x: Column) -> Column:
+    """Within 0 and 1; null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
 def match_score(a: Column, b: Column) -> Column:
     """1 minus cosine distance, within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))
+    return clamped(cosine(a, b))
 
 
 def sigmoid(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.sources.shared import settled
+
 
 def unpivot(wide: DataFrame, keys: list[str], fields: list[str], slots: int, count: str) -> DataFrame:
     """One row for each filled slot: keys, experience_number and the fields.
@@ -86,7 +88,7 @@ def vocabulary(df: DataFrame, value: str, unknown: str | None = None) -> DataFra
     every = df.select(F.col(value).alias("value")).where("value is not null")
     if unknown is not None:
         every = every.union(df.sparkSession.createDataFrame([(unknown,)], "value string"))
-    order = every.distinct().repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("p"))
+    order = settled(every.distinct().repartitionByRange("value").select("value", F.spark_partition_id().alias("p")), "vocabulary")
     within = order.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("value")))
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     base = order.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions.vectors import dot
+from wayfarer.functions.vectors import clamped, dot
 
 
 @dataclass(frozen=True)
@@ -46,10 +46,10 @@ def filtered(df: DataFrame, spec: RankSpec) -> DataFrame:
 
 def ordered(df: DataFrame, spec: RankSpec, key: str) -> list[Column]:
     if spec.sort == "score":
-        first = [F.desc("score") if spec.order == "desc" else F.asc("score")]
+        first = [F.desc_nulls_last("score") if spec.order == "desc" else F.asc_nulls_last("score")]
     else:
         c = F.col(spec.sort)
-        first = [c.desc_nulls_last() if spec.order == "desc" else c.asc_nulls_last(), F.desc("score")]
+        first = [c.desc_nulls_last() if spec.order == "desc" else c.asc_nulls_last(), F.desc_nulls_last("score")]
     return [*first, F.asc(key)]
 
 
@@ -61,7 +61,7 @@ def rank_page(items: DataFrame, user: DataFrame, spec: RankSpec, key: str = "id"
     """
     spec = spec.clean(items.columns)
     one = user.select(F.col(vec).alias("_u")).limit(1)
-    scored = filtered(items, spec).crossJoin(F.broadcast(one)).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col(vec), F.col("_u")))))
+    scored = filtered(items, spec).crossJoin(F.broadcast(one)).withColumn("score", clamped(dot(F.col(vec), F.col("_u"))))
     total = scored.agg(F.count("*").alias("total"))
     top = scored.drop("_u", vec).orderBy(*ordered(scored, spec, key)).offset((spec.page - 1) * spec.page_size).limit(spec.page_size)
     return top.crossJoin(F.broadcast(total))
@@ -71,7 +71,7 @@ def scores_for(items: DataFrame, user: DataFrame, ids: list[int], key: str = "id
     """Scores of the first ``most`` distinct ids."""
     asked = list(dict.fromkeys(ids))[:most]
     one = user.select(F.col(vec).alias("_u")).limit(1)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col(vec), F.col("_u"))))
+    score = clamped(dot(F.col(vec), F.col("_u")))
     return items.where(F.col(key).isin(asked)).crossJoin(F.broadcast(one)).select(key, score.alias("score"))
 
 
@@ -96,11 +96,12 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, bank_rows: int, most: i
 
     A bank of up to ``most`` rows (``bank_rows`` is its counted size) is broadcast as
     one matrix and each batch of queries is multiplied with it. A greater bank is cut
-    into blocks, each of which keeps its own top k of every query before they meet.
+    into blocks, and so are the queries; each block of the bank meets each block of
+    queries and keeps its own top k of every query before they come together.
     """
     blocks = max(1, -(-bank_rows // most))
-    parts = bank.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("b")
-    ask = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("t", F.pmod(F.xxhash64("query"), F.lit(64)).cast("int"))
+    turns = 1 if blocks == 1 else max(1, -(-queries.count() // most))
+    ask = queries.select("query", "vec").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("t", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int"))
     if blocks == 1:
         rows = bank.orderBy("id").toPandas()
         ids, matrix = rows["id"].to_numpy(), np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1)
@@ -119,7 +120,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, bank_rows: int, most: i
             matrix = np.array(order.column("vec").to_pylist(), np.float64).reshape(len(order), -1)
             return _best(right.column("query").combine_chunks(), right.column("vec").combine_chunks(), order.column("id").to_numpy(), matrix, k)
 
-        spread = bank.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        spread = bank.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
         parts = spread.groupBy("b", "t")
         found = parts.cogroup(ask.groupBy("b", "t")).applyInArrow(block, "query long, id long, score double")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -157,13 +158,92 @@ def ranking_metrics(df: DataFrame, rank: Column, cutoff: int | None, groups: lis
 
 def full_bank_rank(pairs: DataFrame, key: str, true: Column) -> DataFrame:
     """1 + how many candidates score above the true one; ties count for it."""
-    return pairs.groupBy(key).agg(F.max(F.when(true, F.col("score"))).alias("_t"), F.collect_list("score").alias("_s")).select(key, (F.size(F.filter("_s", lambda s: s > F.col("_t"))) + 1).alias("rank"))
+    best = pairs.where(true).groupBy(key).agg(F.max("score").alias("_t"))
+    return pairs.join(best, key).groupBy(key).agg((F.count_if(F.col("score") > F.col("_t")) + 1).alias("rank"))
 
 
-def multi_vector_best(scored: DataFrame, query: str, concept: str) -> DataFrame:
-    """Each concept's best label and its score."""
-    best = F.struct(F.col("score"), (-F.col("label_id")).alias("m"))
-    return scored.groupBy(query, concept).agg(F.max("score").alias("score"), (-F.max(best)["m"]).alias("label_id"))
+def best_per_concept(queries: DataFrame, labels: DataFrame, rows: int, most: int = 20_000) -> DataFrame:
+    """(query, concept, label_id, score): each concept's best label, ties to the smaller id.
+
+    The labels lie in blocks; in a block only each concept's best label of a query is
+    kept, so no pair of query and label ever leaves it.
+    """
+    blocks = max(1, -(-rows // most))
+    schema = "query long, concept long, label_id long, score double"
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query": [], "concept": [], "label_id": [], "score": []}
+        if left.num_rows and right.num_rows:
+            order = left.sort_by([("concept", "ascending"), ("id", "ascending")])
+            ids, concept = order.column("id").to_numpy(), order.column("concept").to_numpy()
+            heads = np.flatnonzero(np.diff(concept, prepend=concept[0] - 1))
+            matrix, ask = (np.array(t.column("vec").to_pylist(), np.float64) for t in (order, right))
+            for at in range(0, len(ask), 256):
+                scores = ask[at : at + 256] @ matrix.T
+                top = np.maximum.reduceat(scores, heads, axis=1)
+                for k, (a, b) in enumerate(zip(heads, np.append(heads[1:], len(ids)), strict=True)):
+                    out["query"] += right.column("query").to_numpy()[at : at + 256].tolist()
+                    out["concept"] += [int(concept[a])] * len(scores)
+                    out["label_id"] += ids[a + scores[:, a:b].argmax(axis=1)].tolist()
+                    out["score"] += top[:, k].tolist()
+        return pa.table(out, schema=pa.schema([("query", pa.int64()), ("concept", pa.int64()), ("label_id", pa.int64()), ("score", pa.float64())]))
+
+    left = labels.select(F.col("id").cast("long").alias("id"), F.col("concept").cast("long").alias("concept"), "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    right = queries.select("query", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    found = left.groupBy("b").cogroup(right.groupBy("b")).applyInArrow(block, schema)
+    best = F.max(F.struct("score", (-F.col("label_id")).alias("m"))).alias("t")
+    return found.groupBy("query", "concept").agg(best).select("query", "concept", (-F.col("t.m")).alias("label_id"), F.col("t.score").alias("score"))
+
+
+def _pair_blocks(bank: DataFrame, most: int) -> DataFrame:
+    """Each row in all pairs of blocks (i, j), i <= j, that its own block b is in."""
+    blocks = max(1, -(-bank.count() // most))
+    rows = bank.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    other = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return other.select("id", "vec", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+
+def _block_scores(table: pa.Table, first: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of rows and columns, and their inner products; pairs not to be counted are -inf."""
+    b = table.column("b").to_numpy()
+    matrix, ids = np.array(table.column("vec").to_pylist(), np.float64), table.column("id").to_numpy()
+    rows, cols = np.flatnonzero(b == first), np.flatnonzero(b == second)
+    if not len(rows) or not len(cols):
+        return ids[rows], ids[cols], np.zeros((len(rows), len(cols)))
+    scores = matrix[rows] @ matrix[cols].T
+    if first == second:
+        scores[ids[rows][:, None] >= ids[cols][None, :]] = -np.inf
+    return ids[rows], ids[cols], scores
+
+
+def similarity_histogram(bank: DataFrame, thresholds: list[float], most: int = 2_000) -> DataFrame:
+    """(threshold, n, percent): pairs of different rows above each threshold.
+
+    Rows meet in pairs of bounded blocks, which yield counts and no pairs.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, _, scores = _block_scores(table, key[0].as_py(), key[1].as_py())
+        every = int((scores > -np.inf).sum())
+        return pa.table({"threshold": thresholds, "n": [int((scores > t).sum()) for t in thresholds], "pairs": [every] * len(thresholds)})
+
+    counts = _pair_blocks(bank, most).groupBy("i", "j").applyInArrow(run, "threshold double, n long, pairs long")
+    return counts.groupBy("threshold").agg(F.sum("n").alias("n"), (100.0 * F.sum("n") / F.sum("pairs")).alias("percent"))
+
+
+def top_pairs(bank: DataFrame, k: int, most: int = 2_000) -> DataFrame:
+    """(u, v, score): the k most similar pairs of different rows, u < v."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        u, v, scores = _block_scores(table, key[0].as_py(), key[1].as_py())
+        floor = np.partition(scores.ravel(), -k)[-k] if scores.size > k else -np.inf
+        r, c = np.nonzero((scores >= floor) & (scores > -np.inf))
+        a, b = np.minimum(u[r], v[c]), np.maximum(u[r], v[c])
+        order = np.lexsort([b, a, -scores[r, c]])[:k]
+        return pa.table({"u": a[order], "v": b[order], "score": scores[r, c][order]})
+
+    found = _pair_blocks(bank, most).groupBy("i", "j").applyInArrow(run, "u long, v long, score double")
+    return found.orderBy(F.desc("score"), "u", "v").limit(k)
 
 
 def hybrid(label_score: Column, concept_score: Column, concrete: Column) -> Column:

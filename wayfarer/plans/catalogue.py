@@ -1,7 +1,8 @@
 """All registered queries; importing the modules fills the registry."""
 
 from wayfarer.operators.registry import QUERIES, SQL
+from wayfarer.plans import careers, merges, rankings, vectors
 
 FLAGSHIP = "rank_score_desc"
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "careers", "merges", "rankings", "vectors"]
