@@ -27,6 +27,8 @@ DIM, ROWS, HIDDEN = 32, 1 << 14, 32
 EACH = 2500
 #: Distinct words that get a vector of their own, the most frequent in the sample.
 VOCABULARY = 20_000
+#: Bytes of text that the fit works on at a time.
+PART = 1 << 19
 
 _rng = np.random.default_rng(6)
 _INDEX = np.zeros((ROWS, DIM), np.float32)
@@ -78,10 +80,14 @@ def _contexts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
     names, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(names))
-    total = np.zeros((len(names), DIM))
-    np.add.at(total, inverse, np.concatenate([p[2] for p in parts]))
     keep = np.sort(np.lexsort([names, -counts])[:most])
-    total = total[keep]
+    place = np.full(len(names), -1)
+    place[keep] = np.arange(len(keep))
+    total, at = np.zeros((len(keep), DIM)), 0
+    for part in parts:  # names are distinct within a part
+        where = place[inverse[at : at + len(part[0])]]
+        total[where[where >= 0]] += part[2][where >= 0]
+        at += len(part[0])
     return names[keep], (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -154,11 +160,12 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     if len(found) < 10 or y.min() == y.max():
         return Model(None, [], (np.zeros(1), np.ones(1)), 1.0, prior)
     parts: list[list] = [[], []]
-    for _, _, words in word_chunks(pa.array(found, pa.string())):
+    # Small parts keep the driver's memory low: a word's context takes DIM numbers.
+    for _, _, words in word_chunks(pa.array(found, pa.string()), most=PART):
         for s, h in enumerate(tokens(words)):
             parts[s].append(_contexts(h, words.first))
     vectors = Vectors(_merge(parts[0], VOCABULARY), _merge(parts[1], VOCABULARY))
-    x = np.concatenate([vectors.pooled(words) for _, _, words in word_chunks(pa.array(found, pa.string()))])
+    x = np.concatenate([vectors.pooled(words) for _, _, words in word_chunks(pa.array(found, pa.string()), most=PART)])
     # Every fifth document calibrates the temperature; the others train.
     apart = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[~apart])) < 2 or not apart.any():

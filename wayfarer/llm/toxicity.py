@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
 from wayfarer.llm.labelled import sample, sigmoid
-from wayfarer.llm.words import _BYTE_VALUE, Words, ranges_hash, word_chunks
+from wayfarer.llm.words import _BYTE_VALUE, Words, ranges_hash, split_rows, word_chunks
 
 BUCKETS, DIM, STRETCH = 1 << 17, 8, 2
 #: The fit's bound: so many labelled documents of each class at most.
@@ -28,14 +28,14 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which distinct word each word is, without punctuation around it, and where one stands."""
+def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which distinct word each word is, without punctuation around it; hashes and places of these."""
     start, end = words.start.copy(), words.end.copy()
     for _ in range(3):
         start += _PUNCT[words.data[start]] & (end - start > 1)
         end -= _PUNCT[words.data[end - 1]] & (end - start > 1)
-    _, at, number = np.unique(ranges_hash(_BYTE_VALUE[words.data], start, end), return_index=True, return_inverse=True)
-    return number, start[at], end[at]
+    h, at, number = np.unique(ranges_hash(_BYTE_VALUE[words.data], start, end), return_index=True, return_inverse=True)
+    return number, h, start[at], end[at]
 
 
 def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ class Model:
         n_docs = len(words.first) - 1
         out = np.full(n_docs, self.empty)
         if len(words.start):
-            number, start, end = distinct_words(words)
+            number, _, start, end = distinct_words(words)
             word, bucket = grams(words.data, start, end)
             size = np.bincount(word, minlength=len(start))
             logit = (np.bincount(word, self.share[bucket], len(start)) / size)[number]
@@ -107,25 +107,31 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     soft, bias = rng.normal(0, 1, DIM), float(np.log(prior / (1 - prior)))
     if len(found) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS), bias, prior)
-    parts = [(i, j, w) for i, j, w in word_chunks(pa.array(found, pa.string()), lower=True)]
-    numbers, words_of, first, base, seen = [], [], [0], 0, 0
-    for _, _, w in parts:
+    # Small parts, and n-grams once for each distinct word of the sample: the driver's
+    # memory holds no more than their buckets, word by word.
+    known, known_id = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    numbers, buckets, sizes, first, base, seen = [], [], [], [0], 0, 0
+    for _, _, w in word_chunks(pa.array(found, pa.string()), lower=True, most=1 << 19):
+        first += (w.first[1:] + seen).tolist()
         if not len(w.start):
-            first += [seen] * (len(w.first) - 1)
             continue
-        number, start, end = distinct_words(w)
-        word, bucket = grams(w.data, start, end)
-        numbers.append(number + base)
-        words_of.append(np.stack([word + base, bucket]).astype(np.int32))
-        first += (w.first[1:] + seen).tolist()
-        base, seen = base + len(start), seen + len(number)
+        number, h, start, end = distinct_words(w)
+        at = np.searchsorted(known, h)
+        old = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+        new = np.flatnonzero(~old)
+        ids = np.empty(len(h), np.int64)
+        ids[old], ids[new] = known_id[at[old]], base + np.arange(len(new))
+        known, known_id = np.insert(known, at[new], h[new]), np.insert(known_id, at[new], ids[new])
+        word, bucket = grams(w.data, start[new], end[new])
+        buckets.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(word, minlength=len(new)))
+        numbers.append(ids[number])
+        base, seen = base + len(new), seen + len(number)
     if not seen:
         return Model(np.zeros(BUCKETS), bias, prior)
-    number, (word, bucket) = np.concatenate(numbers), np.concatenate(words_of, axis=1)
-    size = np.bincount(word, minlength=base)
+    number, bucket_of, size = np.concatenate(numbers), np.concatenate(buckets), np.concatenate(sizes)
+    del numbers, buckets, known, known_id
     gram_at = np.concatenate([[0], np.cumsum(size)])
-    by_word = np.argsort(word, kind="stable")
-    bucket_of = bucket[by_word]
     starts, many = _stretches(np.array(first))
     some = np.flatnonzero(many)
     doc_at = (np.cumsum(many) - many)[some]
@@ -140,8 +146,9 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     # to one class and are many enough to tell; else the first maxima would be chance.
     toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
     doc_of_word = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for a in range(0, len(number), 100_000):
-        part = np.unique(doc_of_word[a : a + 100_000] * np.int64(base) + number[a : a + 100_000])
+    for i, j in split_rows(np.diff(first), 20_000):
+        a, b = first[i], first[j]
+        part = np.unique(doc_of_word[a:b] * np.int64(base) + number[a:b])
         doc, w = part // base, part % base
         has = np.unique(np.repeat(doc, size[w]) * BUCKETS + bucket_of[_ragged(gram_at[w], size[w])])
         bad = y[has // BUCKETS] == 1
@@ -153,7 +160,7 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     seen_embed, seen_soft, seen_bias = np.full(BUCKETS, 1e-8), np.full(DIM, 1e-8), 1e-8
     for _ in range(ROUNDS):
         share = embed @ soft
-        logit = (np.bincount(word, share[bucket], base) / size)[number]
+        logit = (np.add.reduceat(share[bucket_of], gram_at[:-1]) / size)[number]
         stretch = _means(logit, starts, len(number))
         # The stretch with each document's greatest logit.
         top = np.maximum.reduceat(stretch, doc_at)

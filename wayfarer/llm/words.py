@@ -110,10 +110,10 @@ def column(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_chunks(array: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, their words) for parts of a column of a few MB each."""
+def word_chunks(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, their words) for parts of a column of ``most`` bytes each."""
     data, offsets = column(array)
-    for i, j in split_rows(np.diff(offsets)):
+    for i, j in split_rows(np.diff(offsets), most):
         a, b = offsets[i], offsets[j]
         yield i, j, Words(data[a:b], offsets[i : j + 1] - a, lower)
 
