@@ -1,20 +1,26 @@
-"""Bounded samples of labelled documents, for fitting classifiers on the driver."""
+"""Classifiers fitted on bounded samples of labelled documents."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most ``each`` labelled documents of either class.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, each: int, fit: Callable[[list[str], np.ndarray, np.ndarray], Any]) -> Any:
+    """``fit(texts, labels, weights)`` on at most ``each`` labelled documents of either class.
 
     Documents that are held out are never among them. Which ones are chosen depends
     on a hash of the id alone; the weights restore the classes' shares among all
-    labelled rows. Only chosen ids are broadcast and only chosen texts collected.
+    labelled rows. The bounded sample meets in one task, which returns the model: the
+    driver holds neither its texts nor what the fit makes of them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -22,11 +28,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> tuple[l
     order = F.xxhash64("doc_id", F.lit(label))
     parts = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(each) for y in (0, 1)]
     chosen = parts[0].union(parts[1])
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", "text").toPandas()
-    y = rows["y"].to_numpy(np.int64)
-    got = np.bincount(y, minlength=2)
-    weight = np.array([shares.get(k, 0) / max(1, got[k]) for k in (0, 1)])[y]
-    return rows["text"].tolist(), y, weight / weight.mean() if len(weight) else weight
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", order.alias("place"))
+
+    def model(found: list[str], y: np.ndarray) -> Any:
+        got = np.bincount(y, minlength=2)
+        weight = np.array([shares.get(k, 0) / max(1, got[k]) for k in (0, 1)])[y]
+        return fit(found, y, weight / weight.mean() if len(weight) else weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if sum(b.num_rows for b in parts):
+            all_ = pa.Table.from_batches(parts).sort_by([("place", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+            made = model(all_.column("text").to_pylist(), all_.column("y").to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else model([], np.zeros(0, np.int64))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
-from wayfarer.llm.labelled import sample, sigmoid
+from wayfarer.llm.labelled import fitted, sigmoid
 from wayfarer.llm.words import _BYTE_VALUE, Words, mix, ranges_hash, word_chunks
 
 DIM, ROWS, HIDDEN = 32, 1 << 14, 32
@@ -200,6 +200,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, each: in
     no labels: one half). Rows with null or repeated ids are scored like all others;
     a null id isn't held out. Other columns are ignored. No rows give no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, "quality", each)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, "quality", each, fit))
     plain = texts(docs).withColumn("held_out", held_out("doc_id"))
     return plain.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
