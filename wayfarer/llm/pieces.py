@@ -169,7 +169,8 @@ class Lattice:
         # One stream of draws for each occurrence: (key of the row, number of the unit).
         within = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         seed = mix(np.repeat(np.array(keys, np.int64).view(np.uint64), size) + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        node, live, steps = self.end[at], np.arange(len(at)), []
+        # Occurrences of one unit are drawn next to each other, so that searches stay near.
+        node, live, steps = self.end[at], np.argsort(at, kind="stable"), []
         t = 0
         while len(live):
             draw = (mix(seed[live] + np.uint64(t * 0xD1B54A32D192ED03 % 2**64)) >> np.uint64(11)) * 2.0**-53
@@ -184,8 +185,11 @@ class Lattice:
         occurrence, ids = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 2
         # Steps were drawn from the end, so later steps come first within an occurrence.
         step = np.repeat(np.arange(len(steps)), [len(s[0]) for s in steps])
-        ids = ids[np.lexsort([-step, occurrence])]
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(parts)), size)[occurrence], minlength=len(parts)))]).astype(np.int64)
+        many = np.bincount(occurrence, minlength=len(at))
+        ends = np.cumsum(many)
+        drawn = np.empty(len(ids), np.int64)
+        drawn[ends[occurrence] - 1 - step] = ids
+        ids, bounds = drawn, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(size)])].astype(np.int64)
         return [self._bytes(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _bytes(self, ids: np.ndarray) -> np.ndarray:
