@@ -209,6 +209,21 @@ def test_nearest_vectors(spark):
     assert set(got) == set(range(0, 900, 20)) and hit >= 0.9 * 20 * len(got)
 
 
+def test_nearest_vectors_inside_a_group_of_near_copies(spark):
+    """400 vectors that differ by less than estimates can tell, in the one list there is."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((500, 16))
+    x[:400] = x[0] + 1e-7 * rng.standard_normal((400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in ann.nearest_vectors(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s)[:20].tolist()
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>home</a> <a href=/x>news</a></nav>
     <div class="cookie-notice"><p>We use cookies on this site to give you more.</p></div>

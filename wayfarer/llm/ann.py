@@ -5,7 +5,9 @@ the residual, is stored as its length and one byte for every two dimensions of i
 direction, each the number of a trained codeword; so estimates are the finer the
 closer a list's vectors lie together. A query visits the lists whose centroids are nearest to it; there
 its inner products with all codewords, the asymmetric distance table, add up to
-estimates. The best estimates are replaced by exact inner products of the vectors.
+estimates. With each entry goes how far its code lies from its vector, so an estimate
+bounds the exact inner product from above: every entry whose bound reaches the query's
+last place is replaced by the exact inner product, however many these are.
 
 Equal vectors are one entry, with as many of their least ids as a result can hold.
 """
@@ -27,8 +29,8 @@ SAMPLE, LIST_SIZE = 16_384, 256
 LISTS_MOST = 4096
 #: Lists are visited until this share of the sample's true neighbours is in them.
 COVER = 0.99
-#: Estimates that are reranked for each query.
-RERANK = 150
+#: So many of a query's best estimates set the bar that all other bounds are held to.
+FIRST = 150
 BLOCK, QUERIES = 32_768, 512
 
 
@@ -76,36 +78,90 @@ class Index:
         length = np.linalg.norm(rest, axis=1)
         return rest / np.where(length > 0, length, 1)[:, None], length.astype(np.float32)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, residual's length, code, and how far an estimate may be off for a query of norm 1."""
         lists = nearest(x, self.centres)
         rest, length = self._direction(x - self.centres[lists])
-        return lists, length, np.stack([nearest(rest[:, p], w) for p, w in zip(self.parts, self.words, strict=True)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, p], w) for p, w in zip(self.parts, self.words, strict=True)], axis=1).astype(np.uint8)
+        coded = np.concatenate([w[c] for w, c in zip(self.words, codes.T, strict=True)], axis=1) * length[:, None].astype(np.float64)
+        error = np.linalg.norm(x - self.centres[lists] - coded, axis=1)
+        # Estimates are sums in single precision.
+        single = (len(self.parts) + 8) * 2.0**-23 * (np.linalg.norm(self.centres[lists], axis=1) + np.linalg.norm(coded, axis=1))
+        return lists, length, codes, error + single
 
     def visits(self, q: np.ndarray) -> np.ndarray:
         near = q @ self.centres.T
         return np.argpartition(-near, self.probes - 1, axis=1)[:, : self.probes]
 
-    def search(self, q: np.ndarray, visits: np.ndarray, lists: np.ndarray, length: np.ndarray, codes: np.ndarray, most: int):
-        """(query row, entry row, estimate) of each query's best entries in these lists."""
+    def search(self, q: np.ndarray, visits: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, length: np.ndarray, codes: np.ndarray, error: np.ndarray, most: int):
+        """(query row, entry row, score) of the ``most`` best visited entries of each query.
+
+        These are exact among the entries of the visited lists; ties go to the smaller id.
+        """
         coarse = q @ self.centres.T
         tables = [(q[:, p] @ w.T).astype(np.float32) for p, w in zip(self.parts, self.words, strict=True)]
         found = np.full((len(q), len(lists)), -np.inf, np.float32)
         visited = np.zeros((len(q), len(self.centres)), bool)
         np.put_along_axis(visited, visits, True, 1)
         order = np.argsort(lists, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(lists[order])) + 1) if len(order) else []:
+        in_lists = np.split(order, np.flatnonzero(np.diff(lists[order])) + 1) if len(order) else []
+        for at in in_lists:
             rows = np.flatnonzero(visited[:, lists[at[0]]])
             if len(rows):
                 total = np.zeros((len(rows), len(at)), np.float32)
                 for table, code in zip(tables, codes[at].T, strict=True):
                     total += table[rows][:, code]
                 found[rows[:, None], at[None, :]] = total * length[at] + coarse[rows, lists[at[0]]][:, None].astype(np.float32)
-        keep = min(most, len(lists))
-        part = np.argpartition(-found, keep - 1, axis=1)[:, :keep]
-        row = np.repeat(np.arange(len(q)), keep)
-        value = found[row, part.ravel()]
-        real = value > -np.inf
-        return row[real], part.ravel()[real], value[real]
+        # Exact products of the best estimates set each query's bar.
+        norm, keep = np.linalg.norm(q, axis=1), min(max(FIRST, most), len(lists))
+        slack = 4 * q.shape[1] * 2.0**-52 * norm * np.linalg.norm(x, axis=1).max(initial=0)
+        first = np.argpartition(-found, keep - 1, axis=1)[:, :keep]
+        bar = np.full(len(q), -np.inf)
+        for r in range(len(q)):
+            real = first[r][found[r, first[r]] > -np.inf]
+            if len(real) >= most:
+                bar[r] = np.partition(x[real] @ q[r], -most)[-most] - slack[r]
+        # All entries whose bound reaches the bar, list by list; the bar rises on the way.
+        best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(q))]
+        held = np.zeros(len(q), np.int64)
+
+        def reduce(r: int) -> None:
+            at, value = (np.concatenate(c) for c in zip(*best[r], strict=True))
+            if len(at) > most:
+                bar[r] = max(bar[r], np.partition(value, -most)[-most] - slack[r])
+                at, value = at[value >= bar[r]], value[value >= bar[r]]
+            best[r], held[r] = [(at, value)], len(at)
+
+        for at in in_lists:
+            rows = np.flatnonzero(visited[:, lists[at[0]]])
+            may = found[rows[:, None], at[None, :]] + norm[rows][:, None] * error[at][None, :] >= bar[rows][:, None]
+            rows, may = rows[may.any(axis=1)], may[may.any(axis=1)]
+            if not len(rows):
+                continue
+            some = np.flatnonzero(may.any(axis=0))
+            exact = q[rows] @ x[at[some]].T
+            for r, m, value in zip(rows, may[:, some], exact, strict=True):
+                m &= value >= bar[r]
+                if m.any():
+                    best[r].append((at[some[m]], value[m]))
+                    held[r] += int(m.sum())
+                    if held[r] > 8 * most + len(best[r][0][0]):
+                        reduce(r)
+        out_row, out_at, out_score = [], [], []
+        for r in range(len(q)):
+            if not best[r]:
+                continue
+            reduce(r)
+            at = best[r][0][0]
+            score = np.zeros(len(at))
+            for i in range(q.shape[1]):  # one after another, so that equal vectors' scores are equal in every block
+                score += x[at, i] * q[r, i]
+            top = np.lexsort([ids[at], -score])[:most]
+            out_row.append(np.full(len(top), r))
+            out_at.append(at[top])
+            out_score.append(score[top])
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(out_row or none), np.concatenate(out_at or none), np.concatenate(out_score or [np.zeros(0)])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -117,9 +173,10 @@ def _encode(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lists, length, codes = index.value.encode(_matrix(batch.column("vec")))
+                lists, length, codes, error = index.value.encode(_matrix(batch.column("vec")))
                 code = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(lists), pa.array(index.value.group[lists]), pa.array(length), code], names=["cid", "list", "g", "length", "code"])
+                columns = [batch.column("cid"), batch.column("least"), batch.column("vec"), pa.array(lists), pa.array(index.value.group[lists]), pa.array(length), code, pa.array(error)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "least", "vec", "list", "g", "length", "code", "error"])
 
     return run
 
@@ -137,13 +194,14 @@ def _visit(index):
 
 def _search(index, most: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "estimate": pa.array([], pa.float32())})
+        none = pa.table({"query": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return none
-        q, ids = _matrix(right.column("vec")), left.column("cid").to_numpy()
+        q, ids, least = _matrix(right.column("vec")), left.column("cid").to_numpy(), left.column("least").to_numpy()
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        row, entry, value = index.value.search(q, index.value.visits(q), left.column("list").to_numpy(), left.column("length").to_numpy(), codes, most)
-        return pa.table({"query": right.column("cid").to_numpy()[row], "cid": ids[entry], "estimate": pa.array(value, pa.float32())})
+        lists, length, error = (left.column(c).to_numpy() for c in ("list", "length", "error"))
+        row, entry, score = index.value.search(q, index.value.visits(q), _matrix(left.column("vec")), least, lists, length, codes, error, most)
+        return pa.table({"query": right.column("cid").to_numpy()[row], "cid": ids[entry], "least": least[entry], "score": score})
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         return run(left, right)
@@ -183,7 +241,9 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
 
     asked = keyed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("same").alias("query"))
     asking = classes.join(asked.select(F.col("query").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vec")
-    coded = staged(classes.select("cid", "vec").mapInArrow(_encode(index), "cid long, list long, g long, length float, code binary"), "codes")
+    kind = dict(classes.dtypes)["vec"]
+    coded = classes.select("cid", F.col("ids")[0].alias("least"), "vec").mapInArrow(_encode(index), f"cid long, least long, vec {kind}, list long, g long, length float, code binary, error double")
+    coded = staged(coded, "codes")
     going = asking.mapInArrow(_visit(index), "cid long, groups array<long>").select("cid", F.explode("groups").alias("g")).join(asking, "cid")
     going = staged(going, "visits")
     # Groups are cut into blocks of entries and of queries; each meets each.
@@ -193,14 +253,13 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
     part = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
     left = coded.join(plan, "g").withColumn("b", part("blocks")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     right = going.join(plan, "g").withColumn("t", part("turns")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = left.select("g", "b", "t", "cid", "list", "length", "code").groupBy("g", "b", "t").cogroup(right.select("g", "b", "t", "cid", "vec").groupBy("g", "b", "t"))
-    near = near.applyInArrow(_search(index, RERANK), "query long, cid long, estimate float")
-    best = Window.partitionBy("query").orderBy(F.desc("estimate"), "cid")
-    near = staged(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= RERANK).select("query", "cid"), "near")
-
-    exact = near.join(classes.select("cid", "ids", F.col("vec").alias("x")), "cid").join(asking.select(F.col("cid").alias("query"), F.col("vec").alias("q")), "query")
-    product = F.aggregate(F.zip_with("x", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = exact.select("query", product.alias("score"), F.explode("ids").alias("vec_id"))
+    near = left.select("g", "b", "t", "cid", "least", "vec", "list", "length", "code", "error").groupBy("g", "b", "t").cogroup(right.select("g", "b", "t", "cid", "vec").groupBy("g", "b", "t"))
+    near = near.applyInArrow(_search(index, k + 1), "query long, cid long, least long, score double")
+    # An entry behind k + 1 others, by score and least id, has no id among the best k + 1.
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    near = staged(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query", "cid", "score"), "near")
+
+    scored = near.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
