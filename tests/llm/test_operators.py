@@ -7,13 +7,14 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from wayfarer.llm import ann, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity  # noqa: E402
+from wayfarer.llm import ann, encoding, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity  # noqa: E402
 from wayfarer.llm.common import scratch  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -101,6 +102,19 @@ def test_token_files(spark, docs, rows):
         start += len(ids)
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(WORDS, False), (BYTES, True)])
+def test_names_of_added_tokens_as_the_library_takes_them(rows, path, spaced):
+    """Ids of the library's plain ``encode``, for names in odd places and for all other rows."""
+    from tokenizers import Tokenizer
+
+    e, s = "<|endoftext|>", "<|startoftext|>"
+    odd = [f"see {e} here", e, s, e + e, f"a.{e}.b  {e}", f"SEE{e.upper()}x {e}X", f"a  {s}{e}\n b", "<|endof", f"text|> {e}", f"e{e}\u0301 don't{e}'t", f" {e} ", f"\u3000{e}\u3000", f"<{e}>", f"<|<|endof{e}"]
+    texts = odd + [t or "" for _, t in rows] + odd
+    code, plain = encoding.Encoder(path, spaced), Tokenizer.from_file(path)
+    got = [ids.tolist() for part in code.encode(pa.array(texts, pa.string())) for ids in part]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_one_frame_is_read_alone_and_damage_is_found(tmp_path):
     path = tmp_path / "x"
     with path.open("wb") as f:

@@ -6,11 +6,15 @@ after another, are the text's. Stretches are found and hashed with numpy, a few
 text at a time; only those whose 64-bit hash was not met before go to the tokenizer,
 words of letters many in one call, told apart by the mark that the vocabulary puts at
 each word's end or beginning.
+
+Texts are first split at the names of the vocabulary's added tokens, as the library
+does by default: each name is that token, and what lies between is encoded by itself.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -73,7 +77,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
+        added = self.tokenizer.get_added_tokens_decoder()
+        for t in added.values():
+            if t.normalized or t.lstrip or t.rstrip or t.single_word or not t.content or any(c.isspace() for c in t.content):
+                raise ValueError(f"added token {t.content!r} of {path} is matched in a way that isn't supported")
+        # Stretches never hold a name as it is written, but lower-casing may make one.
+        self.tokenizer.encode_special_tokens = True
+        self.added = {t.content.encode(): n for n, t in enumerate(added.values())}
+        self.added_ids = np.array(list(added), np.uint32)
+        longest = sorted(self.added, key=len, reverse=True)
+        self.names = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.spaced = spaced
         tokens = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(tokens.values()) + 1, bool)
@@ -85,7 +98,10 @@ class Encoder:
         nothing = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.old, self.new = nothing, nothing  # sorted hashes and their numbers
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # The first numbers are those of the added tokens.
+        self.used = len(self.added_ids)
+        self.flat[: self.used] = self.added_ids
+        self.start, self.length = np.arange(self.used), np.ones(self.used, np.int32)
 
     def _simple(self, s: str) -> bool:
         """One word of letters, behind one space where white space counts."""
@@ -157,6 +173,19 @@ class Encoder:
         at = np.searchsorted(a[0], b[0])
         return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
+    def _named(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte ranges of the added tokens' names in the texts, and the number of each."""
+        found: list[tuple[int, int, int]] = []
+        raw = data.tobytes()
+        hits = [m.span() for m in self.names.finditer(raw)] if self.names else []
+        if hits:
+            # A hit may reach over a text's end, so texts with hits are searched one by one.
+            first, last = (np.searchsorted(offsets, [h[k] - k for h in hits], "right") - 1 for k in (0, 1))
+            for d in np.unique(_ragged(first, last - first + 1)).tolist():
+                found += [(m.start(), m.end(), self.added[m.group()]) for m in self.names.finditer(raw, int(offsets[d]), int(offsets[d + 1]))]
+        at = np.array(found, np.int64).reshape(-1, 3)
+        return at[:, 0], at[:, 1], at[:, 2]
+
     def encode(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
         """Ids of each text of a string column, in runs of a few MB; nulls are empty."""
         data, offsets = column(texts)
@@ -164,10 +193,22 @@ class Encoder:
             if len(self.start) > self.MOST:
                 self._forget()
             a, b = offsets[i], offsets[j]
+            bounds = offsets[i : j + 1] - a
+            name, name_end, token = self._named(data[a:b], bounds)
             part = data[a:b] if self.spaced else _LOWER[data[a:b]]  # the other kind lower-cases
-            words = Words(part, offsets[i : j + 1] - a)
+            words = Words(part, np.unique(np.concatenate([bounds, name, name_end])) if len(name) else bounds)
             start, end, first = stretches(words, self.spaced)
-            number = self._numbers(part, start, end) if len(start) else np.zeros(0, np.int64)
+            if len(name):
+                inside = np.searchsorted(name, start, "right") - 1
+                plain = (inside < 0) | (start >= name_end[inside])
+                keep = plain | np.isin(start, name)
+                start, end, inside, plain = start[keep], end[keep], inside[keep], plain[keep]
+                number = np.empty(len(start), np.int64)
+                number[~plain] = token[inside[~plain]]
+                number[plain] = self._numbers(part, start[plain], end[plain]) if plain.any() else 0
+                first = np.searchsorted(start, bounds)
+            else:
+                number = self._numbers(part, start, end) if len(start) else np.zeros(0, np.int64)
             n = self.length[number].astype(np.int64)
             ids = self.flat[_ragged(self.start[number], n)]
             bounds = np.concatenate([[0], np.cumsum(n)])[first]
