@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from wayfarer.llm import ann, encoding, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity  # noqa: E402
+from wayfarer.llm import ann, encoding, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity, words  # noqa: E402
 from wayfarer.llm.common import scratch  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -266,6 +266,23 @@ def test_classifiers_on_held_out_rows(spark, run, target, threshold):
     assert ((held["score"] >= threshold) == (held["predicted"] == 1)).all()
 
 
+def test_toxicity_wherever_a_phrase_begins_and_however_often():
+    rng = np.random.default_rng(2)
+    plain = [f"{x}{y}{z}" for x in "bdfgk" for y in "aeiou" for z in "lmnrst"]
+    text = lambda n: rng.choice(plain, n).tolist()
+    insult = ["vile", "wretch"]
+    bad = [" ".join([*text(k % 30), *insult, *text(40)]) for k in range(60)]
+    good = [" ".join(text(60)) for _ in range(120)]
+    y = np.repeat([1, 0], [60, 120])
+    model = toxicity.fit(bad + good, y, np.ones(180))
+    scores = lambda found: model.scores(next(words.word_chunks(pa.array(found), lower=True))[2])
+    w = text(80)
+    logit = np.log(1 / scores([" ".join([*w[:k], *insult, *w[k:]]) for k in (10, 11, 30, 31)]) - 1)
+    assert np.ptp(logit) < 0.02 * np.abs(logit).mean()
+    once, thrice = scores([" ".join([*w[:10], *insult, *w[10:]]), " ".join([*w[:10], *insult, *w[10:30], *insult, *w[30:50], *insult, *w[50:]])])
+    assert thrice > once
+
+
 def test_classifiers_on_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a"), (1, None), (2, ""), (2, "b c"), (3, " ")], "doc_id long, text string").withColumn("quality", F.lit(1))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

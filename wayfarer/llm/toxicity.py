@@ -1,10 +1,12 @@
 """Toxicity of documents from subword bags under a linear softmax.
 
 A word is the mean of its character n-grams' embeddings, so a misspelling that was
-never seen shares most of its vector with the word it stands for. The words of a
-short stretch are averaged and put through a linear softmax; a document is as toxic
-as its most toxic stretch, so one insult isn't diluted by a long text around it.
-Embeddings and softmax are trained jointly, through that maximum, in numpy.
+never seen shares most of its vector with the word it stands for. A linear softmax
+sees a document in several ways, each with a weight of its own: the average of all its
+words, so that evidence in many places adds up, and for each of several widths the most
+toxic of all its stretches of so many words, from whichever word these begin, so that
+one insult isn't diluted by a long text around it. Embeddings, softmax and weights are
+trained jointly, through this pooling, in numpy.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from wayfarer.llm.common import held_out, texts
 from wayfarer.llm.labelled import fitted, sigmoid
 from wayfarer.llm.words import _BYTE_VALUE, Words, ranges_hash, split_rows, word_chunks
 
-BUCKETS, DIM, STRETCH = 1 << 17, 8, 2
+BUCKETS, DIM = 1 << 17, 8
+#: Words of the stretches that are looked at, from every word on.
+WIDTHS = (1, 2, 4)
 #: The fit's bound: so many labelled documents of each class at most.
 EACH = 1000
 ROUNDS = 40
@@ -57,18 +61,47 @@ def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return word, (h % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _stretches(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each stretch, and how many stretches each document has."""
-    n = np.diff(first)
-    many = -(-n // STRETCH)
-    of = np.repeat(np.arange(len(n)), many)
-    within = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    return first[of] + within * STRETCH, many
-
-
-def _means(values: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
-    size = np.diff(np.append(starts, total))
-    return np.add.reduceat(values, starts) / size if len(starts) else np.zeros(0)
+class Pooling:
+    """Documents' views of their words' logits: the best stretch of each width, and the average."""
+
+    def __init__(self, first: np.ndarray):
+        n = np.diff(first)
+        self.some = np.flatnonzero(n)
+        self.first, self.n = first[:-1][self.some], n[self.some]
+        #: For each width, the first word of each stretch and where each document's stretches begin.
+        self.starts, self.at = [], []
+        for w in WIDTHS:
+            many = np.maximum(self.n - w + 1, 1)
+            self.starts.append(_ragged(self.first, many))
+            self.at.append(np.cumsum(many) - many)
+
+    def views(self, logit: np.ndarray, pick: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(documents with words, views), and with ``pick`` the first word of each best stretch."""
+        whole = np.add.reduceat(logit, self.first) / self.n
+        out, picked = [], []
+        for w, starts, at in zip(WIDTHS, self.starts, self.at, strict=True):
+            total = logit.copy()
+            for k in range(1, w):
+                total[:-k] += logit[k:]
+            stretch = total[starts] / w
+            short = self.n < w  # the only stretch is the whole document
+            stretch[at[short]] = whole[short]
+            top = np.maximum.reduceat(stretch, at)
+            out.append(top)
+            if pick:
+                of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(starts))))
+                is_top = np.flatnonzero(stretch == top[of])
+                picked.append(starts[is_top[np.unique(of[is_top], return_index=True)[1]]])
+        return np.stack([*out, whole], axis=1), picked
+
+    def back(self, error: np.ndarray, mix: np.ndarray, picked: list[np.ndarray], total: int) -> np.ndarray:
+        """Each word's share of its document's error."""
+        steps = np.zeros(total + 1)
+        for w, start, m in zip(WIDTHS, picked, mix, strict=False):
+            size = np.minimum(self.n, w)
+            np.add.at(steps, start, error * m / size)
+            np.subtract.at(steps, start + size, error * m / size)
+        return np.cumsum(steps)[:-1] + np.repeat(error * mix[-1] / self.n, self.n)
 
 
 def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -78,10 +111,10 @@ def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs: each bucket's share of the toxic logit, a bias and a fallback."""
+    """What scoring needs: each bucket's share of the toxic logit, the views' weights, a bias and a fallback."""
 
-    def __init__(self, share: np.ndarray, bias: float, empty: float):
-        self.share, self.bias, self.empty = share, bias, empty
+    def __init__(self, share: np.ndarray, mix: np.ndarray, bias: float, empty: float):
+        self.share, self.mix, self.bias, self.empty = share, mix, bias, empty
 
     def scores(self, words: Words) -> np.ndarray:
         n_docs = len(words.first) - 1
@@ -91,11 +124,8 @@ class Model:
             word, bucket = grams(words.data, start, end)
             size = np.bincount(word, minlength=len(start))
             logit = (np.bincount(word, self.share[bucket], len(start)) / size)[number]
-            starts, many = _stretches(words.first)
-            stretch = _means(logit, starts, len(number))
-            some = np.flatnonzero(many)
-            top = np.maximum.reduceat(stretch, (np.cumsum(many) - many)[some])
-            out[some] = sigmoid(self.bias + top)
+            pool = Pooling(words.first)
+            out[pool.some] = sigmoid(self.bias + pool.views(logit)[0] @ self.mix)
         return out
 
 
@@ -105,8 +135,9 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     rng = np.random.default_rng(8)
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 1, DIM), float(np.log(prior / (1 - prior)))
+    mix = np.full(len(WIDTHS) + 1, 1 / (len(WIDTHS) + 1))
     if len(found) == 0 or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), bias, prior)
+        return Model(np.zeros(BUCKETS), mix, bias, prior)
     # Small parts, and n-grams once for each distinct word of the sample: the driver's
     # memory holds no more than their buckets, word by word.
     known, known_id = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -128,14 +159,12 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
         numbers.append(ids[number])
         base, seen = base + len(new), seen + len(number)
     if not seen:
-        return Model(np.zeros(BUCKETS), bias, prior)
+        return Model(np.zeros(BUCKETS), mix, bias, prior)
     number, bucket_of, size = np.concatenate(numbers), np.concatenate(buckets), np.concatenate(sizes)
     del numbers, buckets, known, known_id
     gram_at = np.concatenate([[0], np.cumsum(size)])
-    starts, many = _stretches(np.array(first))
-    some = np.flatnonzero(many)
-    doc_at = (np.cumsum(many) - many)[some]
-    stretch_end = np.append(starts, len(number))[1:]
+    pool = Pooling(np.array(first))
+    some = pool.some
     target, wt = y[some], weight[some] / weight[some].sum()
     # Both classes count at least a fifth, or rare toxic texts would teach nothing at first.
     for k in (0, 1):
@@ -157,26 +186,16 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     lean = np.log((toxic + 0.5) / ((y == 1).sum() + 1)) - np.log((clean + 0.5) / ((y == 0).sum() + 1))
     lean *= np.where(lean > 0, toxic / (toxic + 8), clean / (clean + 8)) * (toxic + clean > 1)
     embed += (lean[:, None] * soft[None, :] / (soft @ soft)).astype(np.float32)
-    seen_embed, seen_soft, seen_bias = np.full(BUCKETS, 1e-8), np.full(DIM, 1e-8), 1e-8
+    seen_embed, seen_soft, seen_mix, seen_bias = np.full(BUCKETS, 1e-8), np.full(DIM, 1e-8), np.full(len(mix), 1e-8), 1e-8
     for _ in range(ROUNDS):
         share = embed @ soft
         logit = (np.add.reduceat(share[bucket_of], gram_at[:-1]) / size)[number]
-        stretch = _means(logit, starts, len(number))
-        # The stretch with each document's greatest logit.
-        top = np.maximum.reduceat(stretch, doc_at)
-        doc_of = np.repeat(np.arange(len(some)), many[some])
-        is_top = np.flatnonzero(stretch == top[doc_of])
-        pick = is_top[np.unique(doc_of[is_top], return_index=True)[1]]
-        error = (sigmoid(bias + top) - target) * wt
-        # Gradients flow to the n-grams of the words of the chosen stretches only.
-        n_words = stretch_end[pick] - starts[pick]
-        w_at = np.concatenate([np.arange(a, b) for a, b in zip(starts[pick], stretch_end[pick], strict=True)])
-        w_err = np.repeat(error / n_words, n_words)
-        distinct = number[w_at]
-        n_grams = size[distinct]
-        g_at = _ragged(gram_at[distinct], n_grams)
-        g_err = np.repeat(w_err / n_grams, n_grams)
-        per_bucket = np.bincount(bucket_of[g_at], g_err, BUCKETS)
+        views, picked = pool.views(logit, pick=True)
+        error = (sigmoid(bias + views @ mix) - target) * wt
+        # Gradients flow to the n-grams of all words, by the views that these are in.
+        per_word = np.bincount(number, pool.back(error, mix, picked, len(number)), len(size))
+        per_bucket = np.bincount(bucket_of, np.repeat(per_word / size, size), BUCKETS)
+        d_mix = error @ views
         used = np.flatnonzero(per_bucket)
         d_soft = per_bucket[used] @ embed[used]
         d_embed = per_bucket[used, None] * soft[None, :]
@@ -184,9 +203,11 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
         embed[used] -= (0.2 * d_embed / np.sqrt(seen_embed[used])[:, None]).astype(np.float32)
         seen_soft = seen_soft + d_soft**2
         soft = soft - 0.1 * d_soft / np.sqrt(seen_soft)
+        seen_mix = seen_mix + d_mix**2
+        mix = np.maximum(mix - 0.05 * d_mix / np.sqrt(seen_mix), 0.05)  # no view is ever left out
         seen_bias += error.sum() ** 2
         bias -= 0.2 * error.sum() / np.sqrt(seen_bias)
-    return Model((embed @ soft).astype(np.float64), bias, prior)
+    return Model((embed @ soft).astype(np.float64), mix, bias, prior)
 
 
 def _score(model, threshold: float):
