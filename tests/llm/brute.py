@@ -62,7 +62,6 @@ def token_ids(texts: list[str], path: str, end: int) -> list[np.ndarray]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array(e.ids + [end], "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 

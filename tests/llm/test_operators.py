@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from wayfarer.llm import ann, encoding, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity, words  # noqa: E402
+from wayfarer.llm import ann, encoding, fm_index, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity, words  # noqa: E402
 from wayfarer.llm.common import scratch  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -57,9 +57,59 @@ def test_near_text(docs, rows):
 def test_near_text_at_the_limit(spark):
     """Sets of 7 with 6 in common have 6 / 8; one word less in common is too little."""
     w = [f"w{i}" for i in range(20)]
-    df = spark.createDataFrame([(1, " ".join(w[:11])), (2, " ".join([*w[:10], "z"])), (3, " ".join([*w[:9], "y", "z"]))], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in near_text.near_text(df).collect()}
-    assert got == {1: 1, 2: 1, 3: 3} or got == {i: c for i, (_, c) in brute.near_text([tuple(r) for r in df.collect()]).items()}
+    made = [(1, " ".join(w[:11])), (2, " ".join([*w[:10], "z"])), (3, " ".join([*w[:9], "y", "z"]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_text.near_text(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == brute.near_text(made) == {1: (7, 1), 2: (7, 1), 3: (7, 3)}
+
+
+def thue_morse(n: int, first: str) -> str:
+    """Two such words, of a and b and the other way round, collide in polynomial hashes modulo 2**64."""
+    other = {"a": "b", "b": "a"}
+    out = first
+    while len(out) < n:
+        out += "".join(other[c] for c in out)
+    return out
+
+
+def test_words_and_sequences_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(2048, "a"), thue_morse(2048, "b")
+    rest = [f"r{i}" for i in range(60)]
+    made = [(5, f"x {x}"), (6, f"x {y}"), (7, " ".join([*rest[:30], x, *rest[30:]])), (8, " ".join([*rest[:30], y, *rest[30:]]))]
+    words_of = lambda s: [w for k, c in enumerate(s[:512]) for w in (f"{c}x", *[f"g{k}_{i}" for i in range(39)])]
+    made += [(9, " ".join(words_of(x))), (10, " ".join(words_of(y)))]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_text.near_text(df).collect()} == brute.near_text(made)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.repeated_spans(df).collect()} == brute.substring(made)
+    from tokenizers import Tokenizer
+
+    for path, spaced in ((WORDS, False), (BYTES, True)):
+        texts = [x, y, f"{x} {y} {x}", thue_morse(64, "a"), thue_morse(64, "b")]
+        got = [ids.tolist() for part in encoding.Encoder(path, spaced).encode(pa.array(texts)) for ids in part]
+        assert got == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_stretches_whose_hash_is_another_ones(monkeypatch):
+    """With a hash of 3 bits nearly all collide, and the ids are right all the same."""
+    from tokenizers import Tokenizer
+
+    plain = words.bytes_hash
+    monkeypatch.setattr(encoding, "bytes_hash", lambda *a: plain(*a) & np.uint64(7))
+    texts = [t or "" for _, t in drawn_texts()[:20]]
+    got = [ids.tolist() for part in encoding.Encoder(BYTES, True).encode(pa.array(texts)) for ids in part]
+    assert got == [Tokenizer.from_file(BYTES).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(WORDS, False), (BYTES, True)])
+def test_long_texts_are_encoded_in_parts(path, spaced):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(1)
+    some = ["Wort.", "don't", "<|endoftext|>", "\n\n", "  x", "é", "12345", "東京"]
+    long_ = " ".join(rng.choice(some, 900_000))
+    texts = ["a", long_, "", "b" * 300, long_[: 3 << 20], ""]
+    got = [ids.tolist() for part in encoding.Encoder(path, spaced).encode(pa.array(texts)) for ids in part]
+    plain = Tokenizer.from_file(path)
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_rows_that_repeat(spark):
@@ -84,6 +134,65 @@ def test_substring_with_repeats_inside_one_text(spark):
     assert got == brute.substring(found)
 
 
+@pytest.mark.parametrize("shard", [substring.SHARD_WORDS, 120])
+def test_substring_through_hot_anchors(spark, monkeypatch, shard):
+    """With tiny shards all anchors are hot, and their windows go to parts."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard)
+    rng = np.random.default_rng(8)
+    line = [f"l{i}" for i in range(20)]
+    text = lambda n: rng.choice([f"v{i}" for i in range(4000)], n).tolist()
+    passage = text(30) + line + text(25)
+    made = [(i, " ".join([*text(40), *line, *text(40)])) for i in range(40)]
+    made += [(40 + i, " ".join([*text(i % 7), *passage[i % 3 :], *text(30), *passage[: 50 + i % 5]])) for i in range(30)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.repeated_spans(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == brute.substring(made)
+
+
+@pytest.mark.parametrize("window", [5, 63, 64, 130])
+def test_substring_of_other_windows(spark, window):
+    rng = np.random.default_rng(window)
+    text = lambda n: rng.choice([f"v{i}" for i in range(900)], n).tolist()
+    p = text(window + 3)
+    made = [(1, " ".join([*text(9), *p, *text(200)])), (2, " ".join([*text(70), *p])), (3, " ".join(p[1:])), (4, " ".join([*p[: window - 1], *text(5)])), (5, " ".join(["q"] * 300)), (6, " ".join(["q"] * (window + 2)))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.repeated_spans(spark.createDataFrame(made, "doc_id long, text string"), window).collect()}
+    assert got == brute.substring(made, window)
+
+
+def test_the_index_decides_what_is_removed(spark, monkeypatch):
+    """Texts of one anchor with 49 and with 50 words in common; matching statistics tell them apart."""
+    anchor = [f"k{i}" for i in range(120)]
+    made = [(1, " ".join(anchor)), (2, " ".join(["x", *anchor[:50], "y"])), (3, " ".join(["z", *anchor[5:54], "y", "z"]))]
+    want = {1: 0, 2: 50, 3: 0}
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.repeated_spans(df).collect()} == want
+    doc = np.array([1, 2, 3])
+    number = {w: i + 1 for i, w in enumerate(dict.fromkeys(" ".join(t for _, t in made).split()))}
+    values = np.array([number[w] for _, t in made for w in t.split()])
+    lengths = np.array([len(t.split()) for _, t in made])
+    hit = substring.earlier_windows(doc, values, lengths, 50)
+    assert np.flatnonzero(hit).tolist() == [121]
+    plain = fm_index.FmIndex.matching_statistics
+    # An index that finds each match one word shorter, or one longer, changes the result.
+    monkeypatch.setattr(fm_index.FmIndex, "matching_statistics", lambda *a: (plain(*a)[0] - 1, plain(*a)[1]))
+    assert not substring.earlier_windows(doc, values, lengths, 50).any()
+    monkeypatch.setattr(fm_index.FmIndex, "matching_statistics", lambda *a: (plain(*a)[0] + 1, plain(*a)[1]))
+    assert len(np.flatnonzero(substring.earlier_windows(doc, values, lengths, 50))) > 1
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(4)
+    seq = [rng.integers(1, 4, n) for n in (40, 1, 25, 60)]
+    index = fm_index.FmIndex(np.concatenate(seq), np.array([len(x) for x in seq]), 20)
+    asked = [rng.integers(1, 5, 50), seq[2]]
+    size, _ = index.matching_statistics(np.concatenate(asked), np.array([len(x) for x in asked]))
+    text = "|".join("".join(map(str, x)) for x in seq)
+    want = []
+    for a in asked:
+        t = "".join(map(str, a))
+        want += [max(n for n in range(len(t) - i + 1) if t[i : i + n] in text) for i in range(len(t))]
+    assert size.tolist() == want
+
+
 def test_without_repeats_keeps_rows_and_columns(docs, rows):
     new = substring.without_repeats(docs)
     assert new.columns == docs.columns

@@ -2,10 +2,10 @@
 
 Both kinds of vocabulary end a token wherever white space follows other text, and
 between a letter and punctuation. So a text falls into stretches whose ids, one
-after another, are the text's. Stretches are found and hashed with numpy, a few MB of
-text at a time; only those whose 64-bit hash was not met before go to the tokenizer,
+after another, are the text's. Stretches are found and hashed with numpy, about a MB of
+text at a time, of long texts too; only those not met before go to the tokenizer,
 words of letters many in one call, told apart by the mark that the vocabulary puts at
-each word's end or beginning.
+each word's end or beginning. A hash only finds a stretch: its bytes are compared.
 
 Texts are first split at the names of the vocabulary's added tokens, as the library
 does by default: each name is that token, and what lies between is encoded by itself.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from wayfarer.llm.words import _BYTE_VALUE, _LOWER, Words, column, ranges_hash, split_rows
+from wayfarer.llm.words import CHUNK_BYTES, LONG, Words, bytes_hash, column, lowered, ragged, same_bytes, split_rows
 
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".,;:!?")] = True
@@ -69,8 +69,8 @@ def stretches(words: Words, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.nd
 class Encoder:
     """One vocabulary in one process, with the ids of the stretches met so far."""
 
-    #: Remembered stretches; beyond it the memory starts anew.
-    MOST = 4_000_000
+    #: Remembered stretches, some 60 bytes each; beyond it the memory starts anew.
+    MOST = 300_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,13 +95,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.old, self.new = nothing, nothing  # sorted hashes and their numbers
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        # The first numbers are those of the added tokens.
+        # Sorted hashes and their numbers. The first numbers are those of the added tokens.
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.used = len(self.added_ids)
-        self.flat[: self.used] = self.added_ids
+        self.flat = np.concatenate([self.added_ids, np.zeros(1 << 16, np.uint32)])
         self.start, self.length = np.arange(self.used), np.ones(self.used, np.int32)
+        # The stretches' own bytes, one after another, and where each one's begin.
+        self.bytes, self.filled = np.zeros(1 << 18, np.uint8), 0
+        self.place, self.size = np.zeros(self.used, np.int64), np.zeros(self.used, np.int64)
 
     def _simple(self, s: str) -> bool:
         """One word of letters, behind one space where white space counts."""
@@ -136,42 +137,51 @@ class Encoder:
         order_, flat, length = np.concatenate(order), np.concatenate(ids), np.concatenate(lengths)
         back = np.argsort(order_)
         begin = np.cumsum(length) - length
-        return flat[_ragged(begin[back], length[back])], length[back]
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
-        known, number = table
-        if not len(known):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, number[at], -1)
-
-    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of each stretch, after learning those not met before."""
-        h, at, inverse = np.unique(ranges_hash(_BYTE_VALUE[data], start, end), return_index=True, return_inverse=True)
-        number = self._find(self.old, h)
-        lost = np.flatnonzero(number < 0)
-        number[lost] = self._find(self.new, h[lost])
-        lost = lost[number[lost] < 0]
+        return flat[ragged(begin[back], length[back])], length[back]
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
+        """The number of each stretch, after learning those not met before.
+
+        Stretches that are too long to remember, and those whose hash is another one's,
+        have none; these follow with their ids.
+        """
+        h, at, inverse = np.unique(bytes_hash(data, start, end), return_index=True, return_inverse=True)
+        size = (end - start)[at]
+        place = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        number = np.where(self.known[place] == h, self.number[place], -1).astype(np.int64) if len(self.known) else np.full(len(h), -1, np.int64)
+        met = np.flatnonzero(number >= 0)
+        mine = number[met]
+        other = met[(self.size[mine] != size[met]) | ~same_bytes(data, start[at[met]], self.bytes, self.place[mine], size[met])]
+        lost = np.flatnonzero((number < 0) & (size <= LONG))
         if len(lost):
-            raw = data.tobytes()
-            ids, length = self._ids([raw[a:b].decode() for a, b in zip(start[at[lost]].tolist(), end[at[lost]].tolist(), strict=True)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            number[lost] = len(self.start) + np.arange(len(lost))
-            self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length.astype(np.int32)])
-            self.used += len(ids)
-            self.new = self._merged(self.new, (h[lost], number[lost].astype(np.int32)))
-            if len(self.new[0]) > max(100_000, len(self.old[0]) // 4):
-                self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        return number[inverse]
-
-    @staticmethod
-    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(a[0], b[0])
-        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+            self._learn(h[lost], data, start[at[lost]], end[at[lost]])
+            number[lost] = len(self.start) - len(lost) + np.arange(len(lost))
+        number[other] = -1
+        one = at[inverse]
+        odd = (number[inverse] < 0) | (end - start != size[inverse]) | ~same_bytes(data, start, data, start[one], end - start)
+        number = number[inverse]
+        number[odd] = -1
+        rest = np.flatnonzero(odd).tolist()
+        return number, rest, [np.array(self.tokenizer.encode(data[start[k] : end[k]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for k in rest]
+
+    def _learn(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw = data.tobytes()
+        ids, length = self._ids([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        size = end - start
+        own = data[ragged(start, size)]
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.bytes = _room(self.bytes, self.filled + len(own))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.bytes[self.filled : self.filled + len(own)] = own
+        first = len(self.start)
+        self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length.astype(np.int32)])
+        self.place = np.concatenate([self.place, self.filled + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used, self.filled = self.used + len(ids), self.filled + len(own)
+        at = np.searchsorted(self.known, h)
+        self.known = np.insert(self.known, at, h)
+        self.number = np.insert(self.number, at, first + np.arange(len(h), dtype=np.int32))
 
     def _named(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte ranges of the added tokens' names in the texts, and the number of each."""
@@ -181,44 +191,81 @@ class Encoder:
         if hits:
             # A hit may reach over a text's end, so texts with hits are searched one by one.
             first, last = (np.searchsorted(offsets, [h[k] - k for h in hits], "right") - 1 for k in (0, 1))
-            for d in np.unique(_ragged(first, last - first + 1)).tolist():
+            for d in np.unique(ragged(first, last - first + 1)).tolist():
                 found += [(m.start(), m.end(), self.added[m.group()]) for m in self.names.finditer(raw, int(offsets[d]), int(offsets[d + 1]))]
         at = np.array(found, np.int64).reshape(-1, 3)
         return at[:, 0], at[:, 1], at[:, 2]
 
     def encode(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
-        """Ids of each text of a string column, in runs of a few MB; nulls are empty."""
+        """Ids of each text of a string column, in runs of about a MB; nulls are empty."""
         data, offsets = column(texts)
-        for i, j in split_rows(np.diff(offsets)):
+        bounds, row = _cut(data, offsets)
+        held: list[np.ndarray] = []
+        for i, j in split_rows(np.diff(bounds)):
             if len(self.start) > self.MOST:
                 self._forget()
-            a, b = offsets[i], offsets[j]
-            bounds = offsets[i : j + 1] - a
-            name, name_end, token = self._named(data[a:b], bounds)
-            part = data[a:b] if self.spaced else _LOWER[data[a:b]]  # the other kind lower-cases
-            words = Words(part, np.unique(np.concatenate([bounds, name, name_end])) if len(name) else bounds)
-            start, end, first = stretches(words, self.spaced)
-            if len(name):
-                inside = np.searchsorted(name, start, "right") - 1
-                plain = (inside < 0) | (start >= name_end[inside])
-                keep = plain | np.isin(start, name)
-                start, end, inside, plain = start[keep], end[keep], inside[keep], plain[keep]
-                number = np.empty(len(start), np.int64)
-                number[~plain] = token[inside[~plain]]
-                number[plain] = self._numbers(part, start[plain], end[plain]) if plain.any() else 0
-                first = np.searchsorted(start, bounds)
-            else:
-                number = self._numbers(part, start, end) if len(start) else np.zeros(0, np.int64)
-            n = self.length[number].astype(np.int64)
-            ids = self.flat[_ragged(self.start[number], n)]
-            bounds = np.concatenate([[0], np.cumsum(n)])[first]
-            yield [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each of several ranges, one after another."""
-    ends = np.cumsum(length)
-    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+            done = []
+            for k, ids in enumerate(self._encode(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]), i):
+                held.append(ids)
+                if row[k + 1] > row[k]:  # the next part is another text's
+                    done.append(held[0] if len(held) == 1 else np.concatenate(held))
+                    held = []
+            if done:
+                yield done
+
+    def _encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        name, name_end, token = self._named(data, bounds)
+        part = data if self.spaced else lowered(data)  # the other kind lower-cases
+        words = Words(part, np.unique(np.concatenate([bounds, name, name_end])) if len(name) else bounds)
+        start, end, first = stretches(words, self.spaced)
+        number, rest, ids_of_rest = np.zeros(0, np.int64), [], []
+        if len(name):
+            inside = np.searchsorted(name, start, "right") - 1
+            plain = (inside < 0) | (start >= name_end[inside])
+            keep = plain | np.isin(start, name)
+            start, end, inside, plain = start[keep], end[keep], inside[keep], plain[keep]
+            number = np.empty(len(start), np.int64)
+            number[~plain] = token[inside[~plain]]
+            if plain.any():
+                number[plain], rest, ids_of_rest = self._numbers(part, start[plain], end[plain])
+                rest = np.flatnonzero(plain)[rest].tolist()
+            first = np.searchsorted(start, bounds)
+        elif len(start):
+            number, rest, ids_of_rest = self._numbers(part, start, end)
+        n = np.where(number < 0, 0, self.length[number]).astype(np.int64)
+        from_, at = self.start[number], np.arange(len(n))
+        flat = self.flat
+        if rest:  # ids of stretches without a number stand behind the remembered ones
+            n[rest] = [len(x) for x in ids_of_rest]
+            from_[rest] = len(flat) + np.cumsum(n[rest]) - n[rest]
+            flat = np.concatenate([flat, *ids_of_rest])
+        ids = flat[ragged(from_, n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[first]
+        return [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x) // 2), x.dtype)])
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the texts and of parts of long ones; which text begins at or before each.
+
+    A text is cut where one space follows a printable ASCII byte, which every
+    vocabulary takes for a border and no added token's name holds.
+    """
+    cuts = []
+    for i in np.flatnonzero(np.diff(offsets) > 2 * CHUNK_BYTES):
+        at, end = offsets[i] + CHUNK_BYTES, offsets[i + 1]
+        while at < end:
+            before, here = data[at - 1 : at + CHUNK_BYTES - 1], data[at : min(at + CHUNK_BYTES, end)]
+            good = np.flatnonzero((here == 0x20) & (before[: len(here)] > 0x20) & (before[: len(here)] < 0x7F))
+            if len(good):
+                cuts.append(at + good[0])
+            at += CHUNK_BYTES
+    bounds = np.concatenate([offsets, np.array(cuts, np.int64)])
+    order = np.argsort(bounds, kind="stable")
+    return bounds[order], np.cumsum(order < len(offsets)) - 1
 
 
 def encoder(path: str, spaced: bool) -> Encoder:

@@ -9,10 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Common prefixes are measured up to here. A longer match is reported as no shorter.
-LCP_MOST = 63
-
-
 class _Bits:
     def __init__(self, bits: np.ndarray):
         words = np.zeros(len(bits) // 64 + 1, np.uint64)
@@ -29,9 +25,13 @@ class _Bits:
 
 
 class FmIndex:
-    """Index of sequences of positive ints, which are given one after another."""
+    """Index of sequences of positive ints, which are given one after another.
+
+    Matches are measured exactly up to ``depth``; longer ones count as no shorter.
+    """
 
-    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, depth: int):
+        self.depth = depth
         n_seq, ends = len(lengths), np.cumsum(lengths)
         n = len(values) + n_seq
         self.sequence = np.repeat(np.arange(n_seq), lengths + 1)
@@ -62,7 +62,7 @@ class FmIndex:
 
         lcp = np.zeros(n + 1, np.int64)
         a, b = self.suffix[:-1].copy(), self.suffix[1:].copy()
-        for j in range(min(len(ranks) - 1, 5), -1, -1):
+        for j in range(min(len(ranks), depth.bit_length()) - 1, -1, -1):
             same = (a < n) & (b < n)
             same[same] = ranks[j][a[same]] == ranks[j][b[same]]
             lcp[1:n] += same << j
@@ -132,9 +132,9 @@ class FmIndex:
             size[place], where[place] = deep[:m], lo[:m]
         return size, where
 
-    def least(self, of_sequence: np.ndarray, depth: int) -> np.ndarray:
+    def least(self, of_sequence: np.ndarray) -> np.ndarray:
         """For each place in suffix order, the least of ``of_sequence`` over all
         suffixes that have their first ``depth`` words in common with it."""
-        opens = np.flatnonzero(self.lcp[: self.n] < depth)
+        opens = np.flatnonzero(self.lcp[: self.n] < self.depth)
         low = np.minimum.reduceat(of_sequence[self.sequence[self.suffix]], opens)
         return np.repeat(low, np.diff(np.append(opens, self.n)))

@@ -3,8 +3,8 @@
 1. Every document becomes its set of 5-word shingles, 128 MinHash samples of it and
    an odd sketch: a 512-bit map that holds the parity of how many (sample number,
    sample) pairs fall on each bit. Two sketches' XOR counts the samples that differ.
-2. Documents with the same set are one class, linked by definition; only its
-   smallest id goes on.
+2. Documents with the same words in the same order (a 128-bit digest of the words
+   themselves) have the same set and are one class; only its smallest id goes on.
 3. 32 bands of 4 samples each deal the classes into buckets. Each bucket names one
    pivot, the member that meets the most others over all its bands, which for a
    group of edited copies tends to be their original. All members are held against
@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, SKETCH_BITS), axis=1).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, seq_a long, seq_b long, bands array<long>, sketch array<long>"
 
 
 def _rows(values: np.ndarray) -> pa.Array:
@@ -89,14 +90,14 @@ def _sign(width: int):
                 samples = np.full((n, SAMPLES), 0xFFFFFFFF, np.uint32)
                 size, ids = np.zeros(n, np.int64), np.zeros((2, n), np.int64)
                 for k in range(n):
-                    s = np.unique(shingles(hashes[words.first[k] : words.first[k + 1]], width))
+                    at, to = words.first[k], words.first[k + 1]
+                    s = np.unique(shingles(hashes[at:to], width))
                     if size_k := len(s):
                         size[k], samples[k] = size_k, minhash(s)
-                        ids[0, k] = s.sum().view(np.int64)
-                        ids[1, k] = np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)
+                        ids[:, k] = np.frombuffer(hashlib.blake2b(words.text(at, to), digest_size=16).digest(), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[i:j], pa.array(size), pa.array(ids[0]), pa.array(ids[1]), _rows(band_keys(samples)), _rows(odd_sketch(samples))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    names=["doc_id", "n_shingles", "seq_a", "seq_b", "bands", "sketch"],
                 )
 
     return run
@@ -214,13 +215,13 @@ def near_text(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     plain = texts(docs)
     signed = staged(plain.mapInArrow(_sign(width), SIGNED), "signed")
     of_set = signed.where("n_shingles > 0 and doc_id is not null")
-    # One row for each set: its least document, with what describes the set.
-    classes = of_set.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    firsts = classes.select("set_a", "set_b", F.col("least").alias("doc_id"))
+    # One row for each word sequence: its least document, with what describes its set.
+    classes = of_set.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    firsts = classes.select("seq_a", "seq_b", F.col("least").alias("doc_id"))
     reps = staged(
-        of_set.join(firsts, ["set_a", "set_b", "doc_id"], "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps"
+        of_set.join(firsts, ["seq_a", "seq_b", "doc_id"], "left_semi").groupBy("doc_id", "seq_a", "seq_b").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps"
     )
-    same = of_set.join(classes.where("least != most"), ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    same = of_set.join(classes.where("least != most"), ["seq_a", "seq_b"]).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
 
     dealt = reps.select("doc_id", F.explode("bands").alias("band")).distinct()
     sizes = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")

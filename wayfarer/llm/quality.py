@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
 from wayfarer.llm.labelled import fitted, sigmoid
-from wayfarer.llm.words import _BYTE_VALUE, Words, mix, ranges_hash, word_chunks
+from wayfarer.llm.words import Words, bytes_hash, lowered, mix, word_chunks
 
 DIM, ROWS, HIDDEN = 32, 1 << 14, 32
 #: The fit's bound: so many labelled documents of each class at most.
@@ -41,8 +41,7 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word in lower case, and hash of its shape."""
     data, start, end = words.data, words.start, words.end
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    word = ranges_hash(_BYTE_VALUE[lower], start, end)
+    word = bytes_hash(lowered(data), start, end)
     kind = _KIND[data]
     counts = []
     for k in range(5):

@@ -1,18 +1,20 @@
 """Removal of long word passages that an earlier document has, through FM-indexes.
 
-1. Documents with the same word sequence are one class; its smallest id stands for
-   it and only that one goes on.
+1. Documents with the same words in the same order (by SHA-256) are one class; its
+   smallest id stands for it and only that one goes on.
 2. Each window of 50 words has an anchor: the least hash of the 8-word runs in it,
    which depends on nothing but the window's words. Windows whose anchor is in one
    document only can't repeat. Consecutive windows with one anchor are a segment.
-3. Equal segments are counted once, under their smallest document. Windows found in
-   two different segments (by hash) are cut out as runs, again kept once each. These
-   runs, however many documents hold them, are what the indexes are made of.
-4. Runs are sharded by anchor, so equal windows always meet. Each shard has a
-   compressed FM-index; runs are streamed through it backwards, which gives the
-   matching statistics at each word. Where they reach 50, the matches' interval in
-   suffix order names the smallest document that has that very window.
-5. The intervals go back to the segments, from there to the documents.
+3. Equal segments (by a 128-bit digest of their words) are one, under their smallest
+   document. The others of an anchor may have anything from 8 words on in common.
+4. Segments are sharded by anchor, so equal windows always meet. A shard's lower half
+   by document and its upper half get a compressed FM-index each. Segments stream
+   through it backwards, the upper ones through both, which gives the matching
+   statistics at each word. Where they reach 50, the match's interval in suffix order
+   names the smallest indexed document that has that very window.
+5. An anchor with more words than a shard may have is split by its windows' hashes,
+   after those windows that one segment has alone were set aside.
+6. The intervals go back to the segments, from there to the documents.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from wayfarer.llm.common import staged, texts
 from wayfarer.llm.fm_index import FmIndex
-from wayfarer.llm.words import Words, mix, ranges_hash, word_chunks
+from wayfarer.llm.words import Words, sliding_hash, word_chunks
 
 GRAM = 8
+#: Words of a shard on average. An anchor with more of them is split.
 SHARD_WORDS = 60_000
 
 
@@ -45,13 +48,12 @@ def window_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     if len(hashes) < window:
         return np.zeros(0, np.int64)
     gram = min(GRAM, window)
-    start = np.arange(len(hashes) - gram + 1)
-    return _sliding_min(ranges_hash(hashes, start, start + gram), window - gram + 1).view(np.int64)
+    return _sliding_min(sliding_hash(hashes, gram), window - gram + 1).view(np.int64)
 
 
-def _double_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    other = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
-    return ranges_hash(hashes, start, end).view(np.int64), ranges_hash(other, start, end).view(np.int64)
+def _digests(texts_: list[bytes]) -> list[np.ndarray]:
+    """128 bits of each text, as two columns."""
+    return list(np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts_), np.int64).reshape(-1, 2).T)
 
 
 def _lists(values: np.ndarray, lengths: list[int] | np.ndarray) -> pa.ListArray:
@@ -62,7 +64,7 @@ def _sha256(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest()
 
 
-READ = "doc_id long, text_id long, n_words long, seq_a long, seq_b long, sha256 string, anchors array<long>"
+READ = "doc_id long, text_id long, n_words long, sha256 string, anchors array<long>"
 
 
 def _read(window: int):
@@ -70,15 +72,14 @@ def _read(window: int):
         for batch in batches:
             for i, j, words in word_chunks(batch.column("text")):
                 hashes, sha, anchors = words.hashes(), [], []
-                a, b = _double_hash(hashes, words.first[:-1], words.first[1:])
                 for k in range(j - i):
                     at, to = words.first[k], words.first[k + 1]
                     sha.append(_sha256(words.text(at, to)))
                     anchors.append(np.unique(window_anchors(hashes[at:to], window)))
                 flat = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.select(["doc_id", "text_id"]).slice(i, j - i).columns, pa.array(np.diff(words.first)), pa.array(a), pa.array(b), pa.array(sha, pa.string()), _lists(flat, [len(x) for x in anchors])],
-                    names=["doc_id", "text_id", "n_words", "seq_a", "seq_b", "sha256", "anchors"],
+                    [*batch.select(["doc_id", "text_id"]).slice(i, j - i).columns, pa.array(np.diff(words.first)), pa.array(sha, pa.string()), _lists(flat, [len(x) for x in anchors])],
+                    names=["doc_id", "text_id", "n_words", "sha256", "anchors"],
                 )
 
     return run
@@ -108,18 +109,18 @@ def _segments(window: int):
                     at, to = edge[:-1][keep], edge[1:][keep]
                     found.append((np.full(len(at), i + k), at, to - at, anchor[at], base + at))
                 row, at, n, anchor, start = (np.concatenate(x) for x in zip(*found, strict=True))
-                a, b = _double_hash(hashes, start, start + n + window - 1)
+                a, b = _digests([words.text(x, y) for x, y in zip(start, start + n + window - 1, strict=True)])
                 ids = batch.select(["doc_id", "text_id"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*ids.columns, *map(pa.array, (at, n, anchor, a, b))], names=["doc_id", "text_id", "at", "n", "anchor", "seg_a", "seg_b"])
 
     return run
 
 
-CUT = "anchor long, seg_a long, seg_b long, doc_id long, windows array<long>, text binary"
+CUT = "anchor long, seg_a long, seg_b long, doc_id long, hot boolean, windows array<long>, text binary"
 
 
 def _cut(window: int):
-    """The text of chosen segments, and a hash of each of their windows."""
+    """The text of chosen segments, and for hot anchors a hash of each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,65 +129,87 @@ def _cut(window: int):
                 hashes, rows, windows = words.hashes(), [], []
                 for k in range(j - i):
                     for x in wanted[i + k]:
-                        start = words.first[k] + x["at"] + np.arange(x["n"])
-                        windows.append(ranges_hash(hashes[start[0] : start[-1] + window], start - start[0], start - start[0] + window).view(np.int64))
-                        rows.append((x["anchor"], x["seg_a"], x["seg_b"], i + k, words.text(start[0], start[-1] + window)))
+                        start = words.first[k] + x["at"]
+                        end = start + x["n"] + window - 1
+                        windows.append(sliding_hash(hashes[start:end], window).view(np.int64) if x["hot"] else np.zeros(0, np.int64))
+                        rows.append((x["anchor"], x["seg_a"], x["seg_b"], i + k, x["hot"], words.text(start, end)))
                 if rows:
-                    anchor, a, b, row, text = zip(*rows, strict=True)
+                    anchor, a, b, row, hot, text = zip(*rows, strict=True)
                     ids = batch.column("doc_id").take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [*map(pa.array, (anchor, a, b)), ids, _lists(np.concatenate(windows), [len(x) for x in windows]), pa.array(text, pa.binary())],
-                        names=["anchor", "seg_a", "seg_b", "doc_id", "windows", "text"],
+                        [*map(pa.array, (anchor, a, b)), ids, pa.array(hot), _lists(np.concatenate(windows), [len(x) for x in windows]), pa.array(text, pa.binary())],
+                        names=[c.split()[0] for c in CUT.split(", ")],
                     )
 
     return run
 
 
-RUNS = "anchor long, seg_a long, seg_b long, doc_id long, skip long, run_a long, run_b long, text binary"
+RUNS = "anchor long, part int, seg_a long, seg_b long, doc_id long, skip long, n long, run_a long, run_b long, text binary"
 
 
 def _runs(window: int):
-    """Stretches of consecutive repeated windows, cut out of their segments."""
+    """Stretches of consecutive repeated windows of one part, cut out of their segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column("places").to_pylist()
             for i, j, words in word_chunks(batch.column("text")):
-                hashes, rows = words.hashes(), []
+                rows = []
                 for k in range(j - i):
                     p = np.sort(np.array(places[i + k], np.int64))
-                    edge = np.flatnonzero(np.diff(p) > 1) + 1
-                    for stretch in np.split(p, edge):
+                    for stretch in np.split(p, np.flatnonzero(np.diff(p) > 1) + 1):
                         start = words.first[k] + stretch[0]
-                        rows.append((i + k, stretch[0], start, start + len(stretch) + window - 1))
-                row, skip, start, end = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-                a, b = _double_hash(hashes, start, end)
-                ids = batch.select(["anchor", "seg_a", "seg_b", "doc_id"]).take(pa.array(row))
-                text = pa.array([words.text(s, e) for s, e in zip(start, end, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(skip), pa.array(a), pa.array(b), text], names=[x.split()[0] for x in RUNS.split(", ")])
+                        rows.append((i + k, stretch[0], len(stretch), words.text(start, start + len(stretch) + window - 1)))
+                row, skip, n, text = zip(*rows, strict=True)
+                ids = batch.select(["anchor", "part", "seg_a", "seg_b", "doc_id"]).take(pa.array(row))
+                columns = [*ids.columns, pa.array(skip, pa.int64()), pa.array(n, pa.int64()), *map(pa.array, _digests(text)), pa.array(text, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RUNS.split(", ")])
 
     return run
 
 
-OWNERS = "anchor long, run_a long, run_b long, owners array<long>"
+EARLIER = "anchor long, part int, run_a long, run_b long, place long, n long"
 
 
-def _owners(window: int):
-    """One shard: index its runs, stream them through it, name each window's owner."""
+def earlier_windows(doc: np.ndarray, values: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """Which windows of these sequences, by their first word, an earlier document has.
+
+    ``doc`` is each sequence's document, in ascending order. The lower half is
+    indexed and all sequences are streamed through it; then the upper half is, for
+    what the lower one doesn't have.
+    """
+    ends = np.cumsum(lengths)
+    middle = doc[min(int(np.searchsorted(ends, ends[-1] // 2)), len(doc) - 1)]
+    low = int(np.searchsorted(doc, middle, "right"))
+    owner = np.full(len(values), np.iinfo(np.int64).max)
+    for first, last in ((0, low), (low, len(doc))):
+        if first < last:
+            a, b = int(ends[first] - lengths[first]), int(ends[last - 1])
+            index = FmIndex(values[a:b], lengths[first:last], window)
+            size, where = index.matching_statistics(values[a:], lengths[first:])
+            found = np.where(size >= window, index.least(doc[first:last])[where], np.iinfo(np.int64).max)
+            owner[a:] = np.minimum(owner[a:], found)
+    return owner < np.repeat(doc, lengths)
+
+
+def _earlier(window: int):
+    """One shard: ranges of windows that an earlier document of the shard has."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("run_a", "ascending"), ("run_b", "ascending")])
         words = [x.split(b" ") for x in table.column("text").to_pylist()]
         lengths = np.array([len(x) for x in words])
         number: dict[bytes, int] = {}
         values = np.array([number.setdefault(w, len(number) + 1) for x in words for w in x])
-        index = FmIndex(values, lengths)
-        size, where = index.matching_statistics(values, lengths)
-        least = index.least(table.column("doc_id").to_numpy(), window)
-        # A window starts at every word of a run but the last window - 1.
-        starts = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        inside = starts <= np.repeat(lengths, lengths) - window
-        owner = np.where(size >= window, least[where], np.iinfo(np.int64).max)[inside]
-        return pa.table([table.column(x) for x in ("anchor", "run_a", "run_b")] + [_lists(owner, lengths - window + 1)], names=["anchor", "run_a", "run_b", "owners"])
+        del words
+        hit = earlier_windows(table.column("doc_id").to_numpy(), values, lengths, window)
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.flatnonzero(hit)
+        heads = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(of[at], prepend=-1) != 0)) if len(at) else at
+        first = at[heads]
+        n = np.diff(np.append(heads, len(at)))
+        keys = table.select(["anchor", "part", "run_a", "run_b"]).take(pa.array(of[first]))
+        return pa.table([*keys.columns, pa.array(first - (np.cumsum(lengths) - lengths)[of[first]]), pa.array(n, pa.int64())], names=[x.split()[0] for x in EARLIER.split(", ")])
 
     def shard(table: pa.Table) -> pa.Table:
         return run(table)
@@ -261,9 +284,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     plain = _with_text_id(docs)
     read = staged(plain.mapInArrow(_read(window), READ), "read")
     able = read.where(f"n_words >= {window} and doc_id is not null")
-    classes = able.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_id")).alias("rep"), F.max("doc_id").alias("most"))
-    reps = able.join(classes.select("seq_a", "seq_b", "rep.doc_id", "rep.text_id"), ["seq_a", "seq_b", "doc_id", "text_id"], "left_semi").select("doc_id", "text_id", "anchors").dropDuplicates(["doc_id", "text_id"])
-    whole = able.join(classes.where("least < most"), ["seq_a", "seq_b"]).where("doc_id > least").select("doc_id", "text_id", F.col("n_words").alias("gone")).distinct()
+    classes = able.groupBy("sha256").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_id")).alias("rep"), F.max("doc_id").alias("most"))
+    reps = able.join(classes.select("sha256", "rep.doc_id", "rep.text_id"), ["sha256", "doc_id", "text_id"], "left_semi").select("doc_id", "text_id", "anchors").dropDuplicates(["doc_id", "text_id"])
+    whole = able.join(classes.where("least < most"), "sha256").where("doc_id > least").select("doc_id", "text_id", F.col("n_words").alias("gone")).distinct()
 
     dealt = reps.select("doc_id", "text_id", F.explode("anchors").alias("anchor"))
     shared = dealt.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
@@ -273,24 +296,38 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     segments = staged(held.mapInArrow(_segments(window), SEGMENTS), "segments")
     key = ["anchor", "seg_a", "seg_b"]
     firsts = staged(segments.groupBy(key).agg(F.min(F.struct("doc_id", "text_id", "at", "n")).alias("o")).select(*key, "o.*"), "firsts")
-    chosen = firsts.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n", *key)).alias("wanted"))
+    # Anchors whose distinct segments are all of one document repeat nothing more.
+    open_ = firsts.groupBy("anchor").agg(F.sum(F.col("n") + (window - 1)).alias("words"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    open_ = open_.select("anchor", (F.col("words") > SHARD_WORDS).alias("hot"))
+    chosen = firsts.join(open_, "anchor").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n", "hot", *key)).alias("wanted"))
     cut = staged(held.select("doc_id", "text_id", "text").join(chosen, ["doc_id", "text_id"]).mapInArrow(_cut(window), CUT), "cut")
 
-    windows = cut.select(*key, F.posexplode("windows").alias("place", "w"))
+    # Of hot anchors, only windows in two segments go on, each in the part of its hash.
+    hot = cut.where("hot")
+    windows = hot.select(*key, F.posexplode("windows").alias("place", "w"))
     # Segments of one anchor differ, so a window in two of them is in two (seg_a, seg_b).
-    again = windows.groupBy("anchor", "w").agg(F.min(F.struct("seg_a", "seg_b")).alias("a"), F.max(F.struct("seg_a", "seg_b")).alias("b")).where("a != b").select("anchor", "w")
-    places = windows.join(again, ["anchor", "w"]).groupBy(key).agg(F.collect_list("place").alias("places"))
-    runs = staged(cut.join(places, key).select(*key, "doc_id", "places", "text").mapInArrow(_runs(window), RUNS), "runs")
-    distinct = staged(runs.groupBy("anchor", "run_a", "run_b").agg(F.min(F.struct("doc_id", "text")).alias("o")).select("anchor", "run_a", "run_b", "o.*"), "distinct")
-    amount = distinct.agg(F.sum(F.length("text"))).first()[0] or 0
+    again = windows.groupBy("anchor", "w").agg(F.min(F.struct("seg_a", "seg_b")).alias("a"), F.max(F.struct("seg_a", "seg_b")).alias("b"), F.count("*").alias("times")).where("a != b").select("anchor", "w", "times")
+    parts = again.groupBy("anchor").agg(F.ceil(F.sum("times") / SHARD_WORDS).cast("int").alias("parts"))
+    placed = windows.join(again.join(parts, "anchor"), ["anchor", "w"]).groupBy(*key, F.pmod("w", "parts").cast("int").alias("part")).agg(F.collect_list("place").alias("places"))
+    split = hot.join(placed, key).select(*key, "part", "doc_id", "places", "text").mapInArrow(_runs(window), RUNS)
+    cool = cut.where("not hot").select("anchor", F.lit(0).alias("part"), "seg_a", "seg_b", "doc_id", F.lit(0).cast("long").alias("skip"), F.lit(None).cast("long").alias("n"), F.col("seg_a").alias("run_a"), F.col("seg_b").alias("run_b"), "text")
+    split = staged(split, "runs")
+    run_key = ["anchor", "part", "run_a", "run_b"]
+    merged = split.groupBy(run_key).agg(F.min(F.struct("doc_id", "text")).alias("o")).select(*run_key, "o.*")
+    runs = staged(cool.select(*run_key, "doc_id", "text").union(merged), "distinct")
+    amount = runs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + amount // (6 * SHARD_WORDS)
-    indexed = distinct.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_owners(window), OWNERS)
-    owned = runs.drop("text").join(indexed, ["anchor", "run_a", "run_b"]).select(*key, "doc_id", "skip", F.posexplode("owners").alias("place", "owner")).where("owner < doc_id")
+    found = staged(runs.withColumn("shard", F.pmod(F.xxhash64("anchor", "part"), F.lit(shards))).groupBy("shard").applyInArrow(_earlier(window), EARLIER), "earlier")
+
     # (segment, its first document): windows that an earlier document has.
-    earlier = owned.select(*key, "doc_id", (F.col("skip") + F.col("place")).alias("place"))
+    of_cool = found.join(cool.drop("text", "n"), run_key).select(*key, "doc_id", F.col("place").alias("from"), "n")
+    owners = split.drop("text").join(merged.select(*run_key, F.col("doc_id").alias("owner")), run_key)
+    of_hot = owners.where("doc_id = owner").drop("n").join(found, run_key).select(*key, "doc_id", (F.col("skip") + F.col("place")).alias("from"), "n")
+    of_copies = owners.where("doc_id > owner").select(*key, "doc_id", F.col("skip").alias("from"), "n")
+    earlier = of_cool.union(of_hot).union(of_copies)
 
     later = segments.join(firsts.select(*key, F.col("doc_id").alias("least")), key).where("doc_id > least").select("doc_id", "text_id", "at", "n")
-    single = segments.join(earlier, [*key, "doc_id"]).select("doc_id", "text_id", (F.col("at") + F.col("place")).alias("at"), F.lit(1).cast("long").alias("n"))
+    single = segments.drop("n").join(earlier, [*key, "doc_id"]).select("doc_id", "text_id", (F.col("at") + F.col("from")).alias("at"), "n")
     hits = later.union(single).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
     part = held.select("doc_id", "text_id", "text").join(hits, ["doc_id", "text_id"]).mapInArrow(_apply(window), SPANS)
     gone = F.col("gone").isNotNull()

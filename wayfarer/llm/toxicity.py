@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
 from wayfarer.llm.labelled import fitted, sigmoid
-from wayfarer.llm.words import _BYTE_VALUE, Words, ranges_hash, split_rows, word_chunks
+from wayfarer.llm.words import Loads, Words, bytes_hash, mix, ragged, split_rows, word_chunks
 
 BUCKETS, DIM = 1 << 17, 8
 #: Words of the stretches that are looked at, from every word on.
@@ -38,7 +38,7 @@ def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     for _ in range(3):
         start += _PUNCT[words.data[start]] & (end - start > 1)
         end -= _PUNCT[words.data[end - 1]] & (end - start > 1)
-    h, at, number = np.unique(ranges_hash(_BYTE_VALUE[words.data], start, end), return_index=True, return_inverse=True)
+    h, at, number = np.unique(bytes_hash(words.data, start, end), return_index=True, return_inverse=True)
     return number, h, start[at], end[at]
 
 
@@ -52,11 +52,10 @@ def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     within = inner - first[of]
     marked = data[np.clip(start[of] + within - 1, 0, max(0, len(data) - 1))] if len(of) else np.zeros(0, np.uint8)
     marked = np.where(within == 0, np.uint8(2), np.where(within == n[of] - 1, np.uint8(3), marked))
-    values = _BYTE_VALUE[marked]
-    out = [(np.arange(len(n)), ranges_hash(values, first, ends))]
+    out, loads = [(np.arange(len(n)), bytes_hash(marked, first, ends))], Loads(marked)
     for k in range(3, 7):
         at = np.flatnonzero(within + k <= n[of])
-        out.append((of[at], ranges_hash(values, at, at + k)))
+        out.append((of[at], mix(loads.at(at, np.full(len(at), k)) + np.uint64(k << 56))))
     word, h = (np.concatenate(x) for x in zip(*out, strict=True))
     return word, (h % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -72,7 +71,7 @@ class Pooling:
         self.starts, self.at = [], []
         for w in WIDTHS:
             many = np.maximum(self.n - w + 1, 1)
-            self.starts.append(_ragged(self.first, many))
+            self.starts.append(ragged(self.first, many))
             self.at.append(np.cumsum(many) - many)
 
     def views(self, logit: np.ndarray, pick: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -104,12 +103,6 @@ class Pooling:
         return np.cumsum(steps)[:-1] + np.repeat(error * mix[-1] / self.n, self.n)
 
 
-def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each of several ranges, one after another."""
-    ends = np.cumsum(length)
-    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 class Model:
     """What scoring needs: each bucket's share of the toxic logit, the views' weights, a bias and a fallback."""
 
@@ -179,7 +172,7 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
         a, b = first[i], first[j]
         part = np.unique(doc_of_word[a:b] * np.int64(base) + number[a:b])
         doc, w = part // base, part % base
-        has = np.unique(np.repeat(doc, size[w]) * BUCKETS + bucket_of[_ragged(gram_at[w], size[w])])
+        has = np.unique(np.repeat(doc, size[w]) * BUCKETS + bucket_of[ragged(gram_at[w], size[w])])
         bad = y[has // BUCKETS] == 1
         toxic += np.bincount(has[bad] % BUCKETS, minlength=BUCKETS)
         clean += np.bincount(has[~bad] % BUCKETS, minlength=BUCKETS)

@@ -6,29 +6,23 @@ never cut inside a character.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_VALUE = np.random.default_rng(20240817).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) <= n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            x = np.full(max(n + 1, 2 * len(_POWERS[0])), base, np.uint64)
-            x[0] = 1
-            _POWERS[i] = np.cumprod(x)
-    return _POWERS[0], _POWERS[1]
+#: The first so many bytes of 8, as a little-endian integer.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Longer ranges of bytes are hashed one by one, so that no long word costs a round of its own.
+LONG = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,13 +35,93 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def ranges_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for many ranges at once, from prefix sums."""
-    up, down = _powers(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of several ranges, one after another."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order; of either one a bijection while the other stays."""
+    return mix(mix(a + _ODD) ^ (b * _ODD))
+
+
+class Loads:
+    """The 8 bytes from any place of ``data`` on, as integers; zeros stand behind its end."""
+
+    def __init__(self, data: np.ndarray):
+        whole = np.zeros(len(data) // 8 + 3, np.uint64)
+        whole.view(np.uint8)[: len(data)] = data
+        self.whole = whole
+
+    def at(self, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """From each place on, ``most`` bytes if these are fewer than 8."""
+        word, shift = place >> 3, ((place & 7) << 3).astype(np.uint64)
+        value = self.whole[word] >> shift
+        value |= (self.whole[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return value & _MASK[np.minimum(most, 8)]
+
+
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for many ranges at once.
+
+    Blocks of 8 bytes are chained by ``mix``, and ranges over ``LONG`` bytes get a
+    blake2b digest: unlike a polynomial, neither gives texts of some regular form the
+    same hash. Different seeds give hashes that are independent of each other.
+    """
+    length = end - start
+    h = mix(length.astype(np.uint64) + np.uint64(seed) * _ODD + np.uint64(1))
+    loads, done = Loads(data), 0
+    now = np.flatnonzero((length > 0) & (length <= LONG))
+    at, left, x = start[now], length[now], h[now]
+    while len(now):
+        x = combine(x, loads.at(at, left))
+        going = left > 8
+        if not going.all():
+            h[now[~going]] = x[~going]
+            now, at, left, x = now[going], at[going], left[going], x[going]
+        at, left, done = at + 8, left - 8, done + 8
+    for i in np.flatnonzero(length > LONG):
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(16, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a[a_start:][:length] and b[b_start:][:length] are equal, for many ranges at once."""
+    same = np.ones(len(length), bool)
+    x, y = Loads(a), Loads(b)
+    now = np.flatnonzero((length > 0) & (length <= LONG))
+    at = 0
+    while len(now):
+        left = length[now] - at
+        same[now] &= x.at(a_start[now] + at, left) == y.at(b_start[now] + at, left)
+        at += 8
+        now = now[(left > 8) & same[now]]
+    for i in np.flatnonzero(length > LONG):
+        same[i] = np.array_equal(a[a_start[i] : a_start[i] + length[i]], b[b_start[i] : b_start[i] + length[i]])
+    return same
+
+
+def sliding_hash(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` consecutive hashes; none if there are fewer."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, have, power, size = None, 0, h, 1
+    while True:
+        if k & size:
+            part = power[have : have + n]
+            out = part if out is None else combine(out, part)
+            have += size
+        size *= 2
+        if size > k:
+            return mix(out + np.uint64(k))
+        power = combine(power[: len(power) - size // 2], power[size // 2 :])
 
 
 def split_rows(lengths: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -72,18 +146,17 @@ class Words:
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         inside = ~_SPACE[self.data]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(data) else np.zeros(0, np.int64)
-        opens = inside[edge] if len(edge) else np.zeros(0, bool)
-        bounds = offsets[(offsets > 0) & (offsets < len(data))]
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
         # A document may begin right after another's last word.
-        bounds = bounds[inside[bounds] & inside[bounds - 1]] if len(bounds) else bounds
-        starts = np.concatenate([[0] if len(data) and inside[0] else [], edge[opens], bounds]).astype(np.int64)
-        ends = np.concatenate([edge[~opens], bounds, [len(data)] if len(data) and inside[-1] else []]).astype(np.int64)
-        self.start, self.end = np.unique(starts), np.unique(ends)
+        bounds = offsets[(offsets > 0) & (offsets < len(data))]
+        opens[bounds], closes[bounds - 1] = inside[bounds], inside[bounds - 1]
+        self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        return ranges_hash(_BYTE_VALUE[self.data], self.start, self.end)
+        return bytes_hash(self.data, self.start, self.end)
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j - 1, joined by one space."""
@@ -120,8 +193,4 @@ def word_chunks(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words; of all of them as one if there are fewer."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    start = np.arange(max(1, n - k + 1))
-    return ranges_hash(hashes, start, np.minimum(start + k, n))
+    return sliding_hash(hashes, min(k, len(hashes))) if len(hashes) else hashes
