@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfarer.functions import arrays, dates, text, vectors
-from wayfarer.operators import career, merge, ranking
+from wayfarer.operators import career, merge, ranking, resume, skills
+from wayfarer.sources import files, shared
 from wayfarer.streaming import views
 
 
@@ -22,12 +23,12 @@ def test_months_differ_by_rule(spark):
     assert [tuple(r) for r in got] == [(14, 14.0, 14), (3, 3.0, 0), (12, 12.0, 14), (-5, -5.0, 0), (None, 0.0, None), (None, 0.0, 14), (0, 0.0, None)]
 
 
-@pytest.mark.parametrize("n", [1, 2, 6, 7, 17])
-def test_last_sixteen_sub_paths(spark, n):
+@pytest.mark.parametrize(("n", "keep"), [(1, 16), (2, 16), (6, 16), (7, 16), (17, 16), (9, 1), (9, 2), (9, 15), (9, 21), (9, 400), (3, 2)])
+def test_last_sub_paths(spark, n, keep):
     df = spark.createDataFrame([(1, i, f"s{i}") for i in range(n)], "p long, n long, v string")
-    got = [(r["length"], r["start"], r["target"]) for r in career.sub_paths(df, "p", "n", F.col("v")).collect()]
+    got = [(r["length"], r["start"], r["target"]) for r in career.sub_paths(df, "p", "n", F.col("v"), keep).collect()]
     every = [(length, j, f"s{j + length - 1}") for length in range(2, n + 1) for j in range(n - length + 1)]
-    assert sorted(got) == sorted(every[-16:])
+    assert sorted(got) == sorted(every[-keep:])
     assert career.sub_paths(df, "p", "n", F.col("v"), keep=None).count() == len(every)
 
 
@@ -50,17 +51,54 @@ def test_texts(spark):
     assert one(spark, text.without_summary_mark(F.lit(" SUMMARY: x "))) == "x"
     assert one(spark, text.chat_title(F.lit(" "), F.lit("nurse"))) == "About nurse"
     assert one(spark, text.chat_title(F.lit(None).cast("string"), F.lit(None).cast("string"))) == "New chat"
-    assert one(spark, text.occupation_text(F.lit("t"), F.lit("d"), F.array().cast("array<string>"))) == "esco role: t\ndescription: d"
+    assert one(spark, text.occupation_text(F.lit("t"), F.lit("d"), F.lit(""))) == "esco role: t \n description: d"
+    assert one(spark, text.occupation_text(F.lit("t"), F.lit("d"), F.lit("a, b"))) == "esco role: t \n alt labels: a, b \n description: d"
     assert one(spark, text.label_name(F.lit("esco role: cook \nx"))) == "cook"
     assert one(spark, text.last_segment(F.lit("a/b/c"))) == "c"
     assert one(spark, text.replaced(F.lit(" Dev "), {"dev": "developer"})) == "developer"
 
 
-def test_domain_needs_its_context(spark):
-    tokens = F.array(F.lit("machine learning"), F.lit("law"))
-    asked = lambda context: one(spark, text.in_domain(F.lit("research in law"), tokens, F.lit("law"), F.lit(context)))
-    assert asked("knows law well") and asked("did machine learning") and not asked("a lawyer")
-    assert one(spark, text.in_domain(F.lit("cooking"), tokens, F.lit("law"), F.lit("")))
+@pytest.mark.parametrize(
+    ("label", "context", "fine"),
+    [
+        ("leadership in nursing", "a nurse", True), ("leadership in nursing", "nurses", False), ("Leadership for the  Nursing", "Nursing!", True), ("nursing management for hotels", "", True), ("plan in an outdoor setting", "camping", True),
+        ("plan in an outdoor setting", None, False), ("care of social  work", "caseworkers", False), ("care of social  work", "a case workers' hall", True), ("chart in nursingly", "", True), ("skin of maritime", "ship's", False), ("skin of maritime", "the ship", True),
+    ],
+)
+def test_domain_needs_its_context(spark, label, context, fine):
+    assert one(spark, skills.borne_out(F.lit(label), F.lit(context).cast("string"))) is fine
+
+
+def test_modifiers(spark):
+    assert [one(spark, skills.is_modifier(F.lit(x))) for x in (" Expert ", "web-based", "based", "expertise")] == [True, True, False, False]
+
+
+def test_score_at_the_threshold_and_a_look_at_twenty(spark):
+    """A score of exactly 0.6 counts; a fit one behind 20 misfits isn't seen."""
+    vec = lambda x: [x, (1 - x * x) ** 0.5]
+    skill = [("a", 0, "x", "", [1.0, 0.0])]
+    rows = [(i, i, "leadership in nursing", vec(0.9)) for i in range(20)] + [(30, 30, "fine", vec(0.8))]
+    df = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    one_skill = df(skill, "user string, position int, skill string, context string, vec array<double>")
+    run = lambda rows: skills.mapped_skills(one_skill, df(rows, "id long, concept long, label string, vec array<double>"), df([(c, f"u/{c}", f"n{c}", v) for _, c, _, v in rows], "concept long, uri string, name string, vec array<double>"), df([], "name string, uri string"), ["X"]).collect()
+    assert run(rows) == [] and [r["uri"] for r in run(rows[1:])] == ["u/30"]
+    assert [r["uri"] for r in run([(1, 1, "fine", [0.6, 0.8])])] == ["u/1"] and run([(1, 1, "fine", [0.59, 0.8])]) == []
+
+
+def test_best_concepts_in_blocks(spark):
+    rng = [((i * 37) % 19 / 19, (i * 11) % 7 / 7) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 13, list(v)) for i, v in enumerate(rng)], "id long, concept long, vec array<double>")
+    concepts = spark.createDataFrame([(c, [c / 13, 1 - c / 13]) for c in range(13)], "concept long, vec array<double>")
+    asked = spark.createDataFrame([(q, [q / 9, 1 - q / 5], q % 2 == 0) for q in range(9)], "query long, vec array<double>, concrete boolean")
+    whole = sorted(skills.best_concepts(asked, labels, concepts, 3, 90).collect())
+    assert whole == sorted(skills.best_concepts(asked, labels, concepts, 3, 90, most=4).collect()) and len(whole) == 27
+
+
+def test_against_bank_in_blocks(spark):
+    bank = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(50)], "id long, vec array<double>")
+    asked = spark.createDataFrame([(q, [1.0, q / 3], q % 50) for q in range(12)], "query long, vec array<double>, own long")
+    rows = lambda most: {r["query"]: (r["above"], r["ties"], pytest.approx(r["loss"])) for r in ranking.against_bank(asked, bank, 50, 0.5, 3.0, most).collect()}
+    assert rows(20_000) == {q: (a, t, x.expected) for q, (a, t, x) in rows(6).items()}
 
 
 def test_arrays(spark):
@@ -86,13 +124,14 @@ def test_vectors(spark):
 def test_ranking_of_nulls_and_missing_user(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0], 5.0), (2, [0.0, 1.0], None), (3, [-1.0, 0.0], 7.0)], "id long, vec array<double>, salary double")
     user = spark.createDataFrame([([1.0, 0.0],)], "vec array<double>")
-    ids = lambda spec: [r["id"] for r in ranking.rank_page(items, user, spec).collect()]
+    ids = lambda spec: [r["id"] for r in ranking.rank_page(items, user, spec).first()["items"]]
     assert ids(ranking.RankSpec()) == [1, 2, 3]
     assert ids(ranking.RankSpec(sort="salary", order="asc")) == [1, 3, 2]
     assert ids(ranking.RankSpec(sort="salary")) == [3, 1, 2]
     assert ids(ranking.RankSpec(sort="nothing", order="up", page=0, page_size=1)) == [1]
     assert ids(ranking.RankSpec(least=(("salary", 6.0),))) == [3]
-    assert ranking.rank_page(items, user.limit(0), ranking.RankSpec()).count() == 0
+    assert tuple(ranking.rank_page(items, user.limit(0), ranking.RankSpec()).first()) == ([], 0)
+    assert tuple(ranking.rank_page(items, user, ranking.RankSpec(page=9)).first()) == ([], 3)
 
 
 def test_metrics_by_cutoff(spark):
@@ -127,10 +166,19 @@ def test_upsert_delete_upsert(spark):
 
 
 def test_append_unless_present(spark):
-    current = spark.createDataFrame([(1, "Cook", 0)], "u long, title string, pos int")
-    new = spark.createDataFrame([(1, "cook", 0), (1, "Nurse", 1), (1, "NURSE", 2), (2, "Smith", 0)], "u long, title string, pos int")
-    got = merge.appended(current, new, "u", [F.lower("title")], "pos", "pos").collect()
-    assert sorted(tuple(r) for r in got) == [(1, "Cook", 0), (1, "Nurse", 1), (2, "Smith", 0)]
+    current = spark.createDataFrame([(1, "Cook", None, 0)], "u long, title string, start string, pos int")
+    new = spark.createDataFrame([(1, "cook", None, 0), (1, "Nurse", None, 1), (1, "NURSE", None, 2), (1, "Nurse", "1/2020", 3), (1, " ", None, 4), (1, None, None, 5), (2, "Smith", "x", 0)], current.schema)
+    once = merge.appended(current, new, "u", "title", [F.col("start")], "pos", "pos")
+    want = [(1, "Cook", None, 0), (1, "Nurse", None, 1), (1, "Nurse", "1/2020", 2), (2, "Smith", "x", 0)]
+    assert sorted((tuple(r) for r in once.collect()), key=repr) == sorted(want, key=repr)
+    again = merge.appended(once, new, "u", "title", [F.col("start")], "pos", "pos")
+    assert sorted((tuple(r) for r in again.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_patches_of_one_key_do_not_multiply_it(spark):
+    current = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k long, x string, y string")
+    patch = spark.createDataFrame([(1, 1, ["x"], "p", None), (1, 2, ["y"], "q", None)], "k long, o long, set_fields array<string>, x string, y string")
+    assert sorted(tuple(r) for r in merge.patched(current, patch, "k", ["x", "y"], "o").collect()) == [(1, "a", None), (2, "c", "d")]
 
 
 def test_events_are_routed(spark):
@@ -148,3 +196,77 @@ def test_stream_in_several_batches(spark, tmp_path):
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = views.drained_state(log, "k", "o", F.col("kind") == "del").collect()
     assert sorted((r["k"], r["o"]) for r in got) == [(2, 4), (3, 5)]
+
+
+def test_state_parts_of_older_batches_go(spark, tmp_path):
+    table = views.StateTable(spark, f"file://{tmp_path}/s", "k", "o", parts=4)
+    schema = "k long, o long, v string"
+    for number in range(5):
+        table.merge(spark.createDataFrame([(number % 2, number, f"v{number}"), (7, 10 + number, "x")], schema), number)
+        # The same batch again gives the same state.
+        table.merge(spark.createDataFrame([(number % 2, number, f"v{number}"), (7, 10 + number, "x")], schema), number)
+    assert sorted(tuple(r) for r in table.state(4).collect()) == [(0, 4, "v4"), (1, 3, "v3"), (7, 14, "x")]
+    fresh = views.StateTable(spark, f"file://{tmp_path}/s", "k", "o", parts=4)
+    fresh.schema = table.schema
+    assert fresh.state(4).count() == 3
+    held = {p.name for b in (tmp_path / "s").glob("b*") for p in b.glob("part=*")}
+    assert held and not [*(tmp_path / "s" / "b0").glob("part=*/*.parquet")]
+
+
+def test_progress_in_one_file_of_odd_lines(spark, tmp_path):
+    lines = ['{"identifier": "7", "i": 1, "summary": "old"}', "", "junk", '{"identifier": 7, "i": 1, "summary": "new"}', '{"identifier": "7", "i": 1, "summary": null}', '{"identifier": "7", "i": 1.5, "summary": "x"}', '{"identifier": "7", "i": true, "summary": "x"}', '{"identifier": "8", "i": 2, "summary": 5}', '{"i": 2, "summary": "x"}', '[1]', '{"summary": " s ", "i": -3, "identifier": "é"}']
+    (tmp_path / "p.jsonl").write_text("\n".join(lines), encoding="utf8")
+    assert sorted(tuple(r) for r in files.read_progress(spark, f"file://{tmp_path}/p.jsonl").collect()) == [("7", 1, "new"), ("é", -3, " s ")]
+
+
+def test_csv_with_bad_fields_and_a_long_one(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,"x ""y""\nz, w"\nn,""\n3,' + "q" * 300_000 + "\n", encoding="utf8")
+    got = [tuple(r) for r in files.read_csv(spark, f"file://{tmp_path}/x.csv", "a int, b string").collect()]
+    assert got[0] == (1, 'x "y"\nz, w') and got[1][0] is None and got[2] == (3, "q" * 300_000)
+    with pytest.raises(Exception):
+        files.write_csv(spark.range(3), f"file://{tmp_path}/x.csv")
+
+
+def test_seed_leaves_filled_tables_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert [files.seed(spark.range(n), path) for n in (0, 3, 5)] == [True, True, False]
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_what_is_written_while_passing_goes(spark):
+    with shared.passing(spark):
+        path = shared.scratch(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert shared.exists(spark, path)
+    assert not shared.exists(spark, path)
+
+
+RESUME = """<div class="section" id="SECTION_SUMM1"><div class="heading"><div class="sectiontitle"> {0} </div></div>loose<p>First  part</p> <p>second &amp; last</p></div>"""
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (RESUME.format("Summary"), ("First part second & last", None, None, [])),
+        (RESUME.format("Position Applying"), (None, None, None, [])),  # an unknown heading counts
+        (RESUME.format(""), ("First part second & last", None, None, [])),  # none: the id decides
+        ('<div class="section" id="SECTION_CERT1">plain <b>x</b></div><div class="section" id="SECTION_EDUC1">y</div>', (None, None, "plain x\ny", [])),
+        (RESUME.format("Profile") + RESUME.format("About").replace("First", "Third"), ("First part second & last", None, None, [])),  # the first one only
+        (RESUME.format("Summary of Qualifications"), ("First part second & last", None, None, ["first part", "second & last"])),  # highlights, both as text and as skills
+        ('<div class="section"><div class="sectiontitle">Skills</div><ul><li>SQL, Excel</li><li>* Word</li></ul></div>', (None, None, None, ["sql", "excel", "word"])),
+        ('<div class="section"><div class="heading"><div class="sectiontitle">skills</div></div><table><tr><td>a;b</td><td>a</td></tr></table></div>', (None, None, None, ["a", "b", "a"])),
+        ('<div class="section"><div class="heading"><div class="sectiontitle">Skills</div></div><p>Go• Rust</p></div><div class="section" id="SECTION_HILT2"><ul><li>rust</li><li>C</li></ul></div>', ("rust C", None, None, ["go", "rust", "c"])),
+        ('<div class="section" id="SECTION_INTR1"></div>', (None, None, None, [])),
+        (None, (None, None, None, [])),
+        ("<div class=section id=SECTION_ADDI1>open<p>end", (None, "open end", None, [])),
+    ],
+)
+def test_resume_sections(spark, html, want):
+    df = spark.createDataFrame([(1, html)], "id long, html string")
+    got = resume.parsed(df, "id", "html").first()
+    assert (got["summary"], got["additional_info"], got["education"], got["skills"]) == want
+
+
+def test_highlights_may_leave_skills_alone(spark):
+    df = spark.createDataFrame([(1, RESUME.format("Highlights"))], "id long, html string")
+    assert resume.parsed(df, "id", "html", highlights_add_skills=False).first()["skills"] == []

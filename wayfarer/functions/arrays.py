@@ -31,6 +31,11 @@ def json_or_null(c: Column) -> Column:
     return F.when(F.size(c) > 0, F.to_json(c))
 
 
+def exact_distinct(c: Column) -> Column:
+    """Distinct values in order, by their exact spelling."""
+    return F.array_distinct(c)
+
+
 def ids_asked(c: Column, most: int = 200) -> Column:
     """Order-preserving distinct ids, at most so many."""
     return F.slice(F.array_distinct(c), 1, most)

@@ -32,7 +32,7 @@ def skill_chunks(c: Column) -> Column:
 
 def clean_skills(chunks: Column) -> Column:
     """Lower-case skills without leading bullets; empty ones go."""
-    bare = F.transform(chunks, lambda x: F.lower(strip(F.regexp_replace(F.regexp_replace(strip(x), r"^[•◦▪●·*\-\s]+", ""), r"\s+", " "))))
+    bare = F.transform(chunks, lambda x: F.lower(strip(F.regexp_replace(F.regexp_replace(strip(x), r"^[•◦▪●·*\-]+\s*", ""), r"\s+", " "))))
     return F.filter(bare, lambda x: x != "")
 
 
@@ -46,13 +46,13 @@ def role_text(title: Column, description: Column) -> Column:
     return F.concat(F.lit("role: "), F.coalesce(title, empty), F.lit(" \n description: "), F.coalesce(description, empty))
 
 
-def occupation_text(title: Column, description: Column, alternatives: Column | None = None) -> Column:
+def occupation_text(title: Column, description: Column, names: Column | None = None) -> Column:
     """With a line of alternative names only where there are any."""
-    empty, parts = F.lit(""), [F.concat(F.lit("esco role: "), F.coalesce(title, F.lit("")))]
-    if alternatives is not None:
-        parts.append(F.when(F.size(alternatives) > 0, F.concat(F.lit("alternative titles: "), F.array_join(alternatives, ", "))))
-    parts.append(F.concat(F.lit("description: "), F.coalesce(description, empty)))
-    return F.concat_ws("\n", *parts)
+    parts = [F.concat(F.lit("esco role: "), F.coalesce(title, F.lit("")))]
+    if names is not None:
+        parts.append(F.when(names != "", F.concat(F.lit(" alt labels: "), names)))
+    parts.append(F.concat(F.lit(" description: "), F.coalesce(description, F.lit(""))))
+    return F.concat_ws(" \n", *parts)
 
 
 def label_name(c: Column) -> Column:
@@ -101,12 +101,3 @@ def cache_key(*columns: Column) -> Column:
 
 def chat_title(title: Column, label: Column) -> Column:
     return F.substring(F.coalesce(blank_to_null(title), F.concat(F.lit("About "), label), F.lit("New chat")), 1, 255)
-
-
-def in_domain(label: Column, tokens: Column, domain: Column, context: Column) -> Column:
-    """Whether a label's "(in|of|for) <domain>" is borne out by the context: by any token
-    of the domain, as a substring if it has several words, else as a whole word."""
-    words = F.regexp_extract_all(F.lower(context), F.lit(r"(\b[\w']+\b)"))
-    named = F.lower(label).rlike(r"(?U)\b(in|of|for)\b") & F.contains(F.lower(label), domain)
-    borne = F.exists(tokens, lambda t: F.when(F.contains(t, F.lit(" ")), F.contains(F.lower(context), t)).otherwise(F.array_contains(words, t)))
-    return ~named | borne

@@ -57,6 +57,17 @@ def linear(a: Column, weights: list[list[float]], bias: list[float]) -> Column:
     return F.array(*[dot(a, F.array(*map(F.lit, row))) + F.lit(b) for row, b in zip(weights, bias, strict=True)])
 
 
+def attended(scores: Column, values: Column, n: Column) -> Column:
+    """The mean of the first ``n`` values, weighted by the softmax of their scores; later steps are masked."""
+    weights = softmax(F.slice(scores, 1, n))
+    return F.aggregate(F.zip_with(weights, F.slice(values, 1, n), lambda w, v: w * v), F.lit(0.0), lambda s, x: s + x)
+
+
+def last_valid(values: Column, n: Column) -> Column:
+    """The last step that isn't masked; null if there is none."""
+    return F.when(n > 0, F.try_element_at(values, n))
+
+
 def log_sum_exp(a: Column) -> Column:
     top = F.array_max(a)
     return top + F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top)))

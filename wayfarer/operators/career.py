@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.operators.ranking import nearest
 from wayfarer.sources.shared import settled
 
 
@@ -33,19 +34,19 @@ def sub_paths(df: DataFrame, person: str, number: str, value: Column, keep: int
     """(person, length, start, prefix, target) of sub-paths of two steps and more.
 
     Sub-paths are generated by length and then start; the last ``keep`` of them stay.
-    For 16 that means, of n steps, those of length n - 4 and over and the last one of
-    length n - 5, so only these are ever made, however long a history is.
+    Of n steps there are n - length + 1 of a length, so the longest g lengths have
+    g * (g + 1) / 2: only lengths that hold some of the last ``keep`` are ever made.
     """
     steps = df.groupBy(person).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("k"), value.alias("v")))), lambda s: s["v"]).alias("steps")).withColumn("n", F.size("steps"))
-    low = F.lit(2)
-    if keep == 16:
-        low = F.greatest(low, F.col("n") - 5)
-    elif keep is not None:
-        raise ValueError("keep is 16 or None")
+    low, whole = F.lit(2), 0
+    if keep is not None:
+        while (whole + 1) * (whole + 2) // 2 <= keep:
+            whole += 1  # the longest so many lengths stay whole
+        low = F.greatest(low, F.col("n") - whole)
     paths = steps.where("n >= 2").select(person, "steps", "n", F.explode(F.sequence(low, F.col("n"))).alias("length"))
     paths = paths.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("length"))))
-    if keep == 16:
-        paths = paths.where((F.col("length") >= F.col("n") - 4) | ((F.col("length") == F.col("n") - 5) & (F.col("start") == 5)))
+    if keep is not None:  # of the next length there are whole + 1, and the last ones stay
+        paths = paths.where((F.col("length") > F.col("n") - whole) | (F.col("start") > whole - (keep - whole * (whole + 1) // 2)))
     return paths.select(person, "length", "start", F.slice("steps", F.col("start") + 1, F.col("length") - 1).alias("prefix"), F.element_at("steps", F.col("start") + F.col("length")).alias("target"))
 
 
@@ -60,11 +61,32 @@ def carried_back(df: DataFrame, person: str, number: str, group: str, own: Colum
     return anchors.withColumn("carried", F.last("_anchor", ignorenulls=True).over(back)["v"]).drop("_anchor")
 
 
+def industries(df: DataFrame, person: str, number: str, code: str, own: str, blank: str, bank: DataFrame, bank_rows: int) -> DataFrame:
+    """``industry``: the last row's own; of rows with the next one's code the next one's,
+    nulls included; of all others the bank row nearest to their ``vec``, or null where
+    they are ``blank``."""
+    order = Window.partitionBy(person).orderBy(number)
+    rows = df.withColumn("_last", F.lead(number).over(order).isNull()).withColumn("_query", F.xxhash64(person, number))
+    asked = rows.where(~F.col("_last") & ~F.col(blank)).select(F.col("_query").alias("query"), "vec")
+    near = nearest(asked, bank, 1, bank_rows).select(F.col("query").alias("_query"), F.concat(F.lit("bank "), F.col("id")).alias("_near"))
+    both = rows.join(near, "_query", "left")
+    mine = F.when(F.col("_last"), F.col(own)).otherwise(F.col("_near"))
+    return carried_back(both, person, number, code, mine).withColumnRenamed("carried", "industry").drop("_last", "_query", "_near")
+
+
 def texts_so_far(df: DataFrame, person: str, number: str, block: Column, most: int = 12_000) -> DataFrame:
-    """``so_far``: the blocks up to each row, the latest first, without empty ones."""
-    past = Window.partitionBy(person).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = F.filter(F.reverse(F.collect_list(block).over(past)), lambda b: b != "")
-    return df.withColumn("so_far", F.substring(F.array_join(blocks, "\n\n"), 1, most))
+    """``so_far``: the blocks up to each row, the latest first, without empty ones, cut at ``most`` characters.
+
+    A row looks back only as far as its text can reach: running lengths tell which
+    blocks begin within ``most`` characters, so a long history costs no more than
+    these for each row.
+    """
+    order = Window.partitionBy(person).orderBy(number)
+    cut = F.substring(block, 1, most)
+    sized = df.withColumn("_b", cut).withColumn("_end", F.sum(F.when(F.length("_b") > 0, F.length("_b") + 2).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = Window.partitionBy(person).orderBy("_end").rangeBetween(-most, Window.currentRow)
+    held = F.filter(F.array_sort(F.collect_list(F.when(F.length("_b") > 0, F.struct(F.col(number).alias("k"), F.col("_b").alias("b")))).over(near)), lambda x: x["k"] <= F.col(number))
+    return sized.withColumn("so_far", F.substring(F.array_join(F.transform(F.reverse(held), lambda x: x["b"]), "\n\n"), 1, most)).drop("_b", "_end")
 
 
 def recency_rank(prefix: Column, target: Column) -> Column:
@@ -101,6 +123,14 @@ def last_messages(df: DataFrame, chat: str, order: str, n: int, roles: list[str]
     return df.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r").where(F.col("role").isin(roles))
 
 
+def conversation(df: DataFrame, new: DataFrame, chat: str, order: str, n: int, roles: list[str]) -> DataFrame:
+    """(chat, messages) for each new turn: the chat's last n messages of these roles, and then the turn itself."""
+    past = last_messages(df, chat, order, n, roles).groupBy(chat).agg(F.array_sort(F.collect_list(F.struct(order, "role", "text"))).alias("past"))
+    turn = F.struct(F.lit("user").alias("role"), F.col("text").alias("text"))
+    earlier = F.transform(F.coalesce("past", F.array().cast(dict(past.dtypes)["past"])), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
+    return new.join(past, chat, "left").select(chat, F.concat(earlier, F.array(turn)).alias("messages"))
+
+
 def first_rows(df: DataFrame, group: str, n: int, *order) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return df.withColumn("row", rank).where(F.col("row") <= n)

@@ -39,11 +39,16 @@ def cascade(parents: DataFrame, key: str, *children: tuple[DataFrame, str, str])
     return left
 
 
-def patched(current: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Fields that ``patch.set_fields`` names are taken from the patch, nulls included."""
-    p = patch.select(key, F.col("set_fields"), *[F.col(f).alias(f"_new_{f}") for f in fields])
+def patched(current: DataFrame, patch: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """Fields that ``patch.set_fields`` names are taken from the patch, nulls included.
+
+    Of several patches of a key the last one by ``order`` (else the greatest by all
+    columns) counts alone, so no row is ever multiplied.
+    """
+    rank = [order] if order else []
+    p = patch.groupBy(key).agg(F.max(F.struct(*rank, "set_fields", *fields)).alias("_p"))
     both = current.join(p, key, "left")
-    chosen = [F.when(F.array_contains("set_fields", f), F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f) if f in fields else F.col(f) for f in current.columns]
+    chosen = [F.when(F.array_contains("_p.set_fields", f), F.col(f"_p.{f}")).otherwise(F.col(f)).alias(f) if f in fields else F.col(f) for f in current.columns]
     return both.select(*chosen)
 
 
@@ -57,19 +62,25 @@ def filled(current: Column, new: Column) -> Column:
 
 
 def merged_profile(current: DataFrame, parsed: DataFrame, key: str, scalars: list[str], lists: list[str]) -> DataFrame:
-    """Scalars fill what is blank, lists are united ignoring case."""
-    p = parsed.select(key, *[F.col(c).alias(f"_new_{c}") for c in [*scalars, *lists]])
+    """Scalars fill what is blank, lists are united ignoring case.
+
+    Of several parsed rows of a key the greatest by all columns counts alone.
+    """
+    p = parsed.groupBy(key).agg(F.max(F.struct(*scalars, *lists)).alias("_p"))
     both = current.join(p, key, "left")
-    new = {c: filled(F.col(c), F.col(f"_new_{c}")) for c in scalars} | {c: merged_ignoring_case(F.col(c), F.col(f"_new_{c}")) for c in lists}
+    new = {c: filled(F.col(c), F.col(f"_p.{c}")) for c in scalars} | {c: merged_ignoring_case(F.col(c), F.col(f"_p.{c}")) for c in lists}
     return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in current.columns])
 
 
-def appended(current: DataFrame, new: DataFrame, owner: str, identity: list[Column], position: str, order: str) -> DataFrame:
-    """Rows whose identity the owner lacks are appended, numbered on from its last."""
+def appended(current: DataFrame, new: DataFrame, owner: str, title: str, rest: list[Column], position: str, order: str) -> DataFrame:
+    """Rows that the owner lacks by title, ignoring case, and ``rest`` are appended,
+    numbered on from its last. Blank titles go; a null in ``rest`` is like an empty text,
+    so replaying the same rows appends nothing."""
+    identity = [F.lower(F.trim(F.col(title))), *[F.coalesce(c.cast("string"), F.lit("")) for c in rest]]
     names = [f"_i{n}" for n in range(len(identity))]
     mark = lambda df: df.select("*", *[c.alias(n) for n, c in zip(names, identity, strict=True)])
-    once = mark(new).withColumn("_r", F.row_number().over(Window.partitionBy(owner, *names).orderBy(order))).where("_r = 1")
-    fresh = once.join(mark(current).select(owner, *names).distinct(), [owner, *names], "left_anti")
+    once = mark(new.where(blank_to_null(F.col(title)).isNotNull())).withColumn("_r", F.row_number().over(Window.partitionBy(owner, *names).orderBy(order))).where("_r = 1")
+    fresh = once.join(mark(current).select(owner, *names).where(f"{names[0]} is not null").distinct(), [owner, *names], "left_anti")
     last = current.groupBy(owner).agg(F.max(position).alias("_last"))
     number = F.row_number().over(Window.partitionBy(owner).orderBy(order))
     fresh = fresh.withColumn("_n", number).join(last, owner, "left").withColumn(position, (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("int"))

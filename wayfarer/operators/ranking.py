@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from wayfarer.functions.vectors import clamped, dot
 
 
+#: A bank of vectors is broadcast only up to so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
 @dataclass(frozen=True)
 class RankSpec:
     """What to filter, sort and show; unknown sorts and orders mean score, descending."""
@@ -54,17 +58,26 @@ def ordered(df: DataFrame, spec: RankSpec, key: str) -> list[Column]:
 
 
 def rank_page(items: DataFrame, user: DataFrame, spec: RankSpec, key: str = "id", vec: str = "vec") -> DataFrame:
-    """One page of the items by match with the user's vector (one row), with the total.
+    """One row: the page's ``items`` in order of rank, and the ``total`` of all that pass the filters.
 
-    The user's side is one row, so the join is a broadcast of that row. A page is a
-    top-k over all items; without a user's vector there are no rows.
+    A page past the end has no items and the real total; without a user's vector both
+    are empty and 0. The user's side is one row, so the join is a broadcast of that
+    row; the page is a top-k over all items and holds 100 at most.
     """
     spec = spec.clean(items.columns)
     one = user.select(F.col(vec).alias("_u")).limit(1)
-    scored = filtered(items, spec).crossJoin(F.broadcast(one)).withColumn("score", clamped(dot(F.col(vec), F.col("_u"))))
-    total = scored.agg(F.count("*").alias("total"))
-    top = scored.drop("_u", vec).orderBy(*ordered(scored, spec, key)).offset((spec.page - 1) * spec.page_size).limit(spec.page_size)
-    return top.crossJoin(F.broadcast(total))
+    fine = filtered(items, spec).crossJoin(F.broadcast(one))
+    scored = fine.withColumn("score", clamped(dot(F.col(vec), F.col("_u")))).drop("_u", vec)
+    order = ordered(scored, spec, key)
+    top = scored.orderBy(*order).offset((spec.page - 1) * spec.page_size).limit(spec.page_size)
+    place = F.row_number().over(Window.orderBy(*order))  # over the page's rows alone
+    page = top.withColumn("place", place).agg(F.array_sort(F.collect_list(F.struct("place", *scored.columns))).alias("items"))
+    return page.crossJoin(F.broadcast(fine.agg(F.count("*").alias("total"))))
+
+
+def page_items(page: DataFrame) -> DataFrame:
+    """The items of a page as rows; one row with nulls beside the total if it has none."""
+    return page.select("total", F.explode_outer("items").alias("i")).select("i.*", "total")
 
 
 def scores_for(items: DataFrame, user: DataFrame, ids: list[int], key: str = "id", vec: str = "vec", most: int = 200) -> DataFrame:
@@ -94,14 +107,18 @@ def search(df: DataFrame, text: str, label: str, alternatives: str, boost: bool
 def nearest(queries: DataFrame, bank: DataFrame, k: int, bank_rows: int, most: int = 20_000) -> DataFrame:
     """(query, id, score, rank): exact top k by inner product, ties to the smaller id.
 
-    A bank of up to ``most`` rows (``bank_rows`` is its counted size) is broadcast as
-    one matrix and each batch of queries is multiplied with it. A greater bank is cut
-    into blocks, and so are the queries; each block of the bank meets each block of
-    queries and keeps its own top k of every query before they come together.
+    A bank of up to ``most`` rows (``bank_rows`` is its counted size) and 32 MB is
+    broadcast as one matrix and each batch of queries is multiplied with it. A greater
+    bank is cut into blocks, and so are the queries; each block of the bank meets each
+    block of queries and keeps its own top k of every query before they come together.
+    The work is the product of both sides by definition.
     """
+    row = bank.select(F.size("vec").alias("n")).first()
+    width = max(1, row["n"] if row else 1)
+    most = max(1, min(most, BROADCAST_BYTES // (8 * width)))
     blocks = max(1, -(-bank_rows // most))
     turns = 1 if blocks == 1 else max(1, -(-queries.count() // most))
-    ask = queries.select("query", "vec").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("t", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int"))
+    ask = queries.select("query", F.col("vec").alias("ask")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("t", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int"))
     if blocks == 1:
         rows = bank.orderBy("id").toPandas()
         ids, matrix = rows["id"].to_numpy(), np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1)
@@ -118,7 +135,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, bank_rows: int, most: i
         def block(left: pa.Table, right: pa.Table) -> pa.Table:
             order = left.sort_by("id")
             matrix = np.array(order.column("vec").to_pylist(), np.float64).reshape(len(order), -1)
-            return _best(right.column("query").combine_chunks(), right.column("vec").combine_chunks(), order.column("id").to_numpy(), matrix, k)
+            return _best(right.column("query").combine_chunks(), right.column("ask").combine_chunks(), order.column("id").to_numpy(), matrix, k)
 
         spread = bank.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
         parts = spread.groupBy("b", "t")
@@ -151,48 +168,79 @@ def recall_at(rank: Column, k: int) -> Column:
 
 
 def ranking_metrics(df: DataFrame, rank: Column, cutoff: int | None, groups: list[str]) -> DataFrame:
-    """mrr, r5, r10 and n for each group and (null group) over all, in one pass."""
-    made = df.withColumn("_rr", reciprocal_rank(rank, cutoff)).withColumn("_5", recall_at(rank, 5)).withColumn("_10", recall_at(rank, 10))
-    return made.rollup(*groups).agg(F.avg("_rr").alias("mrr"), F.avg("_5").alias("r5"), F.avg("_10").alias("r10"), F.count("*").alias("n"))
-
+    """mrr, r1, r5, r10 and n for each group and (null group) over all, in one pass."""
+    made = df.withColumn("_rr", reciprocal_rank(rank, cutoff)).withColumns({f"_{k}": recall_at(rank, k) for k in (1, 5, 10)})
+    return made.rollup(*groups).agg(F.avg("_rr").alias("mrr"), F.avg("_1").alias("r1"), F.avg("_5").alias("r5"), F.avg("_10").alias("r10"), F.count("*").alias("n"))
 
-def full_bank_rank(pairs: DataFrame, key: str, true: Column) -> DataFrame:
-    """1 + how many candidates score above the true one; ties count for it."""
-    best = pairs.where(true).groupBy(key).agg(F.max("score").alias("_t"))
-    return pairs.join(best, key).groupBy(key).agg((F.count_if(F.col("score") > F.col("_t")) + 1).alias("rank"))
 
+def against_bank(queries: DataFrame, bank: DataFrame, rows: int, temperature: float = 1.0, mask: float | None = None, most: int = 20_000) -> DataFrame:
+    """(query, above, ties, loss): each query's true row held against a whole bank.
 
-def best_per_concept(queries: DataFrame, labels: DataFrame, rows: int, most: int = 20_000) -> DataFrame:
-    """(query, concept, label_id, score): each concept's best label, ties to the smaller id.
+    ``queries`` has query, vec and own, the id of the true row. ``above`` counts rows
+    that score higher, ``ties`` those with the same score and a smaller id, ``loss``
+    is the cross-entropy of the true row at a temperature. With ``mask``, rows whose
+    inner product with the true one exceeds it don't count as wrong in the loss.
 
-    The labels lie in blocks; in a block only each concept's best label of a query is
-    kept, so no pair of query and label ever leaves it.
+    Blocks of the bank meet blocks of queries and yield one row for each query, so no
+    list of scores ever leaves a block.
     """
-    blocks = max(1, -(-rows // most))
-    schema = "query long, concept long, label_id long, score double"
+    blocks, turns = max(1, -(-rows // most)), max(1, -(-queries.count() // most))
+    # New names, as both sides may come from one table.
+    asked = queries.select("query", F.col("vec").alias("ask"), F.col("own").alias("own"))
+    known = asked.join(bank.select(F.col("id").alias("own"), F.col("vec").alias("own_vec")), "own")
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query": [], "concept": [], "label_id": [], "score": []}
+        out: dict[str, list] = {"query": [], "above": [], "ties": [], "top": [], "rest": [], "true": []}
         if left.num_rows and right.num_rows:
-            order = left.sort_by([("concept", "ascending"), ("id", "ascending")])
-            ids, concept = order.column("id").to_numpy(), order.column("concept").to_numpy()
-            heads = np.flatnonzero(np.diff(concept, prepend=concept[0] - 1))
-            matrix, ask = (np.array(t.column("vec").to_pylist(), np.float64) for t in (order, right))
+            ids = left.column("id").to_numpy()
+            matrix, ask, own = (np.array(c.to_pylist(), np.float64).reshape(len(c), -1) for c in (left.column("vec"), right.column("ask"), right.column("own_vec")))
+            own_id, query = right.column("own").to_numpy(), right.column("query").to_numpy()
             for at in range(0, len(ask), 256):
-                scores = ask[at : at + 256] @ matrix.T
-                top = np.maximum.reduceat(scores, heads, axis=1)
-                for k, (a, b) in enumerate(zip(heads, np.append(heads[1:], len(ids)), strict=True)):
-                    out["query"] += right.column("query").to_numpy()[at : at + 256].tolist()
-                    out["concept"] += [int(concept[a])] * len(scores)
-                    out["label_id"] += ids[a + scores[:, a:b].argmax(axis=1)].tolist()
-                    out["score"] += top[:, k].tolist()
-        return pa.table(out, schema=pa.schema([("query", pa.int64()), ("concept", pa.int64()), ("label_id", pa.int64()), ("score", pa.float64())]))
-
-    left = labels.select(F.col("id").cast("long").alias("id"), F.col("concept").cast("long").alias("concept"), "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    right = queries.select("query", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    found = left.groupBy("b").cogroup(right.groupBy("b")).applyInArrow(block, schema)
-    best = F.max(F.struct("score", (-F.col("label_id")).alias("m"))).alias("t")
-    return found.groupBy("query", "concept").agg(best).select("query", "concept", (-F.col("t.m")).alias("label_id"), F.col("t.score").alias("score"))
+                q, mine = ask[at : at + 256], own[at : at + 256]
+                scores, true = q @ matrix.T, (q * mine).sum(axis=1)
+                other = ids[None, :] != own_id[at : at + 256, None]
+                # Sums in another order differ in the last bits; such scores are the same.
+                same = np.isclose(scores, true[:, None], rtol=1e-12, atol=1e-12) & other
+                wrong = other if mask is None else other & (mine @ matrix.T <= mask)
+                z = np.where(wrong, scores / temperature, -np.inf)
+                top = z.max(axis=1)
+                fine = np.where(np.isfinite(top), top, 0.0)
+                out["query"] += query[at : at + 256].tolist()
+                out["above"] += ((scores > true[:, None]) & other & ~same).sum(axis=1).tolist()
+                out["ties"] += (same & (ids[None, :] < own_id[at : at + 256, None])).sum(axis=1).tolist()
+                out["top"] += fine.tolist()
+                out["rest"] += np.exp(z - fine[:, None]).sum(axis=1).tolist()
+                out["true"] += (true / temperature).tolist()
+        kinds = {"query": pa.int64(), "above": pa.int64(), "ties": pa.int64()}
+        return pa.table(out, schema=pa.schema([(c, kinds.get(c, pa.float64())) for c in out]))
+
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = bank.select("id", "vec", place("id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("t"))
+    right = known.select("query", "ask", "own", "own_vec", place("query", turns).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    found = left.groupBy("b", "t").cogroup(right.groupBy("b", "t")).applyInArrow(block, "query long, above long, ties long, top double, rest double, true double")
+    # The true row counts once beside the wrong ones of all blocks.
+    parts = F.collect_list(F.struct("top", "rest"))
+    whole = found.groupBy("query").agg(F.sum("above").alias("above"), F.sum("ties").alias("ties"), F.first("true").alias("true"), F.max("top").alias("most"), parts.alias("parts"))
+    high = F.greatest("most", "true")
+    total = F.aggregate("parts", F.exp(F.col("true") - high), lambda s, p: s + p["rest"] * F.exp(p["top"] - high))
+    return whole.select("query", "above", "ties", (high + F.log(total) - F.col("true")).alias("loss"))
+
+
+def drawn(bank: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """(draw, rows of ``bank``): ``n`` random rows with replacement, the same ones for a seed.
+
+    ``bank.place`` numbers its rows from 0.
+    """
+    rows = bank.count()
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8)
+    draws = bank.sparkSession.range(n).select(F.col("id").alias("draw"), (F.conv(digest, 16, 10).cast("long") % max(1, rows)).alias("place"))
+    return draws.join(bank, "place")
+
+
+def shuffled(df: DataFrame, key: str, seed: int, n: int | None = None) -> DataFrame:
+    """Rows in a random order that is the same for a seed; the first ``n`` of them if asked for."""
+    made = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
+    return made if n is None else made.limit(n)
 
 
 def _pair_blocks(bank: DataFrame, most: int) -> DataFrame:
@@ -219,7 +267,8 @@ def _block_scores(table: pa.Table, first: int, second: int) -> tuple[np.ndarray,
 def similarity_histogram(bank: DataFrame, thresholds: list[float], most: int = 2_000) -> DataFrame:
     """(threshold, n, percent): pairs of different rows above each threshold.
 
-    Rows meet in pairs of bounded blocks, which yield counts and no pairs.
+    Rows meet in pairs of bounded blocks, which yield counts and no pairs. The work
+    is quadratic by definition.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -232,7 +281,10 @@ def similarity_histogram(bank: DataFrame, thresholds: list[float], most: int = 2
 
 
 def top_pairs(bank: DataFrame, k: int, most: int = 2_000) -> DataFrame:
-    """(u, v, score): the k most similar pairs of different rows, u < v."""
+    """(u, v, score): the k most similar pairs of different rows, u < v.
+
+    The work is quadratic by definition; each pair of blocks keeps k pairs.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         u, v, scores = _block_scores(table, key[0].as_py(), key[1].as_py())
@@ -244,8 +296,3 @@ def top_pairs(bank: DataFrame, k: int, most: int = 2_000) -> DataFrame:
 
     found = _pair_blocks(bank, most).groupBy("i", "j").applyInArrow(run, "u long, v long, score double")
     return found.orderBy(F.desc("score"), "u", "v").limit(k)
-
-
-def hybrid(label_score: Column, concept_score: Column, concrete: Column) -> Column:
-    """Concrete tools are matched by label alone, all else by label and concept."""
-    return F.when(concrete, label_score).otherwise(0.85 * label_score + 0.15 * concept_score)

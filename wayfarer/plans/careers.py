@@ -126,13 +126,13 @@ def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_SPANS}, {_RECENCY}, b AS (SELECT rank, CASE WHEN length = 2 THEN '1' ELSE '>=2' END AS bucket FROM ranked)
-        SELECT bucket, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS r10, count(*) AS n
+        SELECT bucket, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS r10, count(*) AS n
         FROM b GROUP BY ROLLUP (bucket)"""
 )
 def recency_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = F.when(F.size("prefix") == 1, "1").otherwise(">=2")
     rows = _spans(spark, sf_dir).select(bucket.alias("bucket"), career.recency_rank(F.col("prefix"), F.col("target")).alias("rank"))
-    return _rounded(ranking_metrics(rows, F.col("rank"), None, ["bucket"]), "mrr", "r5", "r10")
+    return _rounded(ranking_metrics(rows, F.col("rank"), None, ["bucket"]), "mrr", "r1", "r5", "r10")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:

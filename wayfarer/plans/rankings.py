@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfarer.operators.ranking import RankSpec, rank_page, scores_for, search
+from wayfarer.operators.ranking import RankSpec, page_items, rank_page, scores_for, search
 from wayfarer.operators.registry import query, table
 
 _ITEMS = """
@@ -36,14 +36,15 @@ def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _page(spark: SparkSession, sf_dir: str, spec: RankSpec) -> DataFrame:
-    return rank_page(*_items(spark, sf_dir), spec).withColumn("score", F.round("score", 6))
+    return page_items(rank_page(*_items(spark, sf_dir), spec)).withColumn("score", F.round("score", 6))
 
 
 def _page_sql(where: str, order: str, offset: int, n: int) -> str:
     return f"""
-        WITH {_ITEMS}, f AS (SELECT * FROM scored WHERE {where})
-        SELECT id, education, salary, vacancies, round(score, 6) AS score, (SELECT count(*) FROM f) AS total
-        FROM f ORDER BY {order} LIMIT {n} OFFSET {offset}"""
+        WITH {_ITEMS}, f AS (SELECT * FROM scored WHERE {where}),
+        p AS (SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, * FROM (SELECT * FROM f ORDER BY {order} LIMIT {n} OFFSET {offset}))
+        SELECT p.place, id, education, salary, vacancies, round(score, 6) AS score, t.total
+        FROM (SELECT count(*) AS total FROM f) t LEFT JOIN p ON true"""
 
 
 @query(_page_sql("true", "score DESC, id", 0, 20))

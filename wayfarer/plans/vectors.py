@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.functions.vectors import log_sum_exp, mean_vectors, normalised
-from wayfarer.operators import ranking
+from wayfarer.functions.vectors import mean_vectors, normalised
+from wayfarer.operators import ranking, skills
 from wayfarer.operators.registry import query, table
 from wayfarer.plans.careers import _rounded
 from wayfarer.sources.shared import settled
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+PERCENTS = [10, 25, 50, 75, 90, 95, 99]
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _MEAN = """
     long AS (SELECT label, generate_subscripts(v, 1) - 1 AS place, unnest(v) AS x, vec_id FROM e),
@@ -23,13 +24,16 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def _centroid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, id, score, rank, label) of every vector against the labels' means."""
-    rows = _vectors(spark, sf_dir)
-    bank = settled(mean_vectors(rows, ["label"], "vec").select(F.col("label").cast("long").alias("id"), F.col("mean").alias("vec")), "bank")
-    size = bank.count()
-    found = ranking.nearest(rows.select(F.col("id").alias("query"), "vec"), bank, size, size)
-    return found.join(rows.select(F.col("id").alias("query"), "label"), "query")
+def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = mean_vectors(_vectors(spark, sf_dir), ["label"], "vec")
+    return settled(means.select(F.col("label").cast("long").alias("id"), F.col("mean").alias("vec")), "bank")
+
+
+def _against_centroids(spark: SparkSession, sf_dir: str, temperature: float = 1.0) -> DataFrame:
+    """(query, above, ties, loss, label) of every vector against the labels' means."""
+    rows, bank = _vectors(spark, sf_dir), _centroids(spark, sf_dir)
+    asked = rows.select(F.col("id").alias("query"), "vec", F.col("label").cast("long").alias("own"))
+    return ranking.against_bank(asked, bank, bank.count(), temperature).join(rows.select(F.col("id").alias("query"), "label"), "query")
 
 
 @query(
@@ -44,35 +48,31 @@ def knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_E}, {_MEAN}, t AS (SELECT vec_id, score AS best FROM scores WHERE id = label),
         r AS (SELECT label, 1 + count(*) FILTER (score > best) AS rank FROM scores JOIN t USING (vec_id) GROUP BY vec_id, label)
-        SELECT label, round(avg(1.0 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS r10, count(*) AS n
+        SELECT label, round(avg(1.0 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS r10, count(*) AS n
         FROM r GROUP BY ROLLUP (label)"""
 )
 def full_bank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _centroid_scores(spark, sf_dir)
-    ranks = ranking.full_bank_rank(scored, "query", F.col("id") == F.col("label"))
-    ranks = ranks.join(_vectors(spark, sf_dir).select(F.col("id").alias("query"), "label"), "query")
-    return _rounded(ranking.ranking_metrics(ranks, F.col("rank"), None, ["label"]), "mrr", "r5", "r10")
+    ranks = _against_centroids(spark, sf_dir).withColumn("rank", F.col("above") + 1)
+    return _rounded(ranking.ranking_metrics(ranks, F.col("rank"), None, ["label"]), "mrr", "r1", "r5", "r10")
 
 
 @query(
     f"""WITH {_E}, {_MEAN}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS rank FROM scores QUALIFY id = label),
         b AS (SELECT CASE WHEN label < 5 THEN '1' ELSE '>=2' END AS bucket, rank FROM r)
-        SELECT bucket, round(avg(CASE WHEN rank <= 3 THEN 1.0 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS r10, count(*) AS n
+        SELECT bucket, round(avg(CASE WHEN rank <= 3 THEN 1.0 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS r10, count(*) AS n
         FROM b GROUP BY ROLLUP (bucket)"""
 )
 def bucketed_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings cut off at 3, by bucket and over all in one pass."""
-    own = _centroid_scores(spark, sf_dir).where(F.col("id") == F.col("label"))
+    own = _against_centroids(spark, sf_dir).withColumn("rank", F.col("above") + F.col("ties") + 1)
     own = own.withColumn("bucket", F.when(F.col("label") < 5, "1").otherwise(">=2"))
-    return _rounded(ranking.ranking_metrics(own, F.col("rank"), 3, ["bucket"]), "mrr", "r5", "r10")
+    return _rounded(ranking.ranking_metrics(own, F.col("rank"), 3, ["bucket"]), "mrr", "r1", "r5", "r10")
 
 
 @query(f"WITH {_E}, {_MEAN} SELECT vec_id AS query, round(ln(sum(exp(score / 0.05))) - max(score / 0.05) FILTER (id = label), 5) AS loss FROM scores GROUP BY vec_id")
 def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy of the true label among all, at temperature 0.05."""
-    scored = _centroid_scores(spark, sf_dir).withColumn("z", F.col("score") / 0.05)
-    each = scored.groupBy("query").agg(F.collect_list("z").alias("z"), F.max(F.when(F.col("id") == F.col("label"), F.col("z"))).alias("own"))
-    return each.select("query", F.round(log_sum_exp(F.col("z")) - F.col("own"), 5).alias("loss"))
+    return _against_centroids(spark, sf_dir, 0.05).select("query", F.round("loss", 5).alias("loss"))
 
 
 @query(f"WITH {_E}, {_MEAN} SELECT label, place, round(avg(x), 6) AS x FROM long GROUP BY label, place")
@@ -113,32 +113,31 @@ def most_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_E}, n AS (SELECT a.vec_id, max(list_inner_product(a.v, b.v)) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)
-        SELECT round(avg(s), 6) AS mean, round(min(s), 6) AS least, round(max(s), 6) AS most, round(quantile_cont(s, 0.1), 6) AS p10, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.99), 6) AS p99 FROM n"""
+        SELECT round(avg(s), 6) AS mean, round(min(s), 6) AS least, round(max(s), 6) AS most, {", ".join(f"round(quantile_cont(s, {p / 100}), 6) AS p{p}" for p in PERCENTS)} FROM n"""
 )
 def neighbour_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles are exact, so all values of the nearest similarity (one a row) meet sorted in one aggregate."""
     rows = _vectors(spark, sf_dir)
     near = ranking.nearest(rows.select(F.col("id").alias("query"), "vec"), rows.select("id", "vec"), 2, rows.count())
     s = near.where("query != id").groupBy("query").agg(F.max("score").alias("s"))
-    return s.agg(
-        *[F.round(c, 6).alias(n) for n, c in {"mean": F.avg("s"), "least": F.min("s"), "most": F.max("s"), "p10": F.percentile("s", 0.1), "p50": F.percentile("s", 0.5), "p99": F.percentile("s", 0.99)}.items()],
-    )
+    shares = F.percentile("s", F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("p")
+    found = s.agg(F.avg("s").alias("mean"), F.min("s").alias("least"), F.max("s").alias("most"), shares)
+    return _rounded(found.select("mean", "least", "most", *[F.col("p")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)]), "mean", "least", "most", *[f"p{p}" for p in PERCENTS])
 
 
 @query(
     f"""WITH {_E}, s AS (SELECT q.vec_id AS query, b.label AS concept, list_inner_product(q.v, b.v) AS score, b.vec_id AS label_id FROM e q, e b WHERE q.vec_id % 50 = 0),
         h AS (SELECT query, concept, max(score) AS score FROM s GROUP BY query, concept), {_MEAN},
-        y AS (SELECT h.query, concept, CASE WHEN concept = 3 THEN h.score ELSE 0.85 * h.score + 0.15 * c.score END AS hybrid FROM h JOIN scores c ON c.vec_id = h.query AND c.id = concept)
+        y AS (SELECT h.query, concept, CASE WHEN h.query % 100 = 0 THEN h.score ELSE 0.85 * h.score + 0.15 * c.score END AS hybrid FROM h JOIN scores c ON c.vec_id = h.query AND c.id = concept)
         SELECT query, concept, round(hybrid, 6) AS hybrid FROM y QUALIFY row_number() OVER (PARTITION BY query ORDER BY hybrid DESC, concept) = 1"""
 )
 def hybrid_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best concept of each query: its best label's score, mixed with its own."""
     rows = _vectors(spark, sf_dir)
-    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query"), "vec")
-    labels = ranking.best_per_concept(asked, rows.withColumnRenamed("label", "concept"), rows.count())
-    means = _centroid_scores(spark, sf_dir).where("query % 50 = 0").select("query", F.col("id").alias("concept"), F.col("score").alias("own"))
-    both = labels.join(means, ["query", "concept"]).withColumn("hybrid", ranking.hybrid(F.col("score"), F.col("own"), F.col("concept") == 3))
-    best = F.max(F.struct("hybrid", (-F.col("concept")).alias("m"))).alias("top")
-    return both.groupBy("query").agg(best).select("query", (-F.col("top.m")).cast("int").alias("concept"), F.round("top.hybrid", 6).alias("hybrid"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query"), "vec", (F.col("id") % 100 == 0).alias("concrete"))
+    labels = rows.withColumnRenamed("label", "concept")
+    found = skills.best_concepts(asked, labels, _centroids(spark, sf_dir).withColumnRenamed("id", "concept"), 1, rows.count())
+    return found.select("query", F.col("concept").cast("int").alias("concept"), F.round("score", 6).alias("hybrid"))
 
 
 @query("SELECT round(avg(quality), 4) AS mean, round(stddev_samp(quality), 4) AS deviation FROM labels HAVING count(*) >= 2")
