@@ -8,10 +8,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
+from wayfarer.llm.words import word_chunks
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, each: int, fit: Callable[[list[str], np.ndarray, np.ndarray], Any]) -> Any:
@@ -46,5 +48,21 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, each: int, fit: Calla
     return pickle.loads(found["model"]) if found else model([], np.zeros(0, np.int64))
 
 
+def kept_rows(docs: DataFrame, model: Any, keep: Callable[[np.ndarray], np.ndarray], lower: bool) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text's score passes ``keep``.
+
+    Scoring and filtering are one pass over each row: nothing is shuffled, and of rows
+    that share an id each goes by its own text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pc.fill_null(batch.column("text").cast(pa.string()), "")
+            for i, j, words in word_chunks(text, lower):
+                yield batch.slice(i, j - i).filter(pa.array(keep(model.value.scores(words))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
-from wayfarer.llm.labelled import fitted, sigmoid
+from wayfarer.llm.labelled import fitted, kept_rows, sigmoid
 from wayfarer.llm.words import Words, bytes_hash, lowered, mix, word_chunks
 
 DIM, ROWS, HIDDEN = 32, 1 << 14, 32
@@ -202,3 +202,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, each: in
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, "quality", each, fit))
     plain = texts(docs).withColumn("held_out", held_out("doc_id"))
     return plain.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, each: int = EACH) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score reaches ``threshold``."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, "quality", each, fit))
+    return kept_rows(docs, model, lambda score: score >= threshold, lower=False)

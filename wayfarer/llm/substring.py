@@ -346,18 +346,17 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     )
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans, new = batch.column("_spans").to_pylist(), []
-        for _, j, words in word_chunks(batch.column("_text")):
-            base = len(new)
-            for k in range(j - base):
-                new.append(_kept(words, words.first[k], words.first[k + 1], [(x["start"], x["end"]) for x in spans[base + k]]).decode("utf8"))
-        at = batch.schema.get_field_index("_text")
-        columns = [x for i, x in enumerate(batch.columns) if i not in (at, batch.schema.get_field_index("_spans"))]
-        names = [x for x in batch.schema.names if x not in ("_text", "_spans")]
-        columns[names.index("text")] = pa.array(new, pa.string())
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+def _rewrite(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, new = batch.column("_spans").to_pylist(), []
+            for i, j, words in word_chunks(batch.column(text).cast(pa.string())):
+                for k in range(j - i):
+                    new.append(_kept(words, words.first[k], words.first[k + 1], [(x["start"], x["end"]) for x in spans[i + k]]).decode("utf8"))
+            names = [x for x in batch.schema.names if x != "_spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if x == text else batch.column(x) for x in names], names=names)
+
+    return run
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -365,15 +364,17 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Texts that lose nothing stay as they are, null ones null; in the others the
     kept words are joined by one space, and n_chars (if there) is counted anew.
+    Columns may have any other names.
     """
     found = repeated_spans(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), F.col("spans").alias("_spans")).distinct()
-    on = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_text_id"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
     # Rows of a repeated id and text are told apart by nothing, so each gets its spans.
-    both = docs.join(found, on, "left")
-    same = both.where("_spans is null").select(*[docs[c] for c in docs.columns])
-    cut = both.where("_spans is not null").withColumn("_text", docs["text"]).select(*[docs[c] for c in docs.columns], "_text", "_spans")
-    cut = cut.mapInArrow(_rewrite, docs.schema)
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        cut = cut.withColumn("n_chars", F.length("text").cast(kind))
-    return same.union(cut)
+    both = plain.join(found, (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_text_id")), "left")
+    same = both.where("_spans is null").select(*plain.columns)
+    cut = both.where("_spans is not null").select(*plain.columns, "_spans").mapInArrow(_rewrite(text), plain.schema)
+    if "n_chars" in names:
+        at = f"c{names.index('n_chars')}"
+        cut = cut.withColumn(at, F.length(text).cast(dict(plain.dtypes)[at]))
+    return same.union(cut).toDF(*names)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, texts
-from wayfarer.llm.labelled import fitted, sigmoid
+from wayfarer.llm.labelled import fitted, kept_rows, sigmoid
 from wayfarer.llm.words import Loads, Words, bytes_hash, mix, ragged, split_rows, word_chunks
 
 BUCKETS, DIM = 1 << 17, 8
@@ -226,3 +226,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, each: i
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, "toxic", each, fit))
     plain = texts(docs).withColumn("held_out", held_out("doc_id"))
     return plain.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, each: int = EACH) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is under ``threshold``."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, "toxic", each, fit))
+    return kept_rows(docs, model, lambda score: score < threshold, lower=True)
