@@ -305,13 +305,40 @@ def vectors() -> list[tuple]:
     return out
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize(("held", "block"), [(near_vectors.HELD, near_vectors.BLOCK), (6, 5)])
+def test_near_vectors(spark, monkeypatch, held, block):
+    """Also with filters of a few vectors and blocks of five."""
+    monkeypatch.setattr(near_vectors, "HELD", held)
+    monkeypatch.setattr(near_vectors, "BLOCK", block)
     made = vectors()
+    made += [(len(made) + k, v) for k, v in enumerate([[1.0, 2.0], [2.0, 4.1], [-1.0, 2.0], [3.0], [-3.0], [0.5], [1.0, 2.0, 3.0]])]
     df = spark.createDataFrame(made, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "f": F.lit("x"), "vec": F.lit(2)})
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df).collect()}
     assert got == brute.near_vectors(made)
 
 
+def test_codes_find_pairs_at_the_limit():
+    """Of 4,000 drawn pairs at the limit itself, nearly all share a filter, at any size and length."""
+    rng = np.random.default_rng(12)
+    for rows, dim in ((500, 64), (50_000, 64), (50_000, 8), (3_000_000, 48)):
+        code = near_vectors.Codes(rows, dim, 0.95)
+        assert code.chance <= near_vectors.MISS
+        x, z = rng.standard_normal((2, 4000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        (a, f), (b, g) = code.exceeded(x), code.exceeded(y)
+        missed = sum(not set(f[a[i] : a[i + 1]]) & set(g[b[i] : b[i + 1]]) for i in range(4000))
+        assert missed <= 4
+
+
+def test_vectors_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(1, 5, 1, True)] * 3 + [(2, 2, 1, False), (3, 1, 1, False), (None, 0, None, True)], key=repr)
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((900, 16))
