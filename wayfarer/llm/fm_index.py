@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
+
+
 class _Bits:
     def __init__(self, bits: np.ndarray):
         words = np.zeros(len(bits) // 64 + 1, np.uint64)
@@ -20,8 +23,7 @@ class _Bits:
     def rank(self, i: np.ndarray) -> np.ndarray:
         """How many ones there are before each position."""
         at = i >> 6
-        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.counts[at] + np.bitwise_count(self.words[at] & below)
+        return self.counts[at] + np.bitwise_count(self.words[at] & _BELOW[i & 63])
 
 
 class FmIndex:
@@ -89,7 +91,7 @@ class FmIndex:
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, (bits, zeros) in enumerate(self.levels):
             ones = bits.rank(i)
-            i = np.where((symbol >> (len(self.levels) - 1 - level)) & 1, zeros + ones, i - ones)
+            i = np.where(symbol & (1 << (len(self.levels) - 1 - level)), zeros + ones, i - ones)
         return i
 
     def _step(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ from wayfarer.llm.words import Words, sliding_hash, word_chunks
 
 GRAM = 8
 #: Words of a shard on average. An anchor with more of them is split.
-SHARD_WORDS = 60_000
+SHARD_WORDS = 200_000
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
