@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
+import re
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from wayfarer.llm import ann, encoding, fm_index, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity, words  # noqa: E402
+from wayfarer.llm import ann, dom, encoding, fm_index, html_text, near_text, near_vectors, packing, pieces, quality, queries, substring, token_files, toxicity, words  # noqa: E402
 from wayfarer.llm.common import scratch  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -387,6 +390,60 @@ def test_main_text(spark):
     assert got[2] == ("", 0) and got[3] == ("", 0) and len(got) == 4
 
 
+@pytest.fixture(scope="module")
+def extractor(spark):
+    return html_text.trained(spark)
+
+
+def marked_text(html: str) -> str:
+    """The marked runs of a drawn page."""
+    return "\n".join(o.replace("\x01", "").replace("\x02", "") for own in dom.parse(html).own for o in own if "\x01" in o)
+
+
+def test_main_text_of_pages_never_seen(extractor):
+    """Also where every class and id is a word that no page of the fit had."""
+    pages = html_text.drawn(999, 200)
+    want, bare = [marked_text(p) for p in pages], [p.replace("\x01", "").replace("\x02", "") for p in pages]
+    shared = lambda a, b: 2 * sum((collections.Counter(a.split()) & collections.Counter(b.split())).values()) / max(1, len(a.split()) + len(b.split())) if a or b else 1.0
+    got = extractor.extracted(bare)
+    assert np.mean([g == w for g, w in zip(got, want, strict=True)]) >= 0.9
+    assert np.mean([shared(g, w) for g, w in zip(got, want, strict=True)]) >= 0.97
+    renamed = [re.sub(r"(class|id)=(\"?)([^\">]*)", lambda m: f"{m[1]}={m[2]}" + re.sub("[a-z]+", lambda w: "q" + w[0][::-1] + "x", m[3]), p) for p in bare]
+    assert np.mean([shared(g, w) for g, w in zip(extractor.extracted(renamed), want, strict=True)]) >= 0.85
+
+
+def test_trees_and_decoding_against_plain_versions(extractor):
+    rng = np.random.default_rng(9)
+    trees, x = extractor.trees, rng.standard_normal((50, 69)) * 3
+    for row, got in zip(x, trees.logits(x), strict=True):
+        total = trees.bias
+        for t in range(len(trees.leaf)):
+            node = 0
+            for _ in range(trees.depth):
+                node = 2 * node + 1 + int(row[trees.feature[t][node]] > trees.cut[t][node])
+            total += trees.leaf[t][node - (2**trees.depth - 1)]
+        assert got == pytest.approx(total)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        parent = np.array([0] + [int(rng.integers(0, k)) for k in range(1, n)])
+        depth = np.zeros(n, np.int64)
+        for k in range(1, n):
+            depth[k] = depth[parent[k]] + 1
+        logit = rng.standard_normal(n)
+        keep = html_text.decode(logit, parent, depth, np.zeros(n, bool))
+        allowed = [m for m in range(2**n) if all(not m >> k & 1 or m >> parent[k] & 1 for k in range(n))]
+        best = max(allowed, key=lambda m: sum(logit[k] for k in range(n) if m >> k & 1))
+        assert sum(int(v) << k for k, v in enumerate(keep)) == best
+
+
+def test_deep_and_long_pages(extractor):
+    deep = "<article>" + "<div>" * 3000 + "<p>Deep down there is text, and it goes on.</p>"
+    long_ = "<article><h1>t</h1>" + "<p>One more paragraph with some words in it, for a long page.</p>" * 20_000 + "</article>"
+    began = time.perf_counter()
+    got = extractor.extracted([deep, long_])
+    assert got[1].count("\n") == 20_000 and time.perf_counter() - began < 60
+
+
 def _auc(score: np.ndarray, y: np.ndarray) -> float:
     pos, neg = score[y == 1], score[y == 0]
     return float((pos[:, None] > neg[None, :]).mean() + (pos[:, None] == neg[None, :]).mean() / 2)

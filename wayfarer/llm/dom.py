@@ -23,9 +23,6 @@ _CONTROLS = frozenset("input button select textarea".split())
 
 TAGS = "p h1 h2 h3 li ul ol div section article main nav header footer aside form table tr td blockquote pre figure figcaption dl html body fieldset #text".split()
 _TAG = {t: i for i, t in enumerate(TAGS)}
-#: Tokens of class, id and role that web authors use around and inside main text.
-OUTSIDE = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert advertisement adsense sponsor sponsored banner promo promotion cookie cookies consent notice alert gdpr popup modal overlay comment comments reply replies respond disqus share sharing social follow related recommended more recirculation form subscribe newsletter signup login search breadcrumb breadcrumbs pagination pager copyright legal widget toolbar tags hidden none teaser outbrain taboola rail complementary contentinfo dialog".split())
-INSIDE = frozenset("article content main post entry story body text articlebody richtext prose markdown copy paragraph page".split())
 
 
 class Page:
@@ -36,12 +33,12 @@ class Page:
         self.parent: list[int] = []
         self.end: list[int] = []
         self.depth: list[int] = []
-        self.tokens: list[tuple[int, int]] = []
+        self.tokens: list[tuple[str, ...]] = []  # words of class, id, role and itemprop, and "hidden"
         self.controls: list[int] = []
         self.link: list[int] = []  # characters of text within links
         self.own: list[list[str]] = []
 
-    def open(self, tag: str, parent: int, depth: int, tokens: tuple[int, int]) -> int:
+    def open(self, tag: str, parent: int, depth: int, tokens: tuple[str, ...]) -> int:
         self.tag.append(_TAG.get(tag, len(TAGS)))
         self.parent.append(parent)
         self.end.append(-1)
@@ -53,24 +50,22 @@ class Page:
         return len(self.tag) - 1
 
 
-def _tokens(attributes: str) -> tuple[int, int]:
-    """How many tokens of either kind an element's attributes have."""
-    outside = inside = 0
+def _tokens(attributes: str) -> tuple[str, ...]:
+    """The distinct words of an element's attributes that say what it is for."""
+    found: dict[str, None] = {}
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            outside += 1
+            found["hidden"] = None
         elif name in ("class", "id", "role", "itemprop"):
-            words = _TOKEN.findall(value)
-            outside += sum(w in OUTSIDE for w in words)
-            inside += sum(w in INSIDE for w in words)
-    return outside, inside
+            found.update(dict.fromkeys(_TOKEN.findall(value)))
+    return tuple(found)
 
 
 def parse(html: str) -> Page:
     """The page's blocks. Scripts, styles, titles and the like have no text."""
     page = Page()
-    root = page.open("html", -1, 0, (0, 0))
+    root = page.open("html", -1, 0, ())
     stack: list[tuple[str, int]] = [("html", root)]  # open elements, inline ones with their block's number
     at, n = 0, len(html)
     run: list[str] = []
@@ -82,7 +77,7 @@ def parse(html: str) -> Page:
         if run:
             text = " ".join(unescape("".join(run)).split())
             if text:
-                leaf = page.open("#text", block, page.depth[block] + 1, (0, 0))
+                leaf = page.open("#text", block, page.depth[block] + 1, ())
                 page.end[leaf] = leaf + 1
                 page.own[leaf].append(text)
                 page.link[leaf] = min(linked[0], len(text))
@@ -165,7 +160,7 @@ def parse(html: str) -> Page:
                 if stack[min(i, len(stack) - 1)][0] in _SCOPES.get(name, ()):
                     break
         flush()
-        block = page.open(name, block, page.depth[block] + 1, _tokens(attributes) if attributes else (0, 0))
+        block = page.open(name, block, page.depth[block] + 1, _tokens(attributes) if attributes else ())
         stack.append((name, block))
     if at < n:
         run.append(html[at:])

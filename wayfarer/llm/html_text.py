@@ -2,32 +2,55 @@
 
 Each block and each run of text in it gets features: tag, depth, place among its
 siblings, density and links of its subtree, and the tokens of its attributes and of
-those around it. Boosted trees turn them into the odds that a node holds main text.
+those around it. What a token says is learned: the log-odds of main text below elements
+that bear it, for training pages from the other half of these. Boosted trees turn the
+features into the odds that a node holds main text.
 Decoding is hierarchical: a node can be kept only if all its ancestors are, so the
 best such choice over the whole tree is taken, from the leaves up and back down.
 
-The trees are trained, once in a driver, on pages drawn from a seeded generator of
+Tokens and trees are trained, in a task, on pages drawn from a seeded generator of
 common layouts, whose blocks are known to be main text or not.
 """
 
 from __future__ import annotations
 
+import pickle
+import random
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm.boosting import Trees
 from wayfarer.llm.dom import TAGS, Page, parse
 
 _PUNCT = str.maketrans("", "", ".,;:!?")
-PAGES = 500
+PAGES = 1000
 
 
-def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def token_weights(pages: list[Page], good: list[np.ndarray]) -> dict[str, float]:
+    """How much each attribute token leans to main text: smoothed log-odds against all elements' own."""
+    counts: dict[str, list[int]] = {}
+    total = [1, 1]
+    for page, is_good in zip(pages, good, strict=True):
+        for tokens, g in zip(page.tokens, is_good, strict=True):
+            for t in tokens:
+                counts.setdefault(t, [0, 0])[int(g)] += 1
+                total[int(g)] += 1
+    base = np.log(total[1] / total[0])
+    return {t: float((np.log((g + 0.5) / (b + 0.5)) - base) * (g + b) / (g + b + 6)) for t, (b, g) in counts.items() if g + b > 1}
+
+
+def levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from 0 on; found by one sort, so that deep pages cost no more than others."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
+def features(pages: list[Page], weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of all nodes of some pages, their parents and depths, which runs are
     their block's only child, and the first node of each page."""
     size = np.array([len(p.tag) for p in pages])
@@ -39,12 +62,14 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     top = parent < 0
     parent = np.where(top, np.arange(len(tag)), parent + shift)
     end = flat("end") + shift
-    outside, inside = flat("tokens").reshape(-1, 2).T if len(tag) else np.zeros((2, 0), np.int64)
+    leaning = [[weights.get(t, 0.0) for t in ts] for p in pages for ts in p.tokens]
+    outside = np.array([-sum(w for w in ws if w < 0) for ws in leaning])
+    inside = np.array([sum(w for w in ws if w > 0) for ws in leaning])
     own = [" ".join(o) for p in pages for o in p.own]
     chars = np.array([len(o) for o in own], np.float64)
     marks = chars - np.array([len(o.translate(_PUNCT)) for o in own])
     words = np.array([o.count(" ") + 1 if o else 0 for o in own], np.float64)
-    rights = np.array(["©" in o[:80] for o in own], np.float64)
+    rights = np.array(["©" in o for o in own], np.float64)
     at = np.arange(len(tag))
     is_leaf = tag == TAGS.index("#text")
     p_tag = tag == TAGS.index("p")
@@ -57,11 +82,10 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     page = np.repeat(text[first], size) if len(size) else text
     runs = below(is_leaf)
     # Ancestors come before their descendants, so marks are handed down level by level.
-    from_out, from_in = outside.astype(np.float64), inside.astype(np.float64)
+    from_out, from_in = outside.copy(), inside.copy()
     named = {n: (tag == TAGS.index(n)).astype(np.float64) for n in ("nav", "header", "footer", "aside", "form", "article", "main", "ul")}
     over = {n: v.copy() for n, v in named.items()}
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        here = np.flatnonzero((depth == d) & ~top)
+    for here in levels(depth)[1:]:
         up = parent[here]
         from_out[here] += from_out[up]
         from_in[here] += from_in[up]
@@ -93,13 +117,11 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def decode(logit: np.ndarray, parent: np.ndarray, depth: np.ndarray, sole: np.ndarray) -> np.ndarray:
     """The likeliest choice in which nothing is kept below what is not."""
-    value = np.where(sole, 0.0, logit)
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        here = np.flatnonzero(depth == d)
+    value, steps = np.where(sole, 0.0, logit), levels(depth)
+    for here in reversed(steps[1:]):
         np.add.at(value, parent[here], np.maximum(value[here], 0))
     keep = np.where(depth == 0, value > 0, False)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        here = np.flatnonzero(depth == d)
+    for here in steps[1:]:
         keep[here] = keep[parent[here]] & ((value[here] > 0) | sole[here])
     return keep
 
@@ -108,22 +130,22 @@ class _Drawn:
     """Pages of common layouts; text within marks \\x01 and \\x02 is main text."""
 
     def __init__(self, seed: int):
-        self.r = np.random.default_rng(seed)
-        self.vocabulary = ["".join(self.r.choice(list("abcdefghijklmnoprstuvzéüñ"), self.r.integers(1, 10))) for _ in range(800)]
+        self.r = random.Random(seed)
+        self.vocabulary = ["".join(self.r.choices("abcdefghijklmnoprstuvzéüñ", k=self.r.randrange(1, 10))) for _ in range(800)]
 
     def one(self, *options):
-        return options[self.r.integers(len(options))]
+        return self.r.choice(options)
 
     def chance(self, p: float) -> bool:
         return self.r.random() < p
 
     def words(self, low: int, high: int) -> str:
-        return " ".join(self.r.choice(self.vocabulary, self.r.integers(low, high + 1)))
+        return " ".join(self.r.choices(self.vocabulary, k=self.r.randint(low, high)))
 
     def prose(self, low: int, high: int) -> str:
-        out, left = [], int(self.r.integers(low, high + 1))
+        out, left = [], self.r.randint(low, high)
         while left > 0:
-            n = int(min(left, self.r.integers(1, 18)))
+            n = min(left, self.r.randrange(1, 18))
             out.append(self.words(n, n).capitalize() + self.one(".", ".", ".", "?", "!"))
             left -= n
         return " ".join(out)
@@ -135,7 +157,7 @@ class _Drawn:
         return f' {kind}="{self.one(*names)}{self.one("", "", " " + self.words(1, 1), "-" + self.one("wrap", "box", "inner", "1"))}"'
 
     def links(self, low: int = 2, high: int = 10) -> str:
-        items = [f'<a href="/{i}">{self.words(1, 4)}</a>' for i in range(self.r.integers(low, high + 1))]
+        items = [f'<a href="/{i}">{self.words(1, 4)}</a>' for i in range(self.r.randint(low, high))]
         return self.one("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", " | ".join(items), "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
 
     def block(self, tag: str, names: tuple[str, ...], inner: str, bare: float = 0.1) -> str:
@@ -154,19 +176,23 @@ class _Drawn:
 
     def notice(self) -> str:
         inner = f"<p>{self.prose(6, 40)}</p>" + self.one("", "<button>ok</button>", f'<a href="#">{self.words(1, 2)}</a>')
-        return self.block(self.one("div", "section", "aside"), ("cookie", "notice", "cookie-notice", "consent", "alert", "gdpr", "cookie-banner"), inner, 0)
+        return self.block(self.one("div", "section", "aside"), ("cookie", "notice", "cookie-notice", "consent", "alert", "gdpr", "cookie-banner", "popup", "modal", "overlay"), inner, 0)
+
+    def hidden(self) -> str:
+        inner = self.one(self.prose(3, 40), f"<p>{self.prose(3, 40)}</p>")
+        return self.one(f"<div hidden>{inner}</div>", f'<div style="display: none">{inner}</div>', f'<p aria-hidden="true">{self.prose(2, 12)}</p>')
 
     def form(self) -> str:
         inner = self.one("", f"<label>{self.words(1, 5)}</label>", f"<p>{self.prose(3, 20)}</p>", self.prose(2, 10)) + "<input type=text>" + self.one(f"<button>{self.words(1, 2)}</button>", "<input type=submit>")
         return self.one(f"<form>{inner}</form>", self.block("div", ("newsletter", "subscribe", "search", "signup"), f"<form>{inner}</form>", 0))
 
     def aside(self) -> str:
-        inner = "".join(self.one(f"<h3>{self.words(1, 4)}</h3>" + self.links(), f"<p>{self.prose(5, 60)}</p>", self.ad(), f"<div>{self.prose(5, 40)}</div>") for _ in range(self.r.integers(1, 4)))
+        inner = "".join(self.one(f"<h3>{self.words(1, 4)}</h3>" + self.links(), f"<p>{self.prose(5, 60)}</p>", self.ad(), f"<div>{self.prose(5, 40)}</div>") for _ in range(self.r.randrange(1, 4)))
         return self.one(f"<aside>{inner}</aside>", self.block("div", ("sidebar", "side", "widget", "related", "sidebar-right"), inner, 0))
 
     def comments(self) -> str:
         text = lambda: self.one(f"<p>{self.prose(2, 90)}</p>", self.prose(2, 90))
-        each = [self.one(f'<div class="{self.one("comment", "reply", "comment-body")}">{text()}</div>', f"<li>{self.words(1, 2)} {text()}</li>", f"<article class=comment>{text()}</article>") for _ in range(self.r.integers(1, 7))]
+        each = [self.one(f'<div class="{self.one("comment", "reply", "comment-body")}">{text()}</div>', f"<li>{self.words(1, 2)} {text()}</li>", f"<article class=comment>{text()}</article>") for _ in range(self.r.randrange(1, 7))]
         inner = self.one("", f"<h2>{self.words(1, 3)}</h2>", f"<h3>{self.words(1, 3)}</h3>") + "".join(each)
         return self.block(self.one("div", "section", "ol", "ul"), ("comments", "comment-list", "replies", "responses", "disqus"), inner, 0)
 
@@ -177,7 +203,7 @@ class _Drawn:
     def main(self) -> str:
         mark = lambda s: f"\x01{s}\x02"
         parts = [f"<h1>{mark(self.words(2, 12))}</h1>"] if self.chance(0.8) else []
-        for _ in range(self.r.integers(1, 16)):
+        for _ in range(self.r.randrange(1, 16)):
             text = mark(self.prose(1, self.one(8, 40, 120)))
             kind = self.r.random()
             if kind < 0.6:
@@ -185,25 +211,25 @@ class _Drawn:
             elif kind < 0.68:
                 parts.append(f"<h2>{mark(self.words(1, 8))}</h2>")
             elif kind < 0.75:
-                parts.append("<ul>" + "".join(f"<li>{mark(self.prose(1, 20))}</li>" for _ in range(self.r.integers(1, 6))) + "</ul>")
+                parts.append("<ul>" + "".join(f"<li>{mark(self.prose(1, 20))}</li>" for _ in range(self.r.randrange(1, 6))) + "</ul>")
             elif kind < 0.8:
                 parts.append(self.one(f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>", f"<pre>{text}</pre>"))
             elif kind < 0.84:
-                parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{mark(self.words(1, 4))}</td>" for _ in range(3)) + "</tr>" for _ in range(self.r.integers(1, 5))) + "</table>")
+                parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{mark(self.words(1, 4))}</td>" for _ in range(3)) + "</tr>" for _ in range(self.r.randrange(1, 5))) + "</table>")
             elif kind < 0.9:
                 parts.append(self.one(f"<div>{text}</div>", f"<section><h2>{mark(self.words(1, 5))}</h2><p>{text}</p></section>", text))
             else:
-                parts.append(self.one(self.ad, self.form, self.aside, self.notice, lambda: self.block("div", ("share", "social", "related", "tags"), self.links(1, 5), 0))())
+                parts.append(self.one(self.ad, self.form, self.aside, self.notice, self.hidden, lambda: self.block("div", ("share", "social", "related", "tags", "recommended", "pagination", "breadcrumb"), self.links(1, 5), 0))())
         inner = "".join(parts)
         return self.one(f"<article>{inner}</article>", f"<article>{inner}</article>", self.block(self.one("div", "main", "section"), ("article", "content", "post", "entry-content", "story", "main", "text", "post-body"), inner, 0.1))
 
     def page(self) -> str:
         before = [f() for f in (self.header, self.nav, self.notice, self.ad) if self.chance(0.5)]
-        after = [f() for f in (self.aside, self.comments, self.form, self.ad, self.footer) if self.chance(0.45)]
+        after = [f() for f in (self.aside, self.comments, self.form, self.ad, self.hidden, self.footer) if self.chance(0.45)]
         self.r.shuffle(before)
         middle = self.main() if self.chance(0.97) else ""
         if self.chance(0.35):
-            take = int(self.r.integers(0, len(after) + 1))
+            take = self.r.randint(0, len(after))
             middle = self.block(self.one("div", "main"), ("wrapper", "container", "page", "main", "content"), middle + "".join(after[:take]), 0.2)
             after = after[take:]
         if self.chance(0.15):
@@ -211,40 +237,59 @@ class _Drawn:
         return "<html><head><title>x</title></head><body>" + "".join(before) + middle + "".join(after) + self.one("</body></html>", "")
 
 
-@lru_cache(1)
-def trained(seed: int = 5, pages: int = PAGES) -> Trees:
-    drawn = _Drawn(seed)
-    parsed, known = [], []
-    for _ in range(pages):
-        page = parse(drawn.page())
-        # Marked runs are main text, and so is all that holds one.
-        good = np.zeros(len(page.tag))
-        for i, own in enumerate(page.own):
-            good[i] = any("\x01" in o for o in own)
-        total = np.concatenate([[0], np.cumsum(good)])
-        end = np.array(page.end)
-        known.append(total[end] > total[np.arange(len(end))])
-        page.own = [[o.replace("\x01", "").replace("\x02", "") for o in own] for own in page.own]
-        parsed.append(page)
-    x, _, _, sole, _ = features(parsed)
-    y = np.concatenate(known).astype(np.float64)
-    return Trees(x[~sole], y[~sole])
-
-
-def extracted(html: list[str], trees: Trees) -> list[str]:
-    """The main text of each page; a text holds one line for each block."""
-    pages = [parse(h) for h in html]
-    x, parent, depth, sole, first = features(pages)
-    logit = np.zeros(len(x))
-    logit[~sole] = trees.logits(x[~sole])
-    keep = decode(logit, parent, depth, sole)
-    out = []
-    for page, at in zip(pages, first, strict=True):
-        out.append("\n".join(t for k, own in zip(keep[at : at + len(page.tag)], page.own, strict=True) if k for t in own))
-    return out
-
-
-def _extract(trees):
+class Extractor:
+    """Token weights and trees, and what they extract."""
+
+    def __init__(self, drawn: list[str]):
+        pages, known = [], []
+        for html in drawn:
+            page = parse(html)
+            # Marked runs are main text, and so is all that holds one.
+            good = np.array([any("\x01" in o for o in own) for own in page.own], np.float64)
+            total = np.concatenate([[0], np.cumsum(good)])
+            end = np.array(page.end)
+            known.append(total[end] > total[np.arange(len(end))])
+            page.own = [[o.replace("\x01", "").replace("\x02", "") for o in own] for own in page.own]
+            pages.append(page)
+        self.weights = token_weights(pages, known)
+        # Pages of either half see what the other half says of their tokens.
+        halves = []
+        for k in (0, 1):
+            x, _, _, sole, _ = features(pages[k::2], token_weights(pages[1 - k :: 2], known[1 - k :: 2]))
+            halves.append((x[~sole], np.concatenate(known[k::2]).astype(np.float64)[~sole]))
+        self.trees = Trees(*(np.concatenate(c) for c in zip(*halves, strict=True)))
+
+    def extracted(self, html: list[str]) -> list[str]:
+        """The main text of each page; a text holds one line for each block."""
+        pages = [parse(h) for h in html]
+        x, parent, depth, sole, first = features(pages, self.weights)
+        logit = np.zeros(len(x))
+        logit[~sole] = self.trees.logits(x[~sole])
+        keep = decode(logit, parent, depth, sole)
+        out = []
+        for page, at in zip(pages, first, strict=True):
+            out.append("\n".join(t for k, own in zip(keep[at : at + len(page.tag)], page.own, strict=True) if k for t in own))
+        return out
+
+
+def drawn(seed: int, pages: int) -> list[str]:
+    draw = _Drawn(seed)
+    return [draw.page() for _ in range(pages)]
+
+
+@lru_cache(4)
+def trained(spark: SparkSession, seed: int = 5, pages: int = PAGES) -> Extractor:
+    """The extractor, fitted in a task; the driver only holds the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(Extractor(drawn(seed, pages)))], pa.binary())})
+
+    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first()["model"])
+
+
+def _extract(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html = batch.column("html").to_pylist()
@@ -254,7 +299,7 @@ def _extract(trees):
                 while j < len(html) and (j == i or n + len(html[j]) <= 1_000_000):
                     n += len(html[j])
                     j += 1
-                text = extracted(html[i:j], trees.value)
+                text = model.value.extracted(html[i:j])
                 ids = batch.select(["page_id", "url"]).slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
                 i = j
@@ -270,6 +315,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     empty text. Rows with null or repeated ids are treated like all others. Other
     columns are ignored. No rows give no rows.
     """
-    trees = pages.sparkSession.sparkContext.broadcast(trained())
+    spark = pages.sparkSession
+    model = spark.sparkContext.broadcast(trained(spark))
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return plain.mapInArrow(_extract(trees), "page_id long, url string, text string, n_chars long")
+    return plain.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")
