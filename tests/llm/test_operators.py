@@ -362,8 +362,9 @@ def test_nearest_vectors(spark):
     assert set(got) == set(range(0, 900, 20)) and hit >= 0.9 * 20 * len(got)
 
 
-def test_nearest_vectors_inside_a_group_of_near_copies(spark):
+def test_nearest_vectors_inside_a_group_of_near_copies(spark, monkeypatch):
     """400 vectors that differ by less than estimates can tell, in the one list there is."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 1000)
     rng = np.random.default_rng(11)
     x = rng.standard_normal((500, 16))
     x[:400] = x[0] + 1e-7 * rng.standard_normal((400, 16))
@@ -377,6 +378,38 @@ def test_nearest_vectors_inside_a_group_of_near_copies(spark):
         assert got[q] == np.argsort(-s)[:20].tolist()
 
 
+@pytest.mark.parametrize("groups", [0, 60])
+def test_nearest_vectors_with_more_lists_than_are_visited(spark, monkeypatch, groups):
+    """Recall against brute force where lists are left out, in blocks, with and without groups of copies."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 20)
+    monkeypatch.setattr(ann, "BLOCK", 1500)
+    monkeypatch.setattr(ann, "QUERIES", 100)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 24))
+    if groups:
+        x = x[rng.integers(0, groups, 4000)] + 0.3 * x
+    index = ann.Index(x, 4000, 20)
+    assert index.probes < 0.8 * len(index.centres)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in ann.nearest_vectors(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 4000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == 20
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_nearest_vectors_of_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest_vectors(df, every=5, k=2).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 1, 2, 2.0), (0, 2, 1, 0.0), (0, 2, 3, 1.0)]
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>home</a> <a href=/x>news</a></nav>
     <div class="cookie-notice"><p>We use cookies on this site to give you more.</p></div>

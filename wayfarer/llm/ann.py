@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import staged
 from wayfarer.llm.near_vectors import clean
 
-#: The index is fitted on so many vectors at most, and its lists hold about so many.
-SAMPLE, LIST_SIZE = 16_384, 256
-LISTS_MOST = 4096
+#: A list holds about so many vectors, up to so many lists; the index is fitted on so
+#: many vectors for each list, within these bounds.
+LIST_SIZE, LISTS_MOST = 64, 16_384
+PER_LIST, SAMPLE_LEAST, SAMPLE_MOST = 4, 16_384, 65_536
 #: Lists are visited until this share of the sample's true neighbours is in them.
-COVER = 0.99
+COVER = 0.96
 #: So many of a query's best estimates set the bar that all other bounds are held to.
 FIRST = 150
-BLOCK, QUERIES = 32_768, 512
+#: Entries and queries of a block, and queries that are searched at the same time.
+BLOCK, QUERIES, AT_ONCE = 32_768, 8192, 512
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -53,9 +55,13 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 2048] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
 
 
+def lists_of(rows: int) -> int:
+    return min(LISTS_MOST, max(1, rows // LIST_SIZE))
+
+
 class Index:
     def __init__(self, x: np.ndarray, rows: int, k: int):
-        self.centres = kmeans(x, int(min(len(x), LISTS_MOST, max(1, rows // LIST_SIZE))))
+        self.centres = kmeans(x, min(len(x), lists_of(rows)))
         lists = nearest(x, self.centres)
         self.parts = np.array_split(np.arange(x.shape[1]), max(1, x.shape[1] // 2))
         rest, _ = self._direction(x - self.centres[lists])
@@ -200,8 +206,12 @@ def _search(index, most: int):
         q, ids, least = _matrix(right.column("vec")), left.column("cid").to_numpy(), left.column("least").to_numpy()
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         lists, length, error = (left.column(c).to_numpy() for c in ("list", "length", "error"))
-        row, entry, score = index.value.search(q, index.value.visits(q), _matrix(left.column("vec")), least, lists, length, codes, error, most)
-        return pa.table({"query": right.column("cid").to_numpy()[row], "cid": ids[entry], "least": least[entry], "score": score})
+        x, asked, found = _matrix(left.column("vec")), right.column("cid").to_numpy(), []
+        for i in range(0, len(q), AT_ONCE):
+            part = q[i : i + AT_ONCE]
+            row, entry, score = index.value.search(part, index.value.visits(part), x, least, lists, length, codes, error, most)
+            found.append(pa.table({"query": asked[i + row], "cid": ids[entry], "least": least[entry], "score": score}))
+        return pa.concat_tables(found)
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         return run(left, right)
@@ -220,7 +230,11 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
     to the smaller vec_id; with fewer candidates all are returned. Rows without
     vec_id, and those whose vector is null, zero, of another length than most, or
     holds null or non-finite components, take no part. Rows that repeat a vec_id
-    count once for each different vector. Other columns are ignored.
+    count once for each different vector, as queries too. Other columns are ignored.
+
+    Lists grow in number up to ``LISTS_MOST``, so beyond a million rows each list, and
+    a query's work, grows with the table. The driver holds the sample that the index
+    is fitted on, ``SAMPLE_MOST`` vectors at most.
     """
     spark = vectors.sparkSession
     fine = clean(vectors)
@@ -236,7 +250,8 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
     # Where one id has several vectors, each of them gets a number of its own.
     classes = staged(classes.withColumn("cid", F.xxhash64("same")), "classes")
     rows = classes.count()
-    fitted = np.stack(classes.orderBy(F.xxhash64("cid"), "same").limit(SAMPLE).select("vec").toPandas()["vec"]).astype(np.float64)
+    sample = min(SAMPLE_MOST, max(SAMPLE_LEAST, PER_LIST * lists_of(rows)))
+    fitted = np.stack(classes.orderBy(F.xxhash64("cid"), "same").limit(sample).select("vec").toPandas()["vec"]).astype(np.float64)
     index = spark.sparkContext.broadcast(Index(fitted, rows, k))
 
     asked = keyed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("same").alias("query"))
