@@ -243,6 +243,9 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
         return spark.createDataFrame([], RESULT)
     same = F.sha2(F.array_join(F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)
     keyed = staged(fine.where(F.size("vec") == sizes["dim"]).withColumn("same", same), "vectors").dropDuplicates(["vec_id", "same"])
+    # A query's own id may have several vectors, as many places are left out of its result.
+    own = keyed.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    most = k + own
     # A result needs no more than the k + 1 least ids of equal vectors.
     by_id = Window.partitionBy("same").orderBy("vec_id")
     few = keyed.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
@@ -269,14 +272,14 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
     left = coded.join(plan, "g").withColumn("b", part("blocks")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     right = going.join(plan, "g").withColumn("t", part("turns")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     near = left.select("g", "b", "t", "cid", "least", "vec", "list", "length", "code", "error").groupBy("g", "b", "t").cogroup(right.select("g", "b", "t", "cid", "vec").groupBy("g", "b", "t"))
-    near = near.applyInArrow(_search(index, k + 1), "query long, cid long, least long, score double")
-    # An entry behind k + 1 others, by score and least id, has no id among the best k + 1.
+    near = near.applyInArrow(_search(index, most), "query long, cid long, least long, score double")
+    # An entry behind ``most`` others, by score and least id, has no id among the best ``most``.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
-    near = staged(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query", "cid", "score"), "near")
+    near = staged(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("query", "cid", "score"), "near")
 
     scored = near.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
     lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
     mine = asked.join(lists, "query").withColumn("top", F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k))
     return mine.select("query_id", F.posexplode("top").alias("at", "t")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
