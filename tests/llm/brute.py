@@ -100,3 +100,55 @@ def near_vectors(rows: list[tuple], least: float = 0.95) -> dict:
     links = [(a, b) for a in fine for b in fine if a < b and len(fine[a]) == len(fine[b]) and fine[a] @ fine[b] / np.linalg.norm(fine[a]) / np.linalg.norm(fine[b]) >= least]
     comp = groups([i for i, _ in rows], links)
     return {i: (sum(i in x for x in links), comp[i]) for i, _ in rows}
+
+
+def segmentations(text: str, pieces: dict[str, int]) -> list[tuple[int, ...]]:
+    """All ways to spell a text in pieces."""
+    if not text:
+        return [()]
+    return [(pieces[text[:n]], *rest) for n in range(1, len(text) + 1) if text[:n] in pieces for rest in segmentations(text[n:], pieces)]
+
+
+def toxicity(model, text: str) -> float:
+    """Scores word by word and stretch by stretch."""
+    from wayfarer.llm.toxicity import BUCKETS, WIDTHS
+    from wayfarer.llm.words import bytes_hash, mix
+
+    marks = {c for c in range(128) if c in range(33, 48) or c in range(58, 65) or c in range(91, 97) or c in range(123, 127)}
+    logits = []
+    for word in WORD.findall(upper_to_lower(text)):
+        w = word.encode()
+        for _ in range(3):
+            if len(w) > 1 and w[0] in marks:
+                w = w[1:]
+            if len(w) > 1 and w[-1] in marks:
+                w = w[:-1]
+        w = b"\x02" + w + b"\x03"
+        whole = np.frombuffer(w, np.uint8)
+        found = [int(bytes_hash(whole, np.array([0]), np.array([len(w)]))[0])]
+        for k in range(3, 7):
+            found += [int(mix(np.array([int.from_bytes(w[i : i + k], "little") + (k << 56)], np.uint64))[0]) for i in range(len(w) - k + 1)]
+        logits.append(np.mean([model.share[h % BUCKETS] for h in found]))
+    if not logits:
+        return model.empty
+    views = [max(np.mean(logits[i : i + n]) for i in range(max(1, len(logits) - n + 1))) for n in WIDTHS] + [np.mean(logits)]
+    return 1 / (1 + np.exp(-(model.bias + np.dot(views, model.mix))))
+
+
+def quality(model, text: str) -> float:
+    """Pools a document's two streams and passes them through both layers."""
+    from wayfarer.llm.quality import _index, tokens
+    from wayfarer.llm.words import Words
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = Words(data, np.array([0, len(data)]))
+    if not len(words.start):
+        return model.prior
+    x = []
+    for (known, table), stream in zip(model.vectors.streams, tokens(words), strict=True):
+        vectors = [table[list(known).index(h)] if h in known else 0.5 * _index(np.array([h]))[0] for h in stream]
+        x += [np.mean(vectors, axis=0), np.std(vectors, axis=0)]
+    x = np.concatenate([*x, [np.log1p(len(words.start))]])
+    a, b, c, d = model.layers
+    hidden = np.maximum((x - model.scale[0]) / model.scale[1] @ a + b, 0)
+    return 1 / (1 + np.exp(-np.clip((hidden @ c + d) / model.temperature, -30, 30)))

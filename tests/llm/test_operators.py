@@ -214,6 +214,14 @@ def test_token_files(spark, docs, rows):
         start += len(ids)
 
 
+def test_ids_of_wanted_documents_only(spark, docs, rows, monkeypatch):
+    manifest = token_files.write_token_files(docs, scratch(spark, "tokens"), WORDS)
+    wanted = [3, 7, 10, 10**9, None, max(i for i, _ in rows)]
+    got = {r["doc_id"]: r["ids"] for r in token_files.ids_of(manifest, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()}
+    texts = {i: t or "" for i, t in rows if i in wanted}
+    assert got == {i: ids.tolist() for i, ids in zip(texts, brute.token_ids(list(texts.values()), WORDS, 1), strict=True)}
+
+
 @pytest.mark.parametrize(("path", "spaced"), [(WORDS, False), (BYTES, True)])
 def test_names_of_added_tokens_as_the_library_takes_them(rows, path, spaced):
     """Ids of the library's plain ``encode``, for names in odd places and for all other rows."""
@@ -283,18 +291,20 @@ def test_sampled_pieces(docs, rows):
     assert back == {i: t or "" for i, t in rows}
 
 
-def test_sampled_shares_follow_the_lattice():
-    """Each segmentation of a short word comes up as often as its weight says."""
+@pytest.mark.parametrize("word", ["the", " of", "ended"])
+def test_sampled_shares_follow_the_lattice(word):
+    """Of all segmentations there are, each comes up as often as its weight says."""
     code = pieces.Lattice(PIECES, 0.3)
-    drawn = code.samples(["the"] * 6000, list(range(6000)))
+    n = 8000
     seen: dict[tuple, int] = {}
-    for x in drawn:
+    for x in code.samples([word] * n, list(range(n))):
         seen[tuple(x.tolist())] = seen.get(tuple(x.tolist()), 0) + 1
-    weight = {x: np.exp(sum(code.weight[i] for i in x)) for x in seen}
+    every = brute.segmentations(word, {p.replace(pieces.MARK, " "): i for p, i in code.piece.items()})
+    weight = {x: np.exp(sum(code.weight[i] for i in x)) for x in every}
     total = sum(weight.values())
-    assert len(seen) >= 3
-    for x, n in seen.items():
-        assert n / 6000 == pytest.approx(weight[x] / total, abs=0.03)
+    assert set(seen) <= set(every) and len(every) >= 3
+    for x, w in weight.items():
+        assert seen.get(x, 0) / n == pytest.approx(w / total, abs=5 * np.sqrt(w / total / n) + 1e-3)
 
 
 def vectors() -> list[tuple]:
@@ -509,6 +519,18 @@ def test_toxicity_wherever_a_phrase_begins_and_however_often():
     assert thrice > once
 
 
+def test_scores_against_plain_forward_passes(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    found = [t or "" for _, t in drawn_texts()[:30]] + ["You IDIOT! idiot.", "a", "", "...", "x y x y"]
+    chunk = lambda lower: next(words.word_chunks(pa.array(found), lower=lower, most=1 << 30))[2]
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").limit(200).toPandas()
+    y, weight = rows["toxic"].to_numpy(), np.ones(len(rows))
+    toxic = toxicity.fit(rows["text"].fillna("").tolist(), y, weight)
+    assert toxic.scores(chunk(True)) == pytest.approx([brute.toxicity(toxic, t) for t in found])
+    good = quality.fit(rows["text"].fillna("").tolist(), rows["quality"].to_numpy(), weight)
+    assert good.scores(chunk(False)) == pytest.approx([brute.quality(good, t) for t in found], rel=1e-4)
+
+
 def test_classifiers_on_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a"), (1, None), (2, ""), (2, "b c"), (3, " ")], "doc_id long, text string").withColumn("quality", F.lit(1))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

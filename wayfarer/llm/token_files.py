@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.llm.common import scratch, staged, texts
 from wayfarer.llm.encoding import encoder
+from wayfarer.llm.words import ragged
 
 # Fixed values of the seekable format: skippable frame, its footer, and a flag for checksums.
 _SKIPPABLE, _FOOTER, _CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -97,8 +98,9 @@ def _write(folder: str, vocabulary: str, end_id: int):
         if writer is not None:
             writer.close()
             out.close()
-            row = {"shard": [TaskContext.get().partitionId()], "path": [path], "docs": [len(writer.ids)], "tokens": [tokens]}
-            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            row = {"shard": [TaskContext.get().partitionId()], "path": [path], "docs": [len(writer.ids)], "tokens": [tokens], "first_id": [writer.ids[0]], "last_id": [writer.ids[-1]]}
+            numbers = [(c, pa.int64()) for c in ("docs", "tokens", "first_id", "last_id")]
+            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), *numbers]))
 
     return run
 
@@ -106,8 +108,9 @@ def _write(folder: str, vocabulary: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1) -> DataFrame:
     """Write all texts' ids in ascending doc_id order; returns the manifest.
 
-    The manifest (shard, path, docs, tokens, start) has one row for each file, in
-    order of ``shard``; ``start`` is the number of ids in all files before it.
+    The manifest (shard, path, docs, tokens, first_id, last_id, start) has one row for
+    each file, in order of ``shard``; ``start`` is the number of ids in all files
+    before it.
     ``folder`` is a URI that all executors and pyarrow can write to. A lost task
     leaves a file that no manifest names.
 
@@ -118,7 +121,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     store.create_dir(at, recursive=True)
     order = texts(docs).withColumn("h", F.xxhash64("text"))
     order = order.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    manifest = staged(order.mapInArrow(_write(folder, vocabulary, end_id), "shard int, path string, docs long, tokens long"), "manifest")
+    manifest = staged(order.mapInArrow(_write(folder, vocabulary, end_id), "shard int, path string, docs long, tokens long, first_id long, last_id long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -147,6 +150,42 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return files.repartition(max(1, files.count())).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def ids_of(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents that ``wanted.doc_id`` names; no other is decompressed.
+
+    Each file's first and last id tell which files may hold a document, and only
+    these are opened, once each. Ids that no file holds give no rows, null ones
+    neither; rows that share an id are all returned. The driver holds three values a
+    file.
+    """
+    files = manifest.select("path", "first_id", "last_id", "shard").orderBy("shard").collect()
+    held = manifest.sparkSession.sparkContext.broadcast([(r["path"], r["first_id"], r["last_id"]) for r in files])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = [p for p, _, _ in held.value]
+        first, last = (np.array([x[k] for x in held.value], np.int64) for k in (1, 2))
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            low, high = np.searchsorted(last, ids, "left"), np.searchsorted(first, ids, "right")
+            n = np.maximum(high - low, 0)
+            at = ragged(low, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array([paths[k] for k in at], pa.string())], names=["doc_id", "path"])
+
+    def read(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(key[0].as_py())
+        ids_here = np.concatenate([b.column("doc_id").to_numpy() for b in batches])
+        with store.open_input_file(at) as file:
+            reader = Reader(file, file.size())
+            found = np.flatnonzero(np.isin(reader.doc_ids, ids_here))
+            for i in range(0, len(found), 1024):
+                part = found[i : i + 1024]
+                ids = pa.array([reader.ids(k).astype(np.int32) for k in part], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[part]), ids], names=["doc_id", "ids"])
+
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return asked.mapInArrow(place, "doc_id long, path string").groupBy("path").applyInArrow(read, "doc_id long, ids array<int>")
+
+
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """Write the files to the shared folder and read them back."""
     folder = scratch(docs.sparkSession, "tokens")
