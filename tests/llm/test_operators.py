@@ -52,7 +52,10 @@ def docs(spark, rows):
     return df.withColumns({c: F.lit("x") for c in ("n", "key", "text_id", "held_out", "band", "u", "v", "score", "spans", "comp", "h", "n_words")})
 
 
-def test_near_text(docs, rows):
+@pytest.mark.parametrize("block", [near_text.BLOCK, 3])
+def test_near_text(docs, rows, monkeypatch, block):
+    """Also where nearly every bucket is cut into blocks."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_text.near_text(docs).collect()}
     assert got == brute.near_text(rows)
 

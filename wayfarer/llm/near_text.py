@@ -159,20 +159,32 @@ def _common(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return both[u, v].astype(np.int64)
 
 
+def _candidates(table: pa.Table) -> np.ndarray:
+    """Rows u, v and distances of a block's pairs of different components whose sketches allow a link.
+
+    In a large group only outliers are compared, with all that are here.
+    """
+    comp = table.column("comp").to_numpy()
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(comp), -1)
+    pairs = [np.zeros((3, 0), np.int64)]
+    for i in np.flatnonzero(table.column("outlier").to_numpy(zero_copy_only=False)):
+        apart = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1, dtype=np.int32)
+        j = np.flatnonzero((apart <= SKETCH_MOST) & (comp != comp[i]))
+        pairs.append(np.stack([np.full(len(j), i), j, apart[j]]))
+    return np.concatenate(pairs, axis=1)
+
+
+def _possible(table: pa.Table) -> pa.Table:
+    """A block's rows that have any candidate there."""
+    return table.take(pa.array(np.unique(_candidates(table)[:2])))
+
+
 def _settle(width: int, percent: int):
     """One block: links on full sets that unite members of different components."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        # In a large group only outliers are compared, with all that are here.
-        left = np.flatnonzero(table.column("outlier").to_numpy(zero_copy_only=False))
-        pairs = []
-        for i in left:
-            apart = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1, dtype=np.int32)
-            j = np.flatnonzero((apart <= SKETCH_MOST) & (comp != comp[i]))
-            pairs.append(np.stack([np.full(len(j), i), j, apart[j]]))
-        u, v, apart = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+        u, v, apart = _candidates(table)
         links: dict[str, list[int]] = {"u": [], "v": []}
         if len(u):
             sets = _sets(table.column("text").combine_chunks(), width)
@@ -256,8 +268,10 @@ def near_text(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     as_outlier = rest.where("large and outlier").withColumn("j", at("m")).withColumn("i", F.explode(every("n")))
     columns = ["main", "i", "j", "doc_id", "comp", "outlier"]
     blocks = small.select(columns).union(as_member.select(columns)).union(as_outlier.select(columns))
-    blocks = blocks.join(sketches, "doc_id").join(held, "doc_id").select(*columns, "sketch", "text")
-    more = blocks.groupBy("main", "i", "j").applyInArrow(_settle(width, percent), "u long, v long")
+    # Sketches alone tell which members of a block can link there; only these bring their texts.
+    blocks = blocks.join(sketches, "doc_id").select(*columns, "sketch")
+    blocks = staged(blocks.groupBy("main", "i", "j").applyInArrow(_possible, blocks.schema), "blocks")
+    more = blocks.join(held, "doc_id").groupBy("main", "i", "j").applyInArrow(_settle(width, percent), "u long, v long")
     groups = components(links.union(more).union(same))
     return signed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id",
