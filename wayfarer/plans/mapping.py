@@ -191,3 +191,25 @@ def experiences_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = first.select("u", F.col("f.title").alias("title"), F.col("f.start").alias("start"), F.lit(0).alias("pos"))
     once = merge.appended(current, new, "u", "title", [F.col("start")], "pos", "o_orderkey")
     return merge.appended(once, new, "u", "title", [F.col("start")], "pos", "o_orderkey")
+
+
+@query(
+    f"""WITH {_E}, h AS (SELECT generate_subscripts(v, 1) AS place, unnest(v) AS x FROM e WHERE vec_id // 10 = 3), q AS (SELECT list(x ORDER BY place) AS q FROM (SELECT place, avg(x) AS x FROM h GROUP BY place))
+        SELECT CAST(row_number() OVER (ORDER BY list_inner_product(q, v) DESC, vec_id) AS INTEGER) AS rank, vec_id AS id, round(list_inner_product(q, v), 6) AS score FROM e, q ORDER BY rank LIMIT 10"""
+)
+def next_steps_of_one_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a whole history points to: the ten bank rows nearest to its mean."""
+    rows = _vectors(spark, sf_dir)
+    mine = mean_vectors(rows.where("floor(id / 10) = 3").withColumn("query", F.lit(0).cast("long")), ["query"], "vec").select("query", F.col("mean").alias("vec"))
+    return _rounded(ranking.nearest(mine, rows.select("id", "vec"), 10, rows.count()).select("rank", "id", "score"), "score")
+
+
+@query(
+    """WITH last AS (SELECT o_custkey, o_orderkey, o_orderdate, o_custkey % 3 AS split FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+       SELECT split, CAST(row_number() OVER (PARTITION BY split ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS place, o_orderkey FROM last QUALIFY row_number() OVER (PARTITION BY split ORDER BY o_orderdate, o_orderkey) <= 10"""
+)
+def earliest_last_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split, the ten people whose last job began first."""
+    last = merge.latest(table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at")), "o_custkey", "at")
+    rows = last.select((F.col("o_custkey") % 3).alias("split"), "at.o_orderdate", "at.o_orderkey")
+    return career.first_rows(rows, "split", 10, "o_orderdate", "o_orderkey").select("split", F.col("row").alias("place"), "o_orderkey")

@@ -91,7 +91,8 @@ def upsert_events(df: DataFrame, key: str, event: str, payload: str) -> DataFram
     Order holds within a partition of the written topic, as it does for live events.
     """
     rest = F.struct(*[c for c in df.columns if c != key])
-    value = F.to_json(F.struct(F.lit(event).alias("event"), F.col(key), rest.alias(payload)), {"ignoreNullFields": "false"})
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("occurred_at")
+    value = F.to_json(F.struct(F.lit(event).alias("event"), F.col(key), now, rest.alias(payload)), {"ignoreNullFields": "false"})
     return df.select(F.col(key), value.alias("value")).repartitionByRange(key).sortWithinPartitions(key)
 
 
