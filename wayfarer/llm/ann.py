@@ -33,7 +33,7 @@ COVER = 0.96
 #: So many of a query's best estimates set the bar that all other bounds are held to.
 FIRST = 150
 #: Entries and queries of a block, and queries that are searched at the same time.
-BLOCK, QUERIES, AT_ONCE = 32_768, 8192, 512
+BLOCK, QUERIES, AT_ONCE = 8192, 8192, 2048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
