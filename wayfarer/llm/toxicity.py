@@ -127,7 +127,7 @@ def fit(found: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     """Joint training by Adagrad over the whole bounded sample."""
     prior = (float((weight * y).sum()) + 1) / (float(weight.sum()) + 2)
     rng = np.random.default_rng(8)
-    embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    embed = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 1, DIM), float(np.log(prior / (1 - prior)))
     mix = np.ones(len(WIDTHS) + 1)
     if len(found) == 0 or y.min() == y.max():
