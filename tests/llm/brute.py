@@ -152,3 +152,20 @@ def quality(model, text: str) -> float:
     a, b, c, d = model.layers
     hidden = np.maximum((x - model.scale[0]) / model.scale[1] @ a + b, 0)
     return 1 / (1 + np.exp(-np.clip((hidden @ c + d) / model.temperature, -30, 30)))
+
+
+def whitened(rows: list[tuple], components: int = 8) -> dict:
+    """(vec_id, component) -> (n, deviation, |whitened|, explained), all vectors of one length."""
+    fine = {i: v for i, v in rows if v is not None and None not in v and np.isfinite(v).all()}
+    x = [[int(np.floor(1024 * float(c))) + 100_000 for c in v] for v in fine.values()]
+    n = len(x)
+    sums = [sum(c) for c in zip(*x, strict=True)]
+    far = [sum((n * c - s) ** 2 for c, s in zip(v, sums, strict=True)) for v in x]
+    y = np.array([[(n * c - s) / n for c, s in zip(v, sums, strict=True)] for v in x])
+    values, vectors = np.linalg.eigh(y.T @ y / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    out = {}
+    for k in range(min(components, int((values > 1e-12 * values[0]).sum()))):
+        for i, d, w in zip(fine, far, np.abs(y @ vectors[:, k]) / np.sqrt(values[k]), strict=True):
+            out[i, k + 1] = (n, d, w, values[k] / values.sum())
+    return out

@@ -17,6 +17,7 @@ from wayfarer.llm.quality import quality
 from wayfarer.llm.substring import repeated_spans
 from wayfarer.llm.token_files import token_files
 from wayfarer.llm.toxicity import toxicity
+from wayfarer.llm.whitening import whitened
 
 
 def vocabulary(name: str) -> str:
@@ -66,6 +67,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_substring_dedup,
         op10_best_fit_packing,
+        op13_embedding_whitening,
     )
 }
 
