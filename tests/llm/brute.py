@@ -169,3 +169,28 @@ def whitened(rows: list[tuple], components: int = 8) -> dict:
         for i, d, w in zip(fine, far, np.abs(y @ vectors[:, k]) / np.sqrt(values[k]), strict=True):
             out[i, k + 1] = (n, d, w, values[k] / values.sum())
     return out
+
+
+def source_divergence(rows: list[tuple], least: int = 10, top: int = 10) -> set[tuple]:
+    """All (lang, source, part, item, value, rank) of (lang, source, text) rows."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    out = set()
+    for lang in {r[0] for r in rows}:
+        terms = [(s, re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", upper_to_lower(t))) for x, s, t in rows if x == lang]
+        kept = {w for _, ws in terms for w in ws if sum(w in other for _, other in terms) >= least}
+        count = {s: dict.fromkeys(kept, 0) for s, _ in terms}
+        for s, ws in terms:
+            for w in ws:
+                if w in kept:
+                    count[s][w] += 1
+        whole = {w: sum(c[w] for c in count.values()) for w in kept}
+        shares = lambda c: {w: 1 + 10**9 * (n + 2) // (sum(c.values()) + 2 * len(c)) for w, n in c.items()}
+        p, q = {s: shares(c) for s, c in count.items()}, shares(whole)
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in count:
+            pairs = [(o, sum(f(p[s][w], p[o][w]) for w in kept)) for o in count if o != s]
+            found = [(w, f(p[s][w], q[w])) for w in kept if count[s][w] and p[s][w] > q[w]]
+            for part, items in (("pair", pairs), ("term", found)):
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out |= {(lang, s, part, item, value, k + 1) for k, (item, value) in enumerate(items) if part == "pair" or k < top}
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm.ann import nearest_vectors
 from wayfarer.llm.common import table
+from wayfarer.llm.divergence import source_divergence
 from wayfarer.llm.html_text import main_text
 from wayfarer.llm.near_text import near_text
 from wayfarer.llm.near_vectors import near_vectors
@@ -67,6 +68,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"), components=8)
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_substring_dedup,
         op10_best_fit_packing,
+        op11_source_divergence,
         op13_embedding_whitening,
     )
 }
@@ -142,4 +148,35 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, count(m.p)::BIGINT AS n_words, count(m.p) FILTER (m.g)::BIGINT AS n_removed,
             sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.p) FILTER (NOT m.g), '')) AS kept_sha256
         FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        w AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        l AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (
+            SELECT g.lang, g.source, l.term, coalesce(x.n, 0) AS n, l.n AS lang_n
+            FROM g JOIN l USING (lang)
+            LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = l.term),
+        t AS (
+            SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(lang_n) OVER (PARTITION BY lang, source) AS lang_total,
+                count(*) OVER (PARTITION BY lang, source) AS v
+            FROM c),
+        p AS (
+            SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS p,
+                1 + 1000000000::HUGEINT * (lang_n + 2) // (lang_total + 2 * v) AS q
+            FROM t),
+        s AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }

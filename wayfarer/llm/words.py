@@ -1,7 +1,8 @@
 """Words of Arrow string columns, found and hashed with numpy a few MB at a time.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D, so UTF-8 is
-never cut inside a character.
+A word is a maximal run of bytes other than space and 0x09-0x0D, or, where a table
+of bytes is given, of bytes in it; with all bytes from 0x80 on in it, UTF-8 is never
+cut inside a character.
 """
 
 from __future__ import annotations
@@ -142,10 +143,10 @@ class Words:
     the number of all words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, inside: np.ndarray = ~_SPACE):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        inside = ~_SPACE[self.data]
+        inside = inside[self.data]
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
@@ -183,12 +184,47 @@ def column(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_chunks(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def bytes_of(*ranges: tuple[int, int]) -> np.ndarray:
+    """A table of the bytes in some ranges, ends included, and of all from 0x80 on."""
+    table = np.zeros(256, bool)
+    for a, b in (*ranges, (0x80, 0xFF)):
+        table[a : b + 1] = True
+    return table
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[start:end] of many ranges as a string column."""
+    length = end - start
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    held = np.ascontiguousarray(data[ragged(start, length)])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held))
+
+
+def numbered(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word, first place of each number); words with the same bytes, and no others, share a number."""
+    _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    length = words.end - words.start
+    same = length == length[first[which]]
+    same[same] = same_bytes(words.data, words.start[same], words.data, words.start[first[which[same]]], length[same])
+    if not same.all():  # a hash that is another's: those words are told apart one by one
+        own: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(~same).tolist():
+            word = words.data[words.start[i] : words.end[i]].tobytes()
+            if word not in own:
+                own[word] = len(first) + len(more)
+                more.append(i)
+            which[i] = own[word]
+        first = np.concatenate([first, np.array(more, first.dtype)])
+    return which, first
+
+
+def word_chunks(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES, inside: np.ndarray = ~_SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, their words) for parts of a column of ``most`` bytes each."""
     data, offsets = column(array)
     for i, j in split_rows(np.diff(offsets), most):
         a, b = offsets[i], offsets[j]
-        yield i, j, Words(data[a:b], offsets[i : j + 1] - a, lower)
+        yield i, j, Words(data[a:b], offsets[i : j + 1] - a, lower, inside)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
