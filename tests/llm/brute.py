@@ -194,3 +194,30 @@ def source_divergence(rows: list[tuple], least: int = 10, top: int = 10) -> set[
                 items.sort(key=lambda x: (-x[1], x[0].encode()))
                 out |= {(lang, s, part, item, value, k + 1) for k, (item, value) in enumerate(items) if part == "pair" or k < top}
     return out
+
+
+def license_words(text: str) -> list[str]:
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", upper_to_lower(text))
+
+
+def license_base(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels) of each row."""
+    phrases = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
+    out = []
+    for i, text in rows:
+        w = license_words(text or "")
+        at = [(k, label) for label, p in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        places = [k for k, _ in at]
+        out.append((i, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({label for _, label in at}))))
+    return out
+
+
+def local_alignment(words: list[str], template: list[str]) -> int:
+    """The best score of 1 a word in common and -1 for any other step."""
+    before, best = [0] * (len(words) + 1), 0
+    for t in template:
+        now = [0]
+        for j, w in enumerate(words):
+            now.append(max(0, before[j] + (1 if w == t else -1), before[j + 1] - 1, now[j] - 1))
+        best, before = max(best, *now), now
+    return best

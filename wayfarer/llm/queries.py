@@ -10,6 +10,7 @@ from wayfarer.llm.ann import nearest_vectors
 from wayfarer.llm.common import table
 from wayfarer.llm.divergence import source_divergence
 from wayfarer.llm.html_text import main_text
+from wayfarer.llm.licenses import license_scan
 from wayfarer.llm.near_text import near_text
 from wayfarer.llm.near_vectors import near_vectors
 from wayfarer.llm.packing import pack
@@ -72,6 +73,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"), components=8)
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_best_fit_packing,
         op11_source_divergence,
+        op12_license_scan,
         op13_embedding_whitening,
     )
 }
