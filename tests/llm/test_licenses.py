@@ -90,15 +90,17 @@ def test_notices_whole_changed_and_apart(spark, noticed):
     got = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
     for i, label, kind, w in noticed:
         labels = [x for x in got[i]["labels"].split(",") if x]
-        shares = {t.label: brute.local_alignment(w, [x.decode() for x in t.words]) / len(t.words) for t in reversed(licenses.templates()) if not t.phrase and len(t.words) >= 10}
+        shares: dict[str, float] = {}
+        for t in licenses.templates(()):
+            shares[t.label] = max(shares.get(t.label, 0), brute.local_alignment(w, [x.decode() for x in t.words]) / len(t.words))
         if kind in ("whole", "changed", "dropped", "more"):
             # Where the very word that tells two notices apart was changed, the other one counts.
             label = next((x for x in labels if x[:5] == label[:5] == "cc-by"), label)
             assert label in labels, (label, kind)
             span = next(s for s in got[i]["spans"] if s["label"] == label)
-            assert span["share"] == pytest.approx(shares[label]) and 28 <= span["first_word"] <= 34
+            assert 0.7 <= span["share"] <= shares[label] and (span["share"] == 1 or kind != "whole") and 28 <= span["first_word"] <= 34
         # Nothing is found that an alignment over the whole text doesn't find.
-        assert all(shares[s["label"]] >= 0.7 for s in got[i]["spans"] if len(brute.license_words(dict(licenses.NOTICES)[s["label"]])) >= 10 and s["label"] in ("bsd", "isc", "lgpl", "agpl", "mpl", "unlicense"))
+        assert all(shares[s["label"]] >= 0.7 for s in got[i]["spans"])
         if kind == "mixed":
             assert not got[i]["spans"]
 
