@@ -68,6 +68,30 @@ def test_near_text_at_the_limit(spark):
     assert got == brute.near_text(made) == {1: (7, 1), 2: (7, 1), 3: (7, 3)}
 
 
+def near_copy(text: str, k: int) -> str:
+    w = text.split()
+    w[k] = "changed"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("block", [near_text.BLOCK, 3])
+def test_near_text_of_ids_with_several_texts(spark, monkeypatch, block):
+    """An id links wherever any of its texts does."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    made = [(10, a), (10, b), (2, near_copy(a, 40)), (3, near_copy(b, 40))]
+    many = [(1, a), (1, b), (2, near_copy(a, 9)), (3, near_copy(a, 70)), (4, near_copy(b, 9)), (5, near_copy(b, 70))]
+    bases = [" ".join(rng.choice([f"w{i}" for i in range(500)], 60)) for _ in range(12)]
+    drawn = [(int(rng.integers(0, 25)), near_copy(bases[int(rng.integers(0, 12))], int(rng.integers(0, 60)))) for _ in range(70)]
+    for rows in (made, many, drawn + [(7, None), (7, ""), (8, "a b")]):
+        sets = [(i, set(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else set()) for i, t in rows for w in [(t or "").split()]]
+        links = [(i, j) for i, x in sets for j, y in sets if i < j and x and 100 * len(x & y) >= 75 * len(x | y)]
+        want = brute.groups([i for i, _ in rows], links)
+        got = near_text.near_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
 def thue_morse(n: int, first: str) -> str:
     """Two such words, of a and b and the other way round, collide in polynomial hashes modulo 2**64."""
     other = {"a": "b", "b": "a"}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.llm.common import staged, texts
 from wayfarer.llm.components import components
-from wayfarer.llm.words import mix, shingles, word_chunks
+from wayfarer.llm.words import Words, mix, shingles, word_chunks
 
 SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
 #: Sketches further apart than this are not confirmed. At a similarity of 0.75, 32 of
@@ -82,6 +82,11 @@ def _rows(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), pa.array(values.ravel()))
 
 
+def _digest(words: Words, i: int, j: int) -> bytes:
+    """128 bits that stand for words i to j - 1 in their order."""
+    return hashlib.blake2b(words.text(i, j), digest_size=16).digest()
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +99,7 @@ def _sign(width: int):
                     s = np.unique(shingles(hashes[at:to], width))
                     if size_k := len(s):
                         size[k], samples[k] = size_k, minhash(s)
-                        ids[:, k] = np.frombuffer(hashlib.blake2b(words.text(at, to), digest_size=16).digest(), np.int64)
+                        ids[:, k] = np.frombuffer(_digest(words, at, to), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[i:j], pa.array(size), pa.array(ids[0]), pa.array(ids[1]), _rows(band_keys(samples)), _rows(odd_sketch(samples))],
                     names=["doc_id", "n_shingles", "seq_a", "seq_b", "bands", "sketch"],
@@ -115,7 +120,7 @@ def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # The partner is the same for long runs of rows: hash it once.
-            v = batch.column("v").to_pylist()
+            v = list(zip(batch.column("v").to_pylist(), batch.column("v_alt").to_pylist(), strict=True))
             fresh = [k for k in range(len(v)) if not k or v[k] != v[k - 1]]
             cache = dict(zip(fresh, _sets(batch.column("v_text").take(pa.array(fresh)), width), strict=True)) if fresh else {}
             ok, b = [], np.zeros(0, np.uint64)
@@ -129,11 +134,23 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the name of their word sequence, where their id has others too."""
+    for batch in batches:
+        names = [""] * batch.num_rows
+        many = np.flatnonzero(batch.column("many").fill_null(False).to_numpy(zero_copy_only=False))
+        for i, j, words in word_chunks(batch.column("text").take(pa.array(many)), lower=True):
+            for k in range(j - i):
+                a, b = np.frombuffer(_digest(words, words.first[k], words.first[k + 1]), np.int64)
+                names[many[i + k]] = f"{a}:{b}"
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), batch.column("text")], names=["doc_id", "alt", "text"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The pairs (u, v) whose documents' full shingle sets are similar enough."""
-    u = pairs.join(docs.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
-    both = u.join(docs.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
-    return both.select("u", "v", "u_text", "v_text").mapInArrow(_verify(width, percent), "u long, v long")
+    """Of pairs (u, u_alt, v, v_alt), the ids u and v of those whose full shingle sets are similar enough."""
+    side = lambda s: docs.select(F.col("doc_id").alias(s), F.col("alt").alias(f"{s}_alt"), F.col("text").alias(f"{s}_text"))
+    both = pairs.join(side("u"), ["u", "u_alt"]).join(side("v"), ["v", "v_alt"])
+    return both.select("u", "v", "v_alt", "u_text", "v_text").mapInArrow(_verify(width, percent), "u long, v long")
 
 
 def _sketch_distance(a: str, b: str):
@@ -230,48 +247,54 @@ def near_text(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     # One row for each word sequence: its least document, with what describes its set.
     classes = of_set.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     firsts = classes.select("seq_a", "seq_b", F.col("least").alias("doc_id"))
-    reps = staged(
-        of_set.join(firsts, ["seq_a", "seq_b", "doc_id"], "left_semi").groupBy("doc_id", "seq_a", "seq_b").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps"
-    )
+    reps = of_set.join(firsts, ["seq_a", "seq_b", "doc_id"], "left_semi").groupBy("doc_id", "seq_a", "seq_b").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     same = of_set.join(classes.where("least != most"), ["seq_a", "seq_b"]).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-
-    dealt = reps.select("doc_id", F.explode("bands").alias("band")).distinct()
+    # An id with several texts has a node for each, told apart by ``alt``; links unite ids.
+    seq = F.struct("seq_a", "seq_b")
+    several = staged(of_set.groupBy("doc_id").agg(F.min(seq).alias("a"), F.max(seq).alias("b")).where("a != b").select("doc_id", F.lit(True).alias("many")), "several")
+    alt = F.when(F.col("many"), F.concat_ws(":", "seq_a", "seq_b")).otherwise("").alias("alt")
+    reps = staged(reps.join(several, "doc_id", "left").select("doc_id", alt, "bands", "sketch"), "reps")
+    node = ["doc_id", "alt"]
+
+    dealt = reps.select(*node, F.explode("bands").alias("band")).distinct()
     sizes = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(dealt.join(sizes, "band"), "members")
-    degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    pivot = members.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("m"))).alias("top")).select("band", (-F.col("top.m")).alias("pivot"))
-    sketches = reps.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
-    first = members.join(pivot, "band").where("doc_id != pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
+    degree = members.groupBy(node).agg(F.sum("n").alias("degree"))
+    pivot = members.join(degree, node).groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("m"), "alt")).alias("top")).select("band", (-F.col("top.m")).alias("v"), F.col("top.alt").alias("v_alt"))
+    sketches = reps.select(*node, "sketch")
+    first = members.join(pivot, "band").where("doc_id != v").select(F.col("doc_id").alias("u"), F.col("alt").alias("u_alt"), "v", "v_alt").distinct()
+    side = lambda s: sketches.select(*(F.col(c).alias(n) for c, n in zip([*node, "sketch"], [s, f"{s}_alt", f"{s}_sketch"], strict=True)))
     first = staged(
-        first.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
-        .where(_sketch_distance("a", "b") <= SKETCH_MOST)
-        .select("u", "v"),
+        first.join(side("u"), ["u", "u_alt"]).join(side("v"), ["v", "v_alt"])
+        .where(_sketch_distance("u_sketch", "v_sketch") <= SKETCH_MOST)
+        .select("u", "u_alt", "v", "v_alt"),
         "pairs",
     )
     wanted = members.select("doc_id").distinct()
-    held = staged(plain.join(wanted, "doc_id", "left_semi").distinct(), "texts")
+    held = plain.join(wanted, "doc_id", "left_semi").distinct().join(several, "doc_id", "left")
+    held = staged(held.mapInArrow(_told_apart, "doc_id long, alt string, text string"), "texts")
     links = staged(confirmed(first, held, width, percent), "links")
     comps = components(links)
 
     # What is left: buckets that still hold more than one component.
-    placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+    placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", *node, F.coalesce("component_id", "doc_id").alias("comp"))
     by_comp = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
     open_ = by_comp.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("top.comp").alias("main"))
-    rest = staged(placed.join(open_, "band").select("main", "doc_id", "comp").distinct(), "rest")
+    rest = staged(placed.join(open_, "band").select("main", *node, "comp").distinct(), "rest")
     size = rest.groupBy("main").agg(F.count("*").alias("n"), F.sum((F.col("comp") != F.col("main")).cast("int")).alias("m"))
     rest = rest.join(size, "main").withColumn("outlier", F.col("comp") != F.col("main")).withColumn("large", F.col("n") > BLOCK)
-    at = lambda c: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(c) / BLOCK)).cast("int")
+    at = lambda c: F.pmod(F.xxhash64(*node), F.ceil(F.col(c) / BLOCK)).cast("int")
     every = lambda c: F.sequence(F.lit(0), F.ceil(F.col(c) / BLOCK).cast("int") - 1)
     # Each block of members meets each block of outliers, which are members too.
     small = rest.where("not large").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     as_member = rest.where("large").withColumn("i", at("n")).withColumn("j", F.explode(every("m"))).withColumn("outlier", F.lit(False))
     as_outlier = rest.where("large and outlier").withColumn("j", at("m")).withColumn("i", F.explode(every("n")))
-    columns = ["main", "i", "j", "doc_id", "comp", "outlier"]
+    columns = ["main", "i", "j", *node, "comp", "outlier"]
     blocks = small.select(columns).union(as_member.select(columns)).union(as_outlier.select(columns))
     # Sketches alone tell which members of a block can link there; only these bring their texts.
-    blocks = blocks.join(sketches, "doc_id").select(*columns, "sketch")
+    blocks = blocks.join(sketches, node).select(*columns, "sketch")
     blocks = staged(blocks.groupBy("main", "i", "j").applyInArrow(_possible, blocks.schema), "blocks")
-    more = blocks.join(held, "doc_id").groupBy("main", "i", "j").applyInArrow(_settle(width, percent), "u long, v long")
+    more = blocks.join(held, node).groupBy("main", "i", "j").applyInArrow(_settle(width, percent), "u long, v long")
     groups = components(links.union(more).union(same))
     return signed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id",
