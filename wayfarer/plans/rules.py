@@ -14,16 +14,16 @@ from wayfarer.streaming import views
 _LF = "chr(10)"
 
 
-@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) < 1995 AND o_custkey <> 7")
+@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) < 1996 AND o_custkey <> 7")
 def date_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows from before a year, without one person known to be wrong."""
-    return table(spark, sf_dir, "orders").where((F.year("o_orderdate") < 1995) & (F.col("o_custkey") != 7)).select("o_orderkey")
+    return table(spark, sf_dir, "orders").where((F.year("o_orderdate") < 1996) & (F.col("o_custkey") != 7)).select("o_orderkey")
 
 
-@query("SELECT p_partkey FROM part WHERE trim(p_type) = 'STEEL' AND trim(p_name) <> '' AND trim(p_brand) <> ''")
+@query("SELECT p_partkey FROM part WHERE trim(p_type) = 'PROMO' AND trim(p_name) <> '' AND trim(p_brand) <> ''")
 def released_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A status that matches after trimming, with neither id nor label empty."""
-    return table(spark, sf_dir, "part").where((F.trim("p_type") == "STEEL") & (F.trim("p_name") != "") & (F.trim("p_brand") != "")).select("p_partkey")
+    return table(spark, sf_dir, "part").where((F.trim("p_type") == "PROMO") & (F.trim("p_name") != "") & (F.trim("p_brand") != "")).select("p_partkey")
 
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE conv_id = 12 AND conv_id % 7 = 5")
@@ -102,7 +102,7 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH j AS (SELECT o_custkey AS id, o_orderpriority || ': ' || substr(o_orderstatus || repeat('x', 120), 1, 100) AS job, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
         a AS (SELECT id, string_agg(job, '. ' ORDER BY n) FILTER (n <= 6) AS jobs, list('s' || n ORDER BY n) AS s FROM j GROUP BY id)
        SELECT c_custkey AS id, substr('Summary: ' || substr(c_name || repeat(' y', 200), 1, 250) || '. ' || jobs || '. ' || array_to_string(s[1:25], ', '), 1, 1000) AS context,
-        substr(sha256(c_name), 1, 16) IS NOT NULL AS keyed FROM customer JOIN a ON a.id = c_custkey"""
+        substr(sha1('{"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}'), 1, 16) AS key FROM customer JOIN a ON a.id = c_custkey"""
 )
 def skill_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What surrounds a skill: summary, six jobs, other skills, cut at 1000 characters; and its cache key."""
@@ -111,7 +111,7 @@ def skill_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"))
     names = F.transform(F.sequence(F.lit(1), F.size("jobs")), lambda i: F.concat(F.lit("s"), i))
     about = F.concat("c_name", F.repeat(F.lit(" y"), 200))
-    return both.select(F.col("c_custkey").alias("id"), text.profile_context(about, F.col("jobs"), names).alias("context"), (F.length(text.cache_key(F.col("c_name"), F.col("c_nationkey"))) == 16).alias("keyed"))
+    return both.select(F.col("c_custkey").alias("id"), text.profile_context(about, F.col("jobs"), names).alias("context"), text.cache_key(F.col("c_name"), F.col("c_nationkey")).alias("key"))
 
 
 @query(
