@@ -1,6 +1,8 @@
 """Hand-made rows for the cases that tables don't hold."""
 
 import datetime
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions import arrays, dates, text, vectors
 from wayfarer.operators import career, merge, ranking, resume, skills
 from wayfarer.sources import files, shared
-from wayfarer.streaming import views
+from wayfarer.streaming import log_table, views
 
 
 def one(spark, column):
@@ -198,19 +200,46 @@ def test_stream_in_several_batches(spark, tmp_path):
     assert sorted((r["k"], r["o"]) for r in got) == [(2, 4), (3, 5)]
 
 
-def test_state_parts_of_older_batches_go(spark, tmp_path):
-    table = views.StateTable(spark, f"file://{tmp_path}/s", "k", "o", parts=4)
+def _bytes(folder: Path, number: int) -> int:
+    return sum(p.stat().st_size for d in folder.glob(f"segments/{number:012d}-*") for p in d.glob("*.parquet"))
+
+
+def test_log_table_merges_by_size_and_runs_again(spark, tmp_path):
+    folder = tmp_path / "s"
+    made = log_table.LogTable(spark, f"file://{folder}", "k", "o")
     schema = "k long, o long, v string"
-    for number in range(5):
-        table.merge(spark.createDataFrame([(number % 2, number, f"v{number}"), (7, 10 + number, "x")], schema), number)
-        # The same batch again gives the same state.
-        table.merge(spark.createDataFrame([(number % 2, number, f"v{number}"), (7, 10 + number, "x")], schema), number)
-    assert sorted(tuple(r) for r in table.state(4).collect()) == [(0, 4, "v4"), (1, 3, "v3"), (7, 14, "x")]
-    fresh = views.StateTable(spark, f"file://{tmp_path}/s", "k", "o", parts=4)
-    fresh.schema = table.schema
-    assert fresh.state(4).count() == 3
-    held = {p.name for b in (tmp_path / "s").glob("b*") for p in b.glob("part=*")}
-    assert held and not [*(tmp_path / "s" / "b0").glob("part=*/*.parquet")]
+    for number in range(20):
+        batch = spark.createDataFrame([(number % 3, number, f"v{number}"), (7, 100 + number, "x"), (None, 1, "lost")], schema)
+        made.merge(batch, number)
+        made.merge(batch, number)  # the same batch again gives the same state
+        assert {r["k"]: r["o"] for r in made.state(number).collect()}[7] == 100 + number
+        assert max(Counter(level for _, level in made.segments(number)).values()) < log_table.FAN
+    fresh = log_table.LogTable(spark, f"file://{folder}", "k", "o")
+    assert sorted(tuple(r) for r in fresh.state().collect()) == [(0, 18, "v18"), (1, 19, "v19"), (2, 17, "v17"), (7, 119, "x")]
+    assert sorted(tuple(r) for r in fresh.before(19, spark.createDataFrame([(1,), (7,), (50,), (None,)], "k long")).collect()) == [(1, 16, "v16"), (7, 118, "x")]
+    needed = {n for b in (18, 19) for n, _ in fresh.segments(b)}
+    assert {p.name for p in (folder / "segments").iterdir() if list(p.glob("*.parquet"))} == needed and fresh.numbers() == [18, 19]
+
+
+def test_a_small_batch_writes_little_beside_a_large_state(spark, tmp_path):
+    made = log_table.LogTable(spark, f"file://{tmp_path}", "k", "o")
+    made.merge(spark.range(200_000).select(F.col("id").alias("k"), F.col("id").alias("o"), F.sha1(F.col("id").cast("string")).alias("v")), 0)
+    made.merge(spark.createDataFrame([(k * 999, 10**6, "new") for k in range(64)], "k long, o long, v string"), 1)
+    assert _bytes(tmp_path, 1) < _bytes(tmp_path, 0) / 100
+    assert made.state().count() == 200_000 and made.state().where("v = 'new'").count() == 64
+
+
+def test_reactions_go_on_where_they_stopped(spark, tmp_path):
+    schema = "user_id long, event_id long, event string, summary string, skills array<string>, mapped array<struct<uri:string,label:string>>"
+    profiles = spark.createDataFrame([(1, None, ["own"]), (2, "mine", [])], "user_id long, summary string, skills array<string>")
+    mapper = lambda df: df.select("user_id", F.transform("skills", lambda s: F.struct(F.concat(F.lit("c/"), s).alias("uri"), s.alias("label"))).alias("mapped"))
+    found = []
+    for rows in ([(1, 1, views.PARSED, "told", ["a"], None)], [(1, 2, views.PARSED, "later", ["B", "own"], None), (2, 3, views.MAPPED, None, None, [("u", "l")])]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        after, told, emitted = views.drained_reactions(log, profiles, mapper, f"file://{tmp_path}/work")
+        found.append(({r["user_id"]: (r["summary"], r["skills"]) for r in after.collect()}, {r["user_id"] for r in told.collect()}, emitted.count()))
+    assert found == [({1: ("told", ["own", "a"]), 2: ("mine", [])}, set(), 1), ({1: ("told", ["own", "a", "B"]), 2: ("mine", [])}, {2}, 2)]
 
 
 def test_progress_in_one_file_of_odd_lines(spark, tmp_path):

@@ -13,19 +13,20 @@ from wayfarer.sources.shared import exists
 FIELD_MOST = 10_000_000
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file with a header, quoted fields that may hold line breaks, and doubled quotes.
+def read_csv(spark: SparkSession, path: str, schema: str, breaks: bool = True) -> DataFrame:
+    """A CSV file with a header, quoted fields and doubled quotes.
 
-    Columns go by the schema, which is never inferred; a field that doesn't fit its
+    With ``breaks`` fields may hold line breaks, and a file is one task; without, large
+    files are cut at any line. Columns go by the schema, which is never inferred; a field that doesn't fit its
     type is null. Only the columns that a query needs are converted.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "maxCharsPerColumn": FIELD_MOST, "mode": "PERMISSIVE", "enforceSchema": False}
+    options = {"header": True, "multiLine": breaks, "quote": '"', "escape": '"', "maxCharsPerColumn": FIELD_MOST, "mode": "PERMISSIVE", "enforceSchema": False}
     return spark.read.options(**options).schema(schema).csv(path)
 
 
-def read_splits(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: str, breaks: bool = True) -> DataFrame:
     """Several CSV files as one table with their names in ``split``."""
-    parts = [read_csv(spark, path, schema).withColumn("split", F.lit(name)) for name, path in paths.items()]
+    parts = [read_csv(spark, path, schema, breaks).withColumn("split", F.lit(name)) for name, path in paths.items()]
     all_ = parts[0]
     for part in parts[1:]:
         all_ = all_.unionByName(part)
@@ -85,13 +86,14 @@ def seed(df: DataFrame, path: str) -> bool:
     return True
 
 
-def upsert_events(df: DataFrame, key: str, event: str, payload: str) -> DataFrame:
+def upsert_events(df: DataFrame, key: str, event: str, payload: str, at: Column | None = None) -> DataFrame:
     """Every row as the event that would have announced it: key and JSON value, in order of key.
 
-    Order holds within a partition of the written topic, as it does for live events.
+    It occurred at ``at``, by default now. Order holds within a partition of the
+    written topic, as it does for live events.
     """
     rest = F.struct(*[c for c in df.columns if c != key])
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("occurred_at")
+    now = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("occurred_at")
     value = F.to_json(F.struct(F.lit(event).alias("event"), F.col(key), now, rest.alias(payload)), {"ignoreNullFields": "false"})
     return df.select(F.col(key), value.alias("value")).repartitionByRange(key).sortWithinPartitions(key)
 

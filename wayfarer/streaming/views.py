@@ -1,16 +1,17 @@
-"""State tables kept by streams of keyed upsert and delete events, and events that answer events."""
+"""Streams of keyed events: routing, the state that they leave, and events that answer events."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.functions.arrays import distinct_ignoring_case
 from wayfarer.functions.text import blank_to_null
 from wayfarer.operators.merge import latest, merged_profile
-from wayfarer.sources.shared import deleted, scratch
+from wayfarer.sources.shared import scratch
+from wayfarer.streaming.log_table import LogTable, current
 
 
 def routed(events: DataFrame, kinds: dict[str, str], key: str = "user_id") -> tuple[dict[str, DataFrame], DataFrame]:
@@ -26,84 +27,23 @@ def routed(events: DataFrame, kinds: dict[str, str], key: str = "user_id") -> tu
     return parts, read.where(F.col("event").isNull() | (F.col("event").isin(*kinds) & F.col(key).isNull())).select("value")
 
 
-class StateTable:
-    """The last event of each key, deletions included, in parts by the key's hash.
-
-    A batch writes anew only the parts that its keys are in, under its own number, and
-    then a list of each part's last number. So a batch that is run again after a
-    failure reads what the one before left and gives the same parts. Parts that the
-    last two lists don't name are deleted. Deletions stay as tombstones, or a late
-    replay of an older upsert would bring a key back.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, key: str, offset: str, parts: int = 16):
-        self.spark, self.folder, self.key, self.offset, self.parts = spark, folder, key, offset, parts
-        self.schema = None
-        self.lists: dict[int, dict[int, int]] = {}
-
-    def _list(self, number: int) -> dict[int, int]:
-        """Which batch wrote each part last, as of a batch."""
-        if number < 0:
-            return {}
-        if number not in self.lists:
-            rows = self.spark.read.schema("part int, batch long").json(f"{self.folder}/lists/{number}").collect()  # a row a part
-            self.lists[number] = {r["part"]: r["batch"] for r in rows}
-        return self.lists[number]
-
-    def _read(self, at: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.folder}/b{b}/part={p}" for p, b in sorted(at.items())]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
-
-    def state(self, number: int) -> DataFrame | None:
-        """All keys' last events as of a batch."""
-        return self._read(self._list(number))
-
-    def touched(self, batch: DataFrame, number: int) -> DataFrame | None:
-        """The state before a batch in those parts that its keys are in."""
-        self.schema = self.schema or latest(batch, self.key, self.offset).schema
-        parts = {r["part"] for r in batch.select(self._part().alias("part")).distinct().collect()}  # as many as there are parts
-        return self._read({p: b for p, b in self._list(number - 1).items() if p in parts})
-
-    def _part(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
-
-    def merge(self, batch: DataFrame, number: int) -> None:
-        new = latest(batch, self.key, self.offset)
-        old = self.touched(new, number)
-        if old is not None:
-            new = latest(old.unionByName(new), self.key, self.offset)
-        new.withColumn("part", self._part()).repartition(self.parts, "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/b{number}")
-        parts = {r["part"] for r in batch.select(self._part().alias("part")).where("part is not null").distinct().collect()}
-        before = self._list(number - 1)
-        now = before | dict.fromkeys(parts, number)
-        made = self.spark.createDataFrame(sorted(now.items()), "part int, batch long")
-        made.coalesce(1).write.mode("overwrite").json(f"{self.folder}/lists/{number}")
-        self.lists[number] = now
-        for part, b in self._list(number - 2).items() if number >= 2 else ():
-            if before.get(part) != b:
-                deleted(self.spark, f"{self.folder}/b{b}/part={part}")
-
-
-def _drained(log: DataFrame, folder: str, each: Callable[[DataFrame, int], None]) -> int | None:
-    """Handle all that is available in a stream, batch by batch; the last batch's number."""
-    seen: list[int] = []
-
-    def batch(df: DataFrame, number: int) -> None:
-        each(df, number)
-        seen.append(number)
-
-    run = log.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+def _drained(log: DataFrame, folder: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Handle all that is available in a stream, batch by batch, from where the folder's progress ends."""
+    run = log.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    return seen[-1] if seen else None
 
 
-def drained_state(log: DataFrame, key: str, offset: str, gone: Column) -> DataFrame:
-    """What all events available in a stream leave as state: reads up to now, then stops."""
-    spark, folder = log.sparkSession, scratch(log.sparkSession, "state")
-    table = StateTable(spark, f"{folder}/state", key, offset)
-    last = _drained(log, folder, table.merge)
-    found = table.state(last) if last is not None else None
-    return spark.createDataFrame([], latest_schema(log, key, offset)) if found is None else found.where(~gone)
+def drained_state(log: DataFrame, key: str, offset: str, gone: Column, folder: str | None = None) -> DataFrame:
+    """What all events available in a stream leave as state: reads up to now, then stops.
+
+    With a ``folder`` of its own a later call reads on where this one ended.
+    """
+    spark = log.sparkSession
+    folder = folder or scratch(spark, "state")
+    table = LogTable(spark, f"{folder}/state", key, offset)
+    _drained(log, folder, table.merge)
+    found = current(table, gone)
+    return spark.createDataFrame([], latest_schema(log, key, offset)) if found is None else found
 
 
 def latest_schema(log: DataFrame, key: str, offset: str):
@@ -146,35 +86,39 @@ def reactions(batch: DataFrame, profiles: DataFrame, mapper: Callable[[DataFrame
     return after, told_skills.select("user_id", fine.alias("mapped")), announced.union(answers)
 
 
-def drained_reactions(log: DataFrame, profiles: DataFrame, mapper: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def drained_reactions(log: DataFrame, profiles: DataFrame, mapper: Callable[[DataFrame], DataFrame], folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles, skills, emitted) after all events available in a stream.
 
     What a batch emits is written under its number, so a batch that runs again
-    overwrites its own answers and no other's.
+    overwrites its own answers and no other's. A batch looks at its own users'
+    profiles alone: the rows of ``profiles`` and of the state are joined with them
+    before anything else. With a ``folder`` of its own a later call reads on.
     """
-    spark, folder = log.sparkSession, scratch(log.sparkSession, "reactions")
-    kept, sets = StateTable(spark, f"{folder}/profiles", "user_id", "event_id"), StateTable(spark, f"{folder}/skills", "user_id", "event_id")
+    spark = log.sparkSession
+    folder = folder or scratch(spark, "reactions")
+    kept, sets = LogTable(spark, f"{folder}/profiles", "user_id", "event_id"), LogTable(spark, f"{folder}/skills", "user_id", "event_id")
     first = profiles.select("user_id", F.lit(-1).cast("long").alias("event_id"), "summary", "skills")
 
     def each(batch: DataFrame, number: int) -> None:
-        users = batch.select("user_id").distinct()
         batch = batch.persist()
-        old = kept.touched(first.join(users, "user_id", "left_semi"), number)
-        here = first if old is None else latest(first.unionByName(old), "user_id", "event_id")
-        after, told, emitted = reactions(batch, here.join(users, "user_id", "left_semi").select("user_id", "summary", "skills"), mapper)
+        users = batch.select("user_id").distinct()
+        here, old = first.join(users, "user_id", "left_semi"), kept.before(number, users)
+        if old is not None:
+            here = latest(here.unionByName(old), "user_id", "event_id")
+        after, told, emitted = reactions(batch, here.select("user_id", "summary", "skills"), mapper)
         at = batch.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
         emitted.write.mode("overwrite").json(f"{folder}/out/b{number}")
         kept.merge(after.join(at, "user_id").select("user_id", "event_id", "summary", "skills"), number)
         sets.merge(told.join(at, "user_id").select("user_id", "event_id", "mapped"), number)
         batch.unpersist()
 
-    last = _drained(log, folder, each)
-    none = spark.createDataFrame([], "user_id long, event string, payload string")
-    if last is None:
-        return profiles, spark.createDataFrame([], "user_id long, mapped array<struct<uri:string,label:string>>"), none
-    state, told = kept.state(last), sets.state(last)
+    _drained(log, folder, each)
+    state, told = kept.state(), sets.state()
     now = first if state is None else latest(first.unionByName(state), "user_id", "event_id")
-    emitted = spark.read.schema("user_id long, event string, payload string").json(f"{folder}/out/*")
+    if state is None:
+        emitted = spark.createDataFrame([], "user_id long, event string, payload string")
+    else:
+        emitted = spark.read.schema("user_id long, event string, payload string").json(f"{folder}/out/*")
     skills = spark.createDataFrame([], "user_id long, mapped array<struct<uri:string,label:string>>") if told is None else told.select("user_id", "mapped")
     return now.select("user_id", "summary", "skills"), skills, emitted
 
