@@ -28,7 +28,12 @@ from wayfarer.llm.boosting import Trees
 from wayfarer.llm.dom import TAGS, Page, parse
 
 _PUNCT = str.maketrans("", "", ".,;:!?")
-PAGES = 1000
+PAGES = 1600
+#: Where fewer than SHORT characters are kept, all log-odds are raised by these, in turn, until DENSE more are.
+MARGINS, SHORT, DENSE = (1.0, 2.0, 3.0), 100, 160
+TREES = 100
+#: What a block's log-odds gain if one of the same tag beside it is kept.
+BESIDE = 1.0
 
 
 def token_weights(pages: list[Page], good: list[np.ndarray]) -> dict[str, float]:
@@ -127,10 +132,15 @@ def decode(logit: np.ndarray, parent: np.ndarray, depth: np.ndarray, sole: np.nd
 
 
 class _Drawn:
-    """Pages of common layouts; text within marks \\x01 and \\x02 is main text."""
+    """Pages of common layouts; text within marks \\x01 and \\x02 is main text.
+
+    Of a page, either classes and ids mostly say what they are for, or all of them are
+    words without meaning, or there are none.
+    """
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.naming = "telling"
         self.vocabulary = ["".join(self.r.choices("abcdefghijklmnoprstuvzéüñ", k=self.r.randrange(1, 10))) for _ in range(800)]
 
     def one(self, *options):
@@ -151,7 +161,9 @@ class _Drawn:
         return " ".join(out)
 
     def attr(self, *names: str) -> str:
-        if self.chance(0.12):
+        if self.naming == "none":
+            return ""
+        if self.naming == "meaningless" or self.chance(0.12):
             return f' class="{self.words(1, 1)}"'
         kind = self.one("class", "class", "id")
         return f' {kind}="{self.one(*names)}{self.one("", "", " " + self.words(1, 1), "-" + self.one("wrap", "box", "inner", "1"))}"'
@@ -192,7 +204,13 @@ class _Drawn:
 
     def comments(self) -> str:
         text = lambda: self.one(f"<p>{self.prose(2, 90)}</p>", self.prose(2, 90))
-        each = [self.one(f'<div class="{self.one("comment", "reply", "comment-body")}">{text()}</div>', f"<li>{self.words(1, 2)} {text()}</li>", f"<article class=comment>{text()}</article>") for _ in range(self.r.randrange(1, 7))]
+        said = lambda: self.one(f"<b>{self.words(1, 2)}</b>: {self.prose(2, 60)}", f"{self.words(1, 2).title()}: {self.prose(2, 60)}", f"<p>{self.words(1, 2).title()}: {self.prose(2, 60)}</p>")
+        if self.naming == "telling":
+            kinds = (lambda: f'<div class="{self.one("comment", "reply", "comment-body")}">{text()}</div>', lambda: f"<li>{self.words(1, 2)} {text()}</li>", lambda: f"<article class=comment>{text()}</article>")
+        else:
+            kinds = (lambda: f"<div>{said()}</div>", lambda: f"<li>{said()}</li>", lambda: f"<div{self.attr('x')}>{said()}</div>")
+        kind = self.one(*kinds)
+        each = [kind() for _ in range(self.r.randrange(1, 7))]
         inner = self.one("", f"<h2>{self.words(1, 3)}</h2>", f"<h3>{self.words(1, 3)}</h3>") + "".join(each)
         return self.block(self.one("div", "section", "ol", "ul"), ("comments", "comment-list", "replies", "responses", "disqus"), inner, 0)
 
@@ -207,7 +225,8 @@ class _Drawn:
             text = mark(self.prose(1, self.one(8, 40, 120)))
             kind = self.r.random()
             if kind < 0.6:
-                parts.append(self.one(f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text} <a href=x>{mark(self.words(1, 3))}</a> {mark(self.words(1, 8))}</p>", f"<p>{text}"))
+                more = mark(self.prose(4, 60))
+                parts.append(self.one(f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}<br><br>{more}</p>", f"{text}<br><br>{more}<br>", f"<p>{text} <a href=x>{mark(self.words(1, 3))}</a> {mark(self.words(1, 8))}</p>", f"<p>{text}"))
             elif kind < 0.68:
                 parts.append(f"<h2>{mark(self.words(1, 8))}</h2>")
             elif kind < 0.75:
@@ -223,7 +242,14 @@ class _Drawn:
         inner = "".join(parts)
         return self.one(f"<article>{inner}</article>", f"<article>{inner}</article>", self.block(self.one("div", "main", "section"), ("article", "content", "post", "entry-content", "story", "main", "text", "post-body"), inner, 0.1))
 
+    def laid_out(self, parts: list[str], middle: str) -> str:
+        """A table whose cells are the page's parts."""
+        cells = [f"<td{self.attr('cell', 'col')}>{x}</td>" for x in parts]
+        cells.insert(self.r.randint(0, len(cells)), f"<td>{middle}</td>")
+        return "<table>" + self.one("<tr>" + "".join(cells) + "</tr>", "".join(f"<tr>{c}</tr>" for c in cells)) + "</table>"
+
     def page(self) -> str:
+        self.naming = self.r.choices(("telling", "meaningless", "none"), (6, 3, 1))[0]
         before = [f() for f in (self.header, self.nav, self.notice, self.ad) if self.chance(0.5)]
         after = [f() for f in (self.aside, self.comments, self.form, self.ad, self.hidden, self.footer) if self.chance(0.45)]
         self.r.shuffle(before)
@@ -234,9 +260,15 @@ class _Drawn:
             after = after[take:]
         if self.chance(0.15):
             before.append(self.aside())
+        if self.chance(0.08):
+            middle = self.laid_out([f() for f in (self.nav, self.aside, self.ad) if self.chance(0.5)], middle)
         return "<html><head><title>x</title></head><body>" + "".join(before) + middle + "".join(after) + self.one("</body></html>", "")
 
 
+def _kept(page: Page, keep: np.ndarray) -> str:
+    return "\n".join(t for k, own in zip(keep, page.own, strict=True) if k for t in own)
+
+
 class Extractor:
     """Token weights and trees, and what they extract."""
 
@@ -257,7 +289,7 @@ class Extractor:
         for k in (0, 1):
             x, _, _, sole, _ = features(pages[k::2], token_weights(pages[1 - k :: 2], known[1 - k :: 2]))
             halves.append((x[~sole], np.concatenate(known[k::2]).astype(np.float64)[~sole]))
-        self.trees = Trees(*(np.concatenate(c) for c in zip(*halves, strict=True)))
+        self.trees = Trees(*(np.concatenate(c) for c in zip(*halves, strict=True)), trees=TREES)
 
     def extracted(self, html: list[str]) -> list[str]:
         """The main text of each page; a text holds one line for each block."""
@@ -266,9 +298,22 @@ class Extractor:
         logit = np.zeros(len(x))
         logit[~sole] = self.trees.logits(x[~sole])
         keep = decode(logit, parent, depth, sole)
+        # Blocks of one kind beside each other mostly go together, so those beside a kept one get the benefit of a doubt.
+        tag = np.array([t for p in pages for t in p.tag], np.int64)
+        kind = parent * (len(TAGS) + 1) + tag
+        beside = ~keep & keep[parent] & ~sole & np.isin(kind, kind[keep & (depth > 0)])
+        keep = decode(logit + BESIDE * beside, parent, depth, sole)
         out = []
         for page, at in zip(pages, first, strict=True):
-            out.append("\n".join(t for k, own in zip(keep[at : at + len(page.tag)], page.own, strict=True) if k for t in own))
+            of = slice(at, at + len(page.tag))
+            text = _kept(page, keep[of])
+            # Where next to nothing is kept, the odds of all nodes must say so by a margin.
+            for more in MARGINS if len(text) < SHORT else ():
+                found = _kept(page, decode(logit[of] + more, parent[of] - at, depth[of], sole[of]))
+                if len(found) >= len(text) + DENSE:
+                    text = found
+                    break
+            out.append(text)
         return out
 
 
