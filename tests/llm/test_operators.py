@@ -602,6 +602,18 @@ def test_classifiers_on_odd_rows(spark):
         assert run(docs, labels).count() == 5
 
 
+def test_a_fit_holds_one_row_an_id(spark):
+    """However often an id repeats, and no text beyond the bound."""
+    from wayfarer.llm import labelled
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a")] * 500 + [(3, "c"), (5, "y" * 99), (7, "held out or not")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0)], "doc_id long, toxic int")
+    rows = lambda t, y, w: sorted(zip(t, y.tolist(), strict=True))
+    ids = [r["doc_id"] for r in labels.where(~labelled.held_out("doc_id")).collect()]
+    want = sorted(t for i, t in ((1, ("a", 1)), (3, ("c", 0))) if i in ids)
+    assert labelled.fitted(docs, labels, "toxic", 10, rows, longest=50) == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -15,19 +15,19 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import held_out, texts
 from wayfarer.llm.words import word_chunks
 
-
 #: Texts of more bytes than this take no part in a fit, which so holds a bounded number of bytes.
 LONGEST = 1 << 15
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str, each: int, fit: Callable[[list[str], np.ndarray, np.ndarray], Any]) -> Any:
+def fitted(docs: DataFrame, labels: DataFrame, label: str, each: int, fit: Callable[[list[str], np.ndarray, np.ndarray], Any], longest: int = LONGEST) -> Any:
     """``fit(texts, labels, weights)`` on at most ``each`` labelled documents of either class.
 
     Documents that are held out are never among them. Which ones are chosen depends
     on a hash of the id alone; the weights restore the classes' shares among all
-    labelled rows. Texts over ``LONGEST`` bytes are left out. The bounded sample meets
-    in one task, which returns the model: the driver holds neither its texts nor what
-    the fit makes of them.
+    labelled rows. Texts over ``longest`` bytes are left out, and of rows that share an
+    id the one whose text comes first counts. The bounded sample meets in one task,
+    which returns the model: the driver holds neither its texts nor what the fit makes
+    of them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -35,7 +35,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, each: int, fit: Calla
     order = F.xxhash64("doc_id", F.lit(label))
     parts = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(each) for y in (0, 1)]
     chosen = parts[0].union(parts[1])
-    rows = texts(docs).where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", order.alias("place"))
+    rows = texts(docs).where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y", order.alias("place")).agg(F.min("text").alias("text"))
 
     def model(found: list[str], y: np.ndarray) -> Any:
         got = np.bincount(y, minlength=2)
