@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions.vectors import clamped, dot
-
+from wayfarer.sources.shared import settled
 
 #: A bank of vectors is broadcast only up to so many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -243,12 +243,80 @@ def shuffled(df: DataFrame, key: str, seed: int, n: int | None = None) -> DataFr
     return made if n is None else made.limit(n)
 
 
-def _pair_blocks(bank: DataFrame, most: int) -> DataFrame:
-    """Each row in all pairs of blocks (i, j), i <= j, that its own block b is in."""
-    blocks = max(1, -(-bank.count() // most))
-    rows = bank.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    other = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return other.select("id", "vec", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+#: Pivots that rows are dealt to at most; beyond that, a pivot's rows are cut further.
+PIVOTS = 1024
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Rows (id, vec, b) in blocks, and bounds on the inner products between blocks i <= j."""
+
+    rows: DataFrame
+    sizes: np.ndarray
+    #: No inner product of rows of blocks i and j is greater.
+    most: np.ndarray
+
+    def pairs(self, wanted: np.ndarray) -> DataFrame:
+        """Each row in all pairs of blocks (i, j), i <= j, that are wanted and that its own block is in."""
+        near = wanted | wanted.T
+        lists = [(int(b), np.flatnonzero(row).tolist()) for b, row in enumerate(near)]
+        spark = self.rows.sparkSession
+        # At most as many numbers as there are pairs of blocks, each of which stands for millions of products.
+        found = self.rows.join(spark.createDataFrame(lists, "b int, o array<int>"), "b").withColumn("o", F.explode("o"))
+        return found.select("id", "vec", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    @property
+    def upper(self) -> np.ndarray:
+        return np.triu(np.ones_like(self.most, bool))
+
+    def skipped(self, wanted: np.ndarray) -> float:
+        """The share of block pairs that needn't be looked at."""
+        return 1 - float((wanted & self.upper).sum()) / max(1, int(self.upper.sum()))
+
+
+def blocked(bank: DataFrame, most: int) -> Blocks:
+    """``bank`` in blocks of about ``most`` rows that lie near a pivot.
+
+    Pivots are rows of the bank, drawn by a seed. A row goes to the pivot of largest
+    cosine; blocks too large are cut by the ids' hash. By the largest angle of a block's
+    rows to its pivot and their largest length, the triangle inequality on the sphere
+    bounds every inner product between two blocks. Rows whose vector is null take no
+    part; vectors are all of one length.
+    """
+    rows = bank.select("id", "vec").where("vec is not null")
+    count = rows.count()
+    pivots = shuffled(rows, "id", 7, min(PIVOTS, max(1, -(-2 * count // most)))).toPandas()["vec"].tolist() or [[0.0]]
+    p = np.array(pivots, np.float64).reshape(len(pivots), -1)
+    norm = np.linalg.norm(p, axis=1, keepdims=True)
+    p = np.divide(p, norm, out=np.zeros_like(p), where=norm > 0)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("vec").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            size = np.linalg.norm(x, axis=1)
+            cos = (x @ p.T) / np.where(size > 0, size, 1)[:, None]
+            at = cos.argmax(axis=1)
+            angle = np.arccos(np.clip(cos[np.arange(len(x)), at], -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(at.astype(np.int32)), pa.array(angle), pa.array(size)], names=["id", "vec", "p", "angle", "size"])
+
+    kinds = dict(rows.dtypes)
+    dealt = settled(rows.mapInArrow(deal, f"id {kinds['id']}, vec {kinds['vec']}, p int, angle double, size double"), "dealt")
+    # A few numbers a pivot.
+    of = {r["p"]: r for r in dealt.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    parts, first = {k: -(-r["n"] // most) for k, r in of.items()}, {}
+    for k in sorted(parts):
+        first[k] = sum(parts[q] for q in first)
+    table = rows.sparkSession.createDataFrame([(k, parts[k], first[k]) for k in sorted(parts)], "p int, parts int, first int")
+    b = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+    placed = settled(dealt.join(F.broadcast(table), "p").select("id", "vec", b.alias("b"), "p", "angle", "size"), "blocks")
+    n = sum(parts.values())
+    sizes, pivot, radius, longest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for r in placed.groupBy("b").agg(F.count("*").alias("n"), F.first("p").alias("p"), F.max("angle").alias("angle"), F.max("size").alias("size")).collect():
+        sizes[r["b"]], pivot[r["b"]], radius[r["b"]], longest[r["b"]] = r["n"], r["p"], r["angle"], r["size"]
+    between = np.arccos(np.clip(p[pivot] @ p[pivot].T, -1, 1)) - radius[:, None] - radius[None, :]
+    # Rounding of angles and products is far below the margin.
+    cos = np.cos(np.clip(between - 1e-6, 0, np.pi))
+    return Blocks(placed.select("id", "vec", "b"), sizes, np.where(cos > 0, longest[:, None] * longest[None, :] * cos, 0.0) + 1e-9)
 
 
 def _block_scores(table: pa.Table, first: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,24 +335,33 @@ def _block_scores(table: pa.Table, first: int, second: int) -> tuple[np.ndarray,
 def similarity_histogram(bank: DataFrame, thresholds: list[float], most: int = 2_000) -> DataFrame:
     """(threshold, n, percent): pairs of different rows above each threshold.
 
-    Rows meet in pairs of bounded blocks, which yield counts and no pairs. The work
-    is quadratic by definition.
+    Rows meet in pairs of bounded blocks, which yield counts and no pairs. Pairs of
+    blocks whose bound lies at or below all thresholds are counted and not looked at;
+    beyond that the work is quadratic by definition.
     """
+    blocks = blocked(bank, most)
+    wanted = blocks.upper & (blocks.most > min(thresholds)) if thresholds else blocks.upper & False
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, scores = _block_scores(table, key[0].as_py(), key[1].as_py())
-        every = int((scores > -np.inf).sum())
-        return pa.table({"threshold": thresholds, "n": [int((scores > t).sum()) for t in thresholds], "pairs": [every] * len(thresholds)})
+        return pa.table({"threshold": thresholds, "n": [int((scores > t).sum()) for t in thresholds]})
 
-    counts = _pair_blocks(bank, most).groupBy("i", "j").applyInArrow(run, "threshold double, n long, pairs long")
-    return counts.groupBy("threshold").agg(F.sum("n").alias("n"), (100.0 * F.sum("n") / F.sum("pairs")).alias("percent"))
+    counts = blocks.pairs(wanted).groupBy("i", "j").applyInArrow(run, "threshold double, n long")
+    rows = int(blocks.sizes.sum())
+    none = bank.sparkSession.createDataFrame([(t, 0) for t in thresholds], "threshold double, n long")
+    found = counts.unionByName(none).groupBy("threshold").agg(F.sum("n").alias("n"))
+    return found.withColumn("percent", 100.0 * F.col("n") / F.lit(rows * (rows - 1) // 2)).where(F.lit(rows > 1))
 
 
 def top_pairs(bank: DataFrame, k: int, most: int = 2_000) -> DataFrame:
     """(u, v, score): the k most similar pairs of different rows, u < v.
 
-    The work is quadratic by definition; each pair of blocks keeps k pairs.
+    Each pair of blocks keeps k pairs. Blocks are held against themselves first; what
+    is then the k-th best score rules out pairs of blocks whose bound lies below it. Of
+    the others the work is quadratic by definition.
     """
+    blocks = blocked(bank, most)
+    own = np.eye(len(blocks.sizes), dtype=bool)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         u, v, scores = _block_scores(table, key[0].as_py(), key[1].as_py())
@@ -294,5 +371,8 @@ def top_pairs(bank: DataFrame, k: int, most: int = 2_000) -> DataFrame:
         order = np.lexsort([b, a, -scores[r, c]])[:k]
         return pa.table({"u": a[order], "v": b[order], "score": scores[r, c][order]})
 
-    found = _pair_blocks(bank, most).groupBy("i", "j").applyInArrow(run, "u long, v long, score double")
-    return found.orderBy(F.desc("score"), "u", "v").limit(k)
+    best = lambda wanted: settled(blocks.pairs(wanted).groupBy("i", "j").applyInArrow(run, "u long, v long, score double").orderBy(F.desc("score"), "u", "v").limit(k), "pairs")
+    first = best(own)
+    known = first.agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
+    reached = blocks.most >= known["s"] if known["n"] == k else np.ones_like(own)
+    return first.unionByName(best(blocks.upper & ~own & reached)).orderBy(F.desc("score"), "u", "v").limit(k)

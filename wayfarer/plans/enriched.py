@@ -9,6 +9,7 @@ from wayfarer.functions.text import occupation_text, role_text
 from wayfarer.operators import career, enrich, resume
 from wayfarer.operators.ranking import nearest
 from wayfarer.operators.registry import query, table
+from wayfarer.plans.vectors import _E, _MEAN, _centroids
 
 _CATALOGUE = """
     cat AS (
@@ -118,11 +119,10 @@ def prefix_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    f"""WITH {_E}, {_MEAN},
         r AS (SELECT vec_id, vec_id // 6 AS person, vec_id % 6 AS n, CASE WHEN vec_id % 4 <> 0 THEN label % 3 END AS code, v,
             vec_id % 5 = 0 AS blank, 'industry ' || label AS own, lead(vec_id % 4 <> 0) OVER w AS next_known, lead(label % 3) OVER w AS next_code FROM e WINDOW w AS (PARTITION BY vec_id // 6 ORDER BY vec_id)),
-        bank AS (SELECT vec_id AS id, v AS b FROM e WHERE vec_id < 20),
-        best AS (SELECT r.vec_id, bank.id FROM r, bank QUALIFY row_number() OVER (PARTITION BY r.vec_id ORDER BY list_inner_product(r.v, bank.b) DESC, bank.id) = 1),
+        best AS (SELECT vec_id, id FROM scores QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) = 1),
         a AS (SELECT r.*, coalesce(code IS NOT NULL AND next_known AND next_code = code, false) AS follows, CASE WHEN next_known IS NULL THEN own WHEN NOT blank THEN 'near ' || id END AS mine FROM r JOIN best USING (vec_id)),
         k AS (SELECT *, min(CASE WHEN NOT follows THEN n END) OVER (PARTITION BY person ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS anchor FROM a)
         SELECT k.person, k.n, a.mine AS industry FROM k JOIN a ON a.person = k.person AND a.n = k.anchor"""
@@ -135,8 +135,8 @@ def industry_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("vec_id") / 6).alias("person"), (F.col("vec_id") % 6).alias("n"), F.when(F.col("vec_id") % 4 != 0, F.col("label") % 3).alias("code"), "vec_id", F.col("embedding").alias("vec"), (F.col("vec_id") % 5 == 0).alias("blank"),
         F.concat(F.lit("industry "), "label").alias("own"),
     )
-    bank = e.where("vec_id < 20").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return career.industries(rows, "person", "n", "code", "own", "blank", bank, 20).select("person", "n", F.regexp_replace("industry", "^bank ", "near ").alias("industry"))
+    bank = _centroids(spark, sf_dir)
+    return career.industries(rows, "person", "n", "code", "own", "blank", bank, bank.count()).select("person", "n", F.regexp_replace("industry", "^bank ", "near ").alias("industry"))
 
 
 _RESUME = """

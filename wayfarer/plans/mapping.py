@@ -17,7 +17,7 @@ _SKILLS = """
         SELECT vec_id // 4 AS "user", vec_id % 4 AS position, vec_id,
             trim(CASE vec_id % 10 WHEN 0 THEN ' Team-Based' WHEN 1 THEN 'expert ' WHEN 2 THEN ' SQL ' WHEN 3 THEN '  ' WHEN 4 THEN 'tool ' || vec_id % 3 ELSE 'skill ' || vec_id % 50 END) AS skill,
             CASE vec_id % 3 WHEN 0 THEN 'the ward''s Nurse at sea' WHEN 1 THEN 'a case worker; nurses' END AS context, v
-        FROM e WHERE vec_id < 200),
+        FROM e),
     lab AS (
         SELECT vec_id AS id, label AS concept, v,
             CASE vec_id % 7 WHEN 0 THEN 'leadership in  nursing' WHEN 1 THEN 'plan for the social  work' WHEN 2 THEN 'Sail IN A maritime world' WHEN 3 THEN 'nursing management for hotels' ELSE 'label ' || vec_id END AS name FROM e)"""
@@ -29,7 +29,7 @@ def _skill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 10 == 0, " Team-Based").when(i % 10 == 1, "expert ").when(i % 10 == 2, " SQL ").when(i % 10 == 3, "  ").when(i % 10 == 4, F.concat(F.lit("tool "), i % 3)).otherwise(F.concat(F.lit("skill "), i % 50))
     )
     context = F.when(i % 3 == 0, "the ward's Nurse at sea").when(i % 3 == 1, "a case worker; nurses")
-    return table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.floor(i / 4).alias("user"), (i % 4).alias("position"), name.alias("skill"), context.alias("context"), F.col("embedding").alias("vec"))
+    return table(spark, sf_dir, "embeddings").select(F.floor(i / 4).alias("user"), (i % 4).alias("position"), name.alias("skill"), context.alias("context"), F.col("embedding").alias("vec"))
 
 
 def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +41,12 @@ def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BORNE = """(CASE WHEN name LIKE 'leadership%' THEN context LIKE '%Nurse%' WHEN name LIKE 'plan%' THEN context LIKE '%case worker%' WHEN name LIKE 'Sail%' THEN false ELSE true END)"""
 
 
-@query(f"WITH {_E}, {_SKILLS} SELECT l.id, k.vec_id AS skill_id, coalesce({_BORNE}, false) AS fine FROM lab l JOIN sk k ON k.vec_id = l.id % 200")
+@query(f"WITH {_E}, {_SKILLS} SELECT l.id, k.vec_id AS skill_id, coalesce({_BORNE}, false) AS fine FROM lab l JOIN sk k ON k.vec_id = (l.id * 7) % (SELECT count(*) FROM e)")
 def domains_borne_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels bound to a domain need a word of it in the context."""
     asked = _skill_rows(spark, sf_dir).select((F.col("user") * 4 + F.col("position")).alias("skill_id"), "context")
-    rows = _label_rows(spark, sf_dir).select("id", F.col("label").alias("name"), (F.col("id") % 200).alias("skill_id"))
+    labels = _label_rows(spark, sf_dir)
+    rows = labels.select("id", F.col("label").alias("name"), (F.col("id") * 7 % labels.count()).alias("skill_id"))
     return rows.join(asked, "skill_id").select("id", "skill_id", skills.borne_out(F.col("name"), F.col("context")).alias("fine"))
 
 
@@ -103,15 +104,15 @@ def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_E}, s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_inner_product(a.v, b.v) AS score, a.v AS va, b.v AS vb, o.v AS vo, o.vec_id AS own
-            FROM e a JOIN e o ON o.vec_id = (a.vec_id + 1) % 50 AND a.vec_id < 100 CROSS JOIN e b WHERE b.vec_id < 50)
+            FROM e a JOIN e o ON o.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM e) CROSS JOIN e b)
         SELECT query, round(ln(sum(exp(score / 0.05)) FILTER (id = own OR list_inner_product(vo, vb) <= 0.6)) - max(score / 0.05) FILTER (id = own), 4) AS loss FROM s GROUP BY query"""
 )
 def masked_contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the bank too like the true one don't count as wrong."""
     rows = _vectors(spark, sf_dir)
-    bank = rows.where("id < 50").select("id", "vec")
-    asked = rows.where("id < 100").select(F.col("id").alias("query"), "vec", ((F.col("id") + 1) % 50).alias("own"))
-    return ranking.against_bank(asked, bank, bank.count(), 0.05, mask=0.6).select("query", F.round("loss", 4).alias("loss"))
+    n = rows.count()
+    asked = rows.select(F.col("id").alias("query"), "vec", ((F.col("id") + 1) % n).alias("own"))
+    return ranking.against_bank(asked, rows.select("id", "vec"), n, 0.05, mask=0.6).select("query", F.round("loss", 4).alias("loss"))
 
 
 @query(f"WITH {_E} SELECT a.label, round(1 - avg(list_cosine_similarity(a.v, b.v)), 6) AS loss FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.functions.vectors import mean_vectors, normalised
-from wayfarer.operators import ranking, skills
+from wayfarer.operators import ranking, recurrent, sketches, skills
 from wayfarer.operators.registry import query, table
 from wayfarer.plans.careers import _rounded
 from wayfarer.sources.shared import settled
@@ -145,3 +145,33 @@ def seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and sample deviation, where there are two values at least."""
     found = table(spark, sf_dir, "labels").agg(F.count("quality").alias("n"), F.round(F.avg("quality"), 4).alias("mean"), F.round(F.stddev_samp("quality"), 4).alias("deviation"))
     return found.where("n >= 2").select("mean", "deviation")
+
+
+_SHARES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+@query(f"SELECT l_returnflag, share, count(*) AS n, true AS within FROM lineitem, (SELECT unnest({_SHARES}::DOUBLE[]) AS share) GROUP BY ALL")
+def price_percentiles_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of prices by sketches of each month that are merged, and whether their true ranks lie within the bound."""
+    lines = table(spark, sf_dir, "lineitem")
+    monthly = settled(sketches.sketched(lines.withColumn("month", F.trunc("l_shipdate", "month")), ["l_returnflag", "month"], "l_extendedprice"), "sketches")
+    found = settled(sketches.percentiles(sketches.merged(monthly, ["l_returnflag"]), ["l_returnflag"], _SHARES), "percentiles")
+    # Ranks are counted in one pass beside the few percentiles.
+    flag = found.select(F.col("l_returnflag").alias("flag"), "share", "value", "n")
+    price = F.col("l_extendedprice").cast("double")
+    ranks = lines.join(F.broadcast(flag), F.col("l_returnflag") == F.col("flag")).groupBy("flag", "share", "n").agg(F.sum((price < F.col("value")).cast("long")).alias("below"), F.sum((price <= F.col("value")).cast("long")).alias("upto"))
+    off = F.greatest(F.col("below") / F.col("n") - F.col("share"), F.col("share") - F.col("upto") / F.col("n"))
+    return ranks.select(F.col("flag").alias("l_returnflag"), "share", "n", (off <= sketches.rank_error()).alias("within"))
+
+
+@query()
+def careers_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders as histories, in order, encoded by a seeded recurrent model; weights are beyond SQL."""
+    vecs = _vectors(spark, sf_dir)
+    width = vecs.select(F.size("vec").alias("n")).first()["n"]
+    rows = table(spark, sf_dir, "orders").join(vecs, F.col("id") == F.col("o_orderkey") % vecs.count())
+    step = F.struct(F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.log1p(F.col("o_totalprice") / 10_000).alias("months"), (F.col("label") % 5).alias("industry"))
+    lists = rows.groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", step.alias("s")))), lambda x: x["s"]).alias("steps"))
+    none = F.lit(None).cast("array<double>")
+    model = recurrent.as_table(spark, recurrent.drawn_weights(width, 24, 16, seed=3, industries=5, industry=3))
+    return recurrent.encoded(lists.select("id", "steps", none.alias("summary"), none.alias("skills")), model).select("id", F.posexplode("vec").alias("place", "x"))
