@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.functions.text import clean_skills, collapse, skill_chunks
+from wayfarer.sources.shared import settled
 
 # Headings of sections, and what they hold.
 HEADINGS = {
@@ -137,12 +138,17 @@ def parsed(df: DataFrame, key: str, html: str, highlights_add_skills: bool = Tru
     behind it. Education and additional information join their sections by line
     feeds. Skills are all sections' in order, repeats included, and then those of the
     highlights that are not among them yet, unless ``highlights_add_skills`` is off.
+
+    Each section's text and skills are made once and written; all outputs read these.
     """
-    read = sections(df, key, html).withColumn("s", F.transform("sections", lambda s: F.struct(_field(s).alias("field"), collapse(s["text"]).alias("text"), s["chunks"].alias("chunks"))))
+    items = lambda s: F.flatten(F.transform(s["chunks"], lambda c: clean_skills(skill_chunks(c))))
+    made = lambda s: F.struct(s["field"].alias("field"), collapse(s["text"]).alias("text"), F.when(s["field"].isin("skills", "highlights"), items(s)).alias("items"))
+    read = sections(df, key, html).select(key, F.transform("sections", lambda s: F.struct(_field(s).alias("field"), s["text"].alias("text"), s["chunks"].alias("chunks"))).alias("s"))
+    read = settled(read.select(key, F.transform("s", made).alias("s")), "sections")
     of = lambda name: F.filter("s", lambda s: s["field"] == name)
     full = lambda name: F.transform(F.filter(of(name), lambda s: s["text"] != ""), lambda s: s["text"])
     joined = lambda texts: F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
-    skills = lambda name: F.flatten(F.transform(F.flatten(F.transform(of(name), lambda s: s["chunks"])), lambda c: clean_skills(skill_chunks(c))))
+    skills = lambda name: F.flatten(F.transform(of(name), lambda s: s["items"]))
     first = F.slice(full("summary"), 1, 1)
     made = read.select(
         key,

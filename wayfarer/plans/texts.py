@@ -29,12 +29,12 @@ def _vectors_sql(of: str) -> str:
     tv AS (SELECT text, bucket, value / sqrt(sum(value * value) OVER (PARTITION BY text)) AS value FROM tb)"""
 
 
-@query(f"WITH texts AS (SELECT text FROM conversations UNION ALL SELECT p_name FROM part UNION ALL SELECT text FROM benchmark), {_vectors_sql('texts')} SELECT text, bucket, round(value, 9) + 0.0 AS value FROM tb")
+@query(f"WITH texts AS (SELECT text FROM conversations UNION ALL SELECT p_name FROM part UNION ALL SELECT text FROM benchmark), {_vectors_sql('texts')} SELECT text, bucket, round(value, 6) + 0.0 AS value FROM tb")
 def text_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What whole turns, names and passages leave in the buckets of a hashed vector."""
     texts = table(spark, sf_dir, "conversations").select("text").union(table(spark, sf_dir, "part").select("p_name")).union(table(spark, sf_dir, "benchmark").select("text"))
     made = EMBEDDER.sparse(texts.where("text is not null").distinct(), "text", "text")
-    return made.select(F.col("key").alias("text"), "bucket", (F.round("value", 9) + F.lit(0.0)).alias("value"))
+    return made.select(F.col("key").alias("text"), "bucket", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 _CATALOGUE = """
