@@ -45,9 +45,10 @@ class HashedNgrams:
         """Array of (feature, weight), with repeats."""
         words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         of = lambda kind, a, weight: F.transform(a, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x).alias("feature"), F.lit(weight).alias("weight")))
-        # A pair needs two words; sequences would run backwards without a second one.
-        firsts = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-        pairs = F.transform(firsts, lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)))
+        # A pair needs two words; sequences would run backwards without a second one. The
+        # words are an array of one array, so that they are made once and not for each pair.
+        firsts = lambda ws: F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
+        pairs = F.flatten(F.transform(F.array(words), lambda ws: F.transform(firsts(ws), lambda i: F.concat(F.element_at(ws, i), F.lit(" "), F.element_at(ws, i + 1)))))
         marked = F.transform(words, lambda w: F.concat(F.lit("<"), w, F.lit(">")))
 
         def cut(n: int) -> Column:

@@ -31,8 +31,10 @@ GROUP_ROWS = 20_000
 
 def grams(text: Column) -> Column:
     """The distinct 3-grams of a text, in the case that ILIKE compares in."""
-    low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - (GRAM - 1), F.lit(0))), lambda i: F.substring(low, i, GRAM)))
+    # The characters are an array of one array, so that they are made once and not for each gram.
+    letters = F.array(F.filter(F.split(F.lower(text), ""), lambda c: c != ""))
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (GRAM - 1)), lambda i: F.array_join(F.slice(c, i, GRAM), ""))
+    return F.array_distinct(F.flatten(F.transform(letters, cut)))
 
 
 def _safe(text: Column) -> Column:
