@@ -53,3 +53,15 @@ def test_each_row_gets_its_texts_vector(spark):
     got = {r["id"]: r["vec"] for r in embedded(HashedNgrams(), df, "text").collect()}
     assert got[1] == got[2] and got[3] is None and got[4] is None
     assert embedded(HashedNgrams(), df.where("id > 9"), "text").count() == 0
+
+
+def test_a_long_text_is_never_shuffled_with_each_of_its_features(spark):
+    """Keys that are the texts themselves stand once beside a text's buckets, and no row a feature is shuffled."""
+    text = " ".join(f"word{i}" for i in range(2000))
+    df = spark.createDataFrame([(text,), ("one two",)], "text string")
+    made = HashedNgrams().sparse(df, "text", "text")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    got = {r["bucket"]: r["value"] for r in made.where("key != 'one two'").collect()}
+    vec = np.array([got.get(b, 0.0) for b in range(256)])
+    assert vec / np.linalg.norm(vec) == pytest.approx(plain(HashedNgrams(), text), abs=1e-12)

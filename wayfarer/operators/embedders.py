@@ -3,17 +3,29 @@
 An embedder turns a query (a user's skill, a title that is looked for) or a document (a
 label of the catalogue) into a unit vector; the two sides may differ, as encoders with
 prompts do. The one here needs no weights: signed feature hashing of character and word
-n-grams, computed with built-in functions.
+n-grams. Spark cuts a text into words; a small helper counts their n-grams, text by text.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from math import sqrt
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that are handed back at once, and features whose bucket a task remembers.
+TEXTS, KNOWN = 256, 200_000
+TEXT = "_embedded_text"
+KINDS = {"array<double>": pa.list_(pa.float64()), "array<struct<bucket:bigint,value:double>>": pa.list_(pa.struct([("bucket", pa.int64()), ("value", pa.float64())]))}
+
 
 class Embedder(Protocol):
     """``key`` and ``vec`` (unit array<double>, or null where a text says nothing) for the rows of a frame."""
@@ -41,40 +53,64 @@ class HashedNgrams:
     pairs: float = 0.5
     characters: float = 0.4
 
-    def features(self, text: Column) -> Column:
-        """Array of (feature, weight), with repeats."""
-        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        of = lambda kind, a, weight: F.transform(a, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x).alias("feature"), F.lit(weight).alias("weight")))
-        # A pair needs two words; sequences would run backwards without a second one. The
-        # words are an array of one array, so that they are made once and not for each pair.
-        firsts = lambda ws: F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
-        pairs = F.flatten(F.transform(F.array(words), lambda ws: F.transform(firsts(ws), lambda i: F.concat(F.element_at(ws, i), F.lit(" "), F.element_at(ws, i + 1)))))
-        marked = F.transform(words, lambda w: F.concat(F.lit("<"), w, F.lit(">")))
-
-        def cut(n: int) -> Column:
-            some = F.filter(marked, lambda w: F.char_length(w) >= n)
-            return F.flatten(F.transform(some, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - (n - 1)), lambda i: F.substring(w, i, n))))
-
-        grams = [cut(n) for n in range(self.shortest, self.longest + 1)]
-        return F.concat(of("w", words, self.words), of("p", pairs, self.pairs), of("c", F.flatten(F.array(*grams)), self.characters))
+    def left(self, words: list[str], known: dict[str, tuple[int, float]]) -> dict[int, float]:
+        """What a text's words leave in the buckets; ``known`` holds the bucket and sign of features met before."""
+        count, weighed = Counter(words), []
+        if self.words:
+            weighed += [(f"w:{w}", self.words, n) for w, n in count.items()]
+        if self.pairs:
+            weighed += [(f"p:{a} {b}", self.pairs, n) for (a, b), n in Counter(pairwise(words)).items()]
+        if self.characters:
+            grams: dict[str, int] = {}
+            for w, times in count.items():
+                w = f"<{w}>"
+                for n in range(self.shortest, self.longest + 1):
+                    for i in range(len(w) - n + 1):
+                        gram = w[i : i + n]
+                        grams[gram] = grams.get(gram, 0) + times
+            weighed += [(f"c:{g}", self.characters, n) for g, n in grams.items()]
+        out: dict[int, float] = {}
+        for feature, weight, n in weighed:
+            at = known.get(feature)
+            if at is None:
+                digest = hashlib.md5(feature.encode(), usedforsecurity=False).digest()
+                at = int.from_bytes(digest[:4]) % self.size, 1.0 if digest[4] < 128 else -1.0
+                if len(known) < KNOWN and feature[0] != "p":  # pairs seldom come again
+                    known[feature] = at
+            out[at[0]] = out.get(at[0], 0.0) + at[1] * weight * sqrt(n)
+        return out
+
+    def _made(self, df: DataFrame, key: str, text: str, column: str, kind: str, turned: Callable[[dict[int, float]], object]) -> DataFrame:
+        """``key`` and what ``turned`` makes of a text's buckets. A text is read in one task, so only what is left of it is ever shuffled."""
+        words = F.filter(F.split(F.lower(F.col(TEXT).cast("string")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, tuple[int, float]] = {}
+            for batch in batches:
+                for i in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(i, TEXTS)
+                    rows = [turned(self.left(w or [], known)) for w in part.column("words").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(rows, KINDS[kind])], names=["key", column])
+
+        # Rows often come from a shuffle that was joined into few tasks, as texts are small beside the work on them.
+        dealt = df.select(F.col(key).alias("key"), F.col(text).alias(TEXT)).repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "key")
+        return dealt.select("key", words.alias("words")).mapInArrow(run, f"key {dict(df.dtypes)[key]}, {column} {kind}")
 
     def sparse(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """(key, bucket, value): what each text leaves in its buckets, before its length is made 1."""
-        each = df.select(F.col(key).alias("key"), F.explode(self.features(F.col(text).cast("string"))).alias("f")).select("key", "f.feature", "f.weight")
-        counted = each.groupBy("key", "feature", "weight").agg(F.sqrt(F.count("*")).alias("n"))
-        digest = F.md5(F.col("feature").cast("binary"))
-        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % self.size
-        sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
-        signed = counted.select("key", bucket.alias("bucket"), (sign * F.col("weight") * F.col("n")).alias("value"))
-        return signed.groupBy("key", "bucket").agg(F.sum("value").alias("value"))
+        """(key, bucket, value): what each text leaves in its buckets, before its length is made 1; keys are distinct."""
+        made = self._made(df, key, text, "m", "array<struct<bucket:bigint,value:double>>", lambda left: [{"bucket": b, "value": v} for b, v in left.items()])
+        return made.select("key", F.explode("m").alias("m")).select("key", "m.bucket", "m.value")
 
     def dense(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """One row for each key of ``df``, which are distinct; null where a text has no word."""
-        made = self.sparse(df, key, text).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"), F.sqrt(F.sum(F.col("value") ** 2)).alias("norm"))
-        places = F.sequence(F.lit(0).cast("long"), F.lit(self.size - 1).cast("long"))
-        vec = F.transform(places, lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)) / F.col("norm"))
-        known = made.where("norm > 0").select(F.col("key").alias("_key"), vec.alias("vec"))
-        return df.select(F.col(key)).join(known, F.col(key) == F.col("_key"), "left").select(key, "vec")
+
+        def unit(left: dict[int, float]) -> np.ndarray | None:
+            out = np.zeros(self.size)
+            out[list(left)] = list(left.values())
+            norm = np.sqrt((out * out).sum())
+            return out / norm if norm > 0 else None
+
+        return self._made(df, key, text, "vec", "array<double>", unit).withColumnRenamed("key", key)
 
     def queries(self, df: DataFrame, key: str, text: str) -> DataFrame:
         return self.dense(df, key, text)
