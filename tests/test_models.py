@@ -146,6 +146,17 @@ def test_gradients_are_finite_differences():
     assert training.loss_and_gradient(w, x[:1], target[:1], wrong, 0.3)[0] == pytest.approx(without[0])
 
 
+def test_rows_drawn_again_count_as_often_but_are_multiplied_once():
+    rng = np.random.default_rng(9)
+    w, x, target, wrong = rng.standard_normal((5, 4)), rng.standard_normal((7, 5)), _unit(rng.standard_normal((7, 4))), _unit(rng.standard_normal((3, 4)))
+    loss, gradient = training.loss_and_gradient(w, x, target, wrong[[0, 1, 1, 1, 2, 0]], 0.3)
+    rows = [{"place": p, "vec": wrong[p].tolist()} for p in (0, 1, 1, 1, 2, 0)]
+    once, times = training._counted(rows)
+    assert len(once) == 3 and times.tolist() == [2, 3, 1]
+    same, by_w = training.loss_and_gradient(w, x, target, once, 0.3, times)
+    assert same == pytest.approx(loss) and np.allclose(by_w, gradient)
+
+
 def test_training_finds_a_hidden_map(spark):
     """Targets are a turned version of what is given: members learn the turn, and rank held-out pairs better than before."""
     rng = np.random.default_rng(6)

@@ -10,6 +10,7 @@ same gradient.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,13 @@ SAME = 0.999
 PAIRS, KEPT = 512, 10
 
 
-def loss_and_gradient(w: np.ndarray, x: np.ndarray, target: np.ndarray, wrong: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
+def loss_and_gradient(w: np.ndarray, x: np.ndarray, target: np.ndarray, wrong: np.ndarray, temperature: float, times: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Sum of the losses of some pairs under ``x @ w``, and its gradient by ``w``.
 
     The loss is the cross-entropy of the target among itself and the wrong rows; rows
     too like a pair's target are left out for that pair. Targets and wrong rows are of
-    length 1, and predictions are made so.
+    length 1, and predictions are made so. ``times`` says how often each wrong row
+    counts (once, if not given).
     """
     made = x @ w
     size = np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
@@ -43,6 +45,7 @@ def loss_and_gradient(w: np.ndarray, x: np.ndarray, target: np.ndarray, wrong: n
     true = (unit * target).sum(axis=1, keepdims=True) / temperature
     top = np.maximum(scores.max(axis=1, keepdims=True, initial=-np.inf), true)
     e, own = np.exp(scores - top), np.exp(true - top)
+    e = e if times is None else e * times
     total = e.sum(axis=1, keepdims=True) + own
     by_unit = ((e / total) @ wrong + (own / total - 1) * target) / temperature
     by_made = (by_unit - unit * (unit * by_unit).sum(axis=1, keepdims=True)) / size
@@ -69,7 +72,12 @@ class Adam:
         return w * (1 - self.rate * self.decay) - self.rate * mean / (np.sqrt(spread) + 1e-8)
 
 
-def _gradients(weights: list[np.ndarray], wrong: list[np.ndarray], temperature: float):
+def _rows(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _gradients(weights: list[np.ndarray], wrong: list[tuple[np.ndarray, np.ndarray]], temperature: float):
     width, out = weights[0].shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +85,10 @@ def _gradients(weights: list[np.ndarray], wrong: list[np.ndarray], temperature:
         for batch in batches:
             for i in range(0, batch.num_rows, PAIRS):
                 part = batch.slice(i, PAIRS)
-                x, target = (np.array(part.column(c).to_pylist(), np.float64).reshape(part.num_rows, -1) for c in ("vec", "target"))
+                x, target = _rows(part.column("vec")), _rows(part.column("target"))
                 n += len(x)
                 for k, w in enumerate(weights):
-                    a, g = loss_and_gradient(w, x, target, wrong[k], temperature)
+                    a, g = loss_and_gradient(w, x, target, wrong[k][0], temperature, wrong[k][1])
                     loss[k] += a
                     gradient[k] += g
         if n:
@@ -93,6 +101,12 @@ def _gradients(weights: list[np.ndarray], wrong: list[np.ndarray], temperature:
     return run
 
 
+def _counted(drawn_rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once, and how often it was drawn: from a small bank the same few come again and again."""
+    times, vecs = Counter(r["place"] for r in drawn_rows), {r["place"]: r["vec"] for r in drawn_rows}
+    return np.array([vecs[p] for p in sorted(vecs)]), np.array([times[p] for p in sorted(vecs)], np.float64)
+
+
 def trained(pairs: DataFrame, bank: DataFrame, seeds: list[int], rounds: int = 40, rate: float = 0.02, temperature: float = 0.1, negatives: int = 4096) -> tuple[DataFrame, list[list[float]]]:
     """(weights, losses): a table of one matrix for each seed, named by it, and each round's mean loss of each member.
 
@@ -102,18 +116,20 @@ def trained(pairs: DataFrame, bank: DataFrame, seeds: list[int], rounds: int = 4
     """
     spark = pairs.sparkSession
     unit = lambda c: normalised(F.col(c))
-    fine = pairs.where("vec is not null and target is not null").select(F.transform("vec", lambda v: v.cast("double")).alias("vec"), unit("target").alias("target")).persist()
+    fine = pairs.where("vec is not null and target is not null").select(F.transform("vec", lambda v: v.cast("double")).alias("vec"), unit("target").alias("target"))
+    # A small table lies in few files; each pass is to keep all cores busy.
+    fine = fine.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("vec", "target")).persist()
     shape = fine.select(F.size("vec").alias("a"), F.size("target").alias("b")).first()
     if shape is None:
         raise ValueError("there are no pairs to learn from")
     weights = [np.eye(shape["a"], shape["b"]) + 0.02 * np.random.default_rng(s).standard_normal((shape["a"], shape["b"])) for s in seeds]
     steps, losses = [Adam(rate) for _ in seeds], []
     rows = bank.select("id", "place", unit("vec").alias("vec"))
-    wrong: list[np.ndarray] = []
+    wrong: list[tuple[np.ndarray, np.ndarray]] = []
     for r in range(rounds):
         if r % KEPT == 0:
             # As many rows as are drawn, whatever the size of the bank.
-            wrong = [np.array([x["vec"] for x in drawn(rows, negatives, 1000 * s + r).orderBy("draw").collect()]) for s in seeds]
+            wrong = [_counted(drawn(rows, negatives, 1000 * s + r).select("place", "vec").collect()) for s in seeds]
         parts = fine.mapInArrow(_gradients(weights, wrong, temperature), "member int, row int, values array<double>, loss double, n long")
         flat = parts.select("member", "row", F.posexplode("values").alias("at", "value"), "loss", "n")
         first = F.col("at") == 0
@@ -135,7 +151,7 @@ def predicted(queries: DataFrame, weights: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("vec").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x = _rows(batch.column("vec"))
             for name, w in models.items():
                 made = x @ w if len(x) else np.zeros((0, w.shape[1]))
                 made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
