@@ -13,16 +13,19 @@ verified with ILIKE. Needles without any 3-gram are held against all labels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfarer.sources.shared import scratch
+from wayfarer.sources.shared import scratch, settled
 
 GRAM = 3
-#: Ids of a row of the index, on average.
-PART = 4096
+#: Ids of a row of the index at most, and pairs of a gram and an id that a task gathers at once.
+PART, HELD = 4096, 2_000_000
 #: Grams of a needle that are looked up: its rarest ones.
 ASKED = 4
 #: Rows of a row group of the index; few, so that a lookup reads little beside its own.
@@ -30,11 +33,43 @@ GROUP_ROWS = 20_000
 
 
 def grams(text: Column) -> Column:
-    """The distinct 3-grams of a text, in the case that ILIKE compares in."""
-    # The characters are an array of one array, so that they are made once and not for each gram.
-    letters = F.array(F.filter(F.split(F.lower(text), ""), lambda c: c != ""))
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (GRAM - 1)), lambda i: F.array_join(F.slice(c, i, GRAM), ""))
-    return F.array_distinct(F.flatten(F.transform(letters, cut)))
+    """The distinct 3-grams of a piece of a needle, in the case that ILIKE compares in."""
+    low = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - (GRAM - 1)), lambda i: F.substring(low, i, GRAM)))
+
+
+def _lists(most: int, at_once: int):
+    """(gram, part, ids) of stretches of rows: ids meet under their gram before anything is shuffled."""
+
+    def cut(held: dict[str, list[int]]) -> pa.RecordBatch:
+        names, ids = [], []
+        for gram in sorted(held):
+            all_ids = np.unique(np.array(held[gram], np.int64))
+            for at in range(0, len(all_ids), most):
+                names.append(gram)
+                ids.append(all_ids[at : at + most])
+        ends = np.cumsum([0, *map(len, ids)])
+        # Parts of one gram are told apart by their first id, which spreads a frequent gram over tasks.
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([x[0] % 1024 for x in ids], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], names=["gram", "part", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for i, texts in zip(part.column("id").to_pylist(), part.column("texts").to_pylist(), strict=True):
+                    found = {t[k : k + GRAM] for t in texts if t is not None for k in range(len(t) - GRAM + 1)}
+                    n += len(found)
+                    for gram in found:
+                        held.setdefault(gram, []).append(i)
+                if n >= at_once:
+                    yield cut(held)
+                    held, n = {}, 0
+        if held:
+            yield cut(held)
+
+    return run
 
 
 def _safe(text: Column) -> Column:
@@ -59,23 +94,24 @@ def build(rows: DataFrame, key: str, label: str, alternatives: str | None = None
     """The index of a table's labels and alternative labels, written to ``folder``.
 
     Null labels have no gram, and a null among the alternatives counts for nothing. Ids
-    may repeat; a search then finds all their rows. The ids of a gram are dealt to
-    parts by their hash before they are gathered, so no task holds all of a frequent
-    gram's.
+    may repeat; a search then finds all their rows. A task gathers the ids of some
+    ``HELD`` pairs at a time and cuts those of a gram to parts, so no task holds all of
+    a frequent gram's, and no row a gram and an id is shuffled.
     """
     spark = rows.sparkSession
     folder = folder or scratch(spark, "trigrams")
     others = F.col(alternatives) if alternatives else F.array().cast("array<string>")
     held = rows.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.coalesce(others, F.array().cast("array<string>")).alias("alternatives"))
-    held.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/labels")
+    # A stated number, as few bytes of text are much work.
+    held.repartitionByRange(2 * spark.sparkContext.defaultParallelism, "id").sortWithinPartitions("id").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/labels")
     labels = spark.read.schema(held.schema).parquet(f"{folder}/labels")
-    of = F.array_distinct(F.concat(_safe(F.col("label")), F.flatten(F.transform("alternatives", lambda a: _safe(a)))))
-    pairs = labels.select("id", F.explode(of).alias("gram")).distinct()
-    counts = pairs.groupBy("gram").agg(F.count("*").alias("n"))
+    low = F.transform(F.concat(F.array("label"), "alternatives"), lambda x: F.lower(x))
+    made = labels.where("id is not null").select("id", low.alias("texts")).mapInArrow(_lists(PART, HELD), "gram string, part int, ids array<bigint>")
+    # Written, as a range partitioning reads its input twice.
+    postings = settled(made, "lists")
+    counts = postings.groupBy("gram").agg(F.sum(F.size("ids").cast("long")).alias("n"))
     counts.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/grams")
     counts = spark.read.schema(counts.schema).parquet(f"{folder}/grams")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).cast("int")
-    postings = pairs.join(counts, "gram").groupBy("gram", part.alias("part")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
     writer = postings.repartitionByRange("gram", "part").sortWithinPartitions("gram", "part").write.mode("overwrite")
     writer.option("compression", "zstd").option("parquet.block.row.count.limit", str(GROUP_ROWS)).parquet(f"{folder}/postings")
     return TrigramIndex(spark.read.schema(postings.schema).parquet(f"{folder}/postings"), counts, labels)
@@ -93,8 +129,8 @@ def candidates(index: TrigramIndex, needles: DataFrame) -> DataFrame:
     known = asked.join(index.grams, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = known.withColumn("_r", F.row_number().over(Window.partitionBy("needle").orderBy("n", "gram"))).where(F.col("_r") <= ASKED)
     rarest = rarest.withColumn("must", F.max("_r").over(Window.partitionBy("needle"))).select("needle", "gram", "must")
-    found = rarest.join(index.postings, "gram").select("needle", "must", F.explode("ids").alias("id"))
-    return found.groupBy("needle", "must", "id").agg(F.count("*").alias("n")).where("n = must").select("needle", "id")
+    found = rarest.join(index.postings, "gram").select("needle", "must", "gram", F.explode("ids").alias("id"))
+    return found.groupBy("needle", "must", "id").agg(F.count_distinct("gram").alias("n")).where("n = must").select("needle", "id")
 
 
 def found(index: TrigramIndex, needles: DataFrame) -> DataFrame:
@@ -112,10 +148,12 @@ def found(index: TrigramIndex, needles: DataFrame) -> DataFrame:
     pairs = candidates(index, long).join(index.labels, "id")
     # The stated needles against all labels: one pass, with the short needles alone on the other side.
     pairs = pairs.select("needle", "id", "label", "alternatives").unionByName(index.labels.crossJoin(short).select("needle", "id", "label", "alternatives"))
-    pattern = F.concat(F.lit("%"), F.col("needle"), F.lit("%"))
-    in_label = F.coalesce(F.ilike(F.col("label"), pattern), F.lit(False))
-    hit = in_label | F.coalesce(F.exists("alternatives", lambda a: F.ilike(a, pattern)), F.lit(False))
-    return pairs.where(hit).select("needle", "id", in_label.alias("in_label"))
+    # A needle without wildcards is looked for as it is; ILIKE would make a pattern for each row.
+    pattern, plain = F.concat(F.lit("%"), F.col("needle"), F.lit("%")), ~F.col("needle").rlike(r"[%_\\]")
+    like = lambda c: F.when(plain, F.contains(F.lower(c), F.lower(F.col("needle")))).otherwise(F.ilike(c, pattern))
+    told = pairs.select("needle", "id", "alternatives", F.coalesce(like(F.col("label")), F.lit(False)).alias("in_label"))
+    hit = F.col("in_label") | F.coalesce(F.exists("alternatives", like), F.lit(False))
+    return told.where(hit).select("needle", "id", "in_label")
 
 
 def share_read(index: TrigramIndex, needle: str) -> float:
