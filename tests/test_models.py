@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,14 @@ def test_training_finds_a_hidden_map(spark):
     assert min(mrr.values()) > before + 0.3
     with pytest.raises(ValueError, match="no pairs"):
         training.trained(df.where("query < 0"), bank, [1])
+
+
+def test_best_rows_over_several_stretches_with_ties(monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)  # many ties
+    monkeypatch.setattr(ranking, "AGAINST", 32)
+    got = ranking._best(pa.array(range(40)), pa.array(x[:40].tolist()), np.arange(300) * 2, x, 7)
+    want = np.argsort(-(x[:40] @ x.T), axis=1, kind="stable")[:, :7] * 2
+    assert got["id"].to_pylist() == want.ravel().tolist() and got["query"].to_pylist() == np.repeat(np.arange(40), 7).tolist()
+    few = ranking._best(pa.array([1]), pa.array([x[0].tolist()]), np.arange(3), x[:3], 7)
+    assert few.num_rows == 3

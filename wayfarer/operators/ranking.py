@@ -134,7 +134,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, bank_rows: int, most: i
 
         def block(left: pa.Table, right: pa.Table) -> pa.Table:
             order = left.sort_by("id")
-            matrix = np.array(order.column("vec").to_pylist(), np.float64).reshape(len(order), -1)
+            matrix = _matrix(order.column("vec"))
             return _best(right.column("query").combine_chunks(), right.column("ask").combine_chunks(), order.column("id").to_numpy(), matrix, k)
 
         spread = bank.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
@@ -144,17 +144,55 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, bank_rows: int, most: i
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
+#: Queries and rows of the bank that are multiplied at once; their products stay in a core's cache.
+ASKED, AGAINST = 256, 2048
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix; null entries are NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best and of all that tie with the last of them."""
+    if scores.shape[1] <= k:
+        return tuple(a.ravel() for a in np.indices(scores.shape))
+    last = np.partition(scores, -k, axis=1)[:, -k]
+    return np.nonzero(scores >= last[:, None])
+
+
 def _best(query: pa.Array, vec: pa.Array, ids: np.ndarray, matrix: np.ndarray, k: int) -> pa.Table:
-    out: dict[str, list] = {"query": [], "id": [], "score": []}
+    """The k best of each query, ties to the smaller id; ``ids`` ascend.
+
+    A stretch of the bank after the first is only searched for what reaches a query's
+    k-th best so far, so nothing but the products grows with the bank.
+    """
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     if len(query) and len(ids):
-        q = np.array(vec.to_pylist(), np.float64).reshape(len(query), -1)
-        for at in range(0, len(q), 256):
-            scores = q[at : at + 256] @ matrix.T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so ties do too
-            out["query"] += np.repeat(query.to_numpy()[at : at + 256], order.shape[1]).tolist()
-            out["id"] += ids[order].ravel().tolist()
-            out["score"] += np.take_along_axis(scores, order, 1).ravel().tolist()
-    return pa.table(out, schema=pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+        q, names = _matrix(vec), query.to_numpy()
+        for at in range(0, len(q), ASKED):
+            asked = q[at : at + ASKED]
+            row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            least = np.full(len(asked), -np.inf)
+            for a in range(0, len(ids), AGAINST):
+                scores = asked @ matrix[a : a + AGAINST].T
+                r, c = _top(scores, k) if a == 0 else np.nonzero(scores >= least[:, None])
+                if not len(r):
+                    continue
+                row, col, score = np.append(row, r), np.append(col, c + a), np.append(score, scores[r, c])
+                order = np.lexsort([col, -score, row])
+                row, col, score = row[order], col[order], score[order]
+                first = np.searchsorted(row, np.arange(len(asked)))
+                keep = np.arange(len(row)) - first[row] < k
+                row, col, score = row[keep], col[keep], score[keep]
+                count = np.bincount(row, minlength=len(asked))
+                full = np.flatnonzero(count == k)
+                least[full] = score[np.cumsum(count)[full] - 1]
+            for held, new in zip(out, (names[at + row], ids[col], score), strict=True):
+                held.append(new)
+    return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query", "id", "score"])
 
 
 def reciprocal_rank(rank: Column, cutoff: int | None = None) -> Column:
