@@ -231,23 +231,30 @@ def against_bank(queries: DataFrame, bank: DataFrame, rows: int, temperature: fl
         out: dict[str, list] = {"query": [], "above": [], "ties": [], "top": [], "rest": [], "true": []}
         if left.num_rows and right.num_rows:
             ids = left.column("id").to_numpy()
-            matrix, ask, own = (np.array(c.to_pylist(), np.float64).reshape(len(c), -1) for c in (left.column("vec"), right.column("ask"), right.column("own_vec")))
+            matrix, ask, own = _matrix(left.column("vec")), _matrix(right.column("ask")), _matrix(right.column("own_vec"))
             own_id, query = right.column("own").to_numpy(), right.column("query").to_numpy()
-            for at in range(0, len(ask), 256):
-                q, mine = ask[at : at + 256], own[at : at + 256]
-                scores, true = q @ matrix.T, (q * mine).sum(axis=1)
-                other = ids[None, :] != own_id[at : at + 256, None]
-                # Sums in another order differ in the last bits; such scores are the same.
-                same = np.isclose(scores, true[:, None], rtol=1e-12, atol=1e-12) & other
-                wrong = other if mask is None else other & (mine @ matrix.T <= mask)
-                z = np.where(wrong, scores / temperature, -np.inf)
-                top = z.max(axis=1)
-                fine = np.where(np.isfinite(top), top, 0.0)
-                out["query"] += query[at : at + 256].tolist()
-                out["above"] += ((scores > true[:, None]) & other & ~same).sum(axis=1).tolist()
-                out["ties"] += (same & (ids[None, :] < own_id[at : at + 256, None])).sum(axis=1).tolist()
-                out["top"] += fine.tolist()
-                out["rest"] += np.exp(z - fine[:, None]).sum(axis=1).tolist()
+            for at in range(0, len(ask), ASKED):
+                q, mine, own_ids = ask[at : at + ASKED], own[at : at + ASKED], own_id[at : at + ASKED, None]
+                true = (q * mine).sum(axis=1)
+                above, ties, top, rest = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.full(len(q), -np.inf), np.zeros(len(q))
+                for a in range(0, len(ids), AGAINST):
+                    m, some = matrix[a : a + AGAINST], ids[None, a : a + AGAINST]
+                    scores, other = q @ m.T, some != own_ids
+                    # Sums in another order differ in the last bits; such scores are the same.
+                    same = np.isclose(scores, true[:, None], rtol=1e-12, atol=1e-12) & other
+                    wrong = other if mask is None else other & (mine @ m.T <= mask)
+                    z = np.where(wrong, scores / temperature, -np.inf)
+                    new = np.maximum(top, z.max(axis=1))
+                    fine = np.where(np.isfinite(new), new, 0.0)
+                    above += ((scores > true[:, None]) & other & ~same).sum(axis=1)
+                    ties += (same & (some < own_ids)).sum(axis=1)
+                    rest = rest * np.exp(top - fine) + np.exp(z - fine[:, None]).sum(axis=1)
+                    top = new
+                out["query"] += query[at : at + ASKED].tolist()
+                out["above"] += above.tolist()
+                out["ties"] += ties.tolist()
+                out["top"] += np.where(np.isfinite(top), top, 0.0).tolist()
+                out["rest"] += rest.tolist()
                 out["true"] += (true / temperature).tolist()
         kinds = {"query": pa.int64(), "above": pa.int64(), "ties": pa.int64()}
         return pa.table(out, schema=pa.schema([(c, kinds.get(c, pa.float64())) for c in out]))
