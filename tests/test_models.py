@@ -191,3 +191,13 @@ def test_best_rows_over_several_stretches_with_ties(monkeypatch):
     assert got["id"].to_pylist() == want.ravel().tolist() and got["query"].to_pylist() == np.repeat(np.arange(40), 7).tolist()
     few = ranking._best(pa.array([1]), pa.array([x[0].tolist()]), np.arange(3), x[:3], 7)
     assert few.num_rows == 3
+
+
+def test_a_row_is_shuffled_to_no_more_blocks_as_the_bank_grows(spark):
+    rng = np.random.default_rng(11)
+    copies = []
+    for n in (300, 1200):
+        bank = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 8)))], "id long, vec array<double>")
+        blocks = ranking.blocked(bank, 10)
+        copies.append(blocks.pairs(blocks.upper).count() / n)
+    assert copies[1] < 1.5 * copies[0]

@@ -290,6 +290,8 @@ def shuffled(df: DataFrame, key: str, seed: int, n: int | None = None) -> DataFr
 
 #: Pivots that rows are dealt to at most; beyond that, a pivot's rows are cut further.
 PIVOTS = 1024
+#: A row is shuffled once for each block that its own meets, so blocks grow with the bank, up to what a task holds.
+BLOCKS, LARGEST = 24, 65_536
 
 
 @dataclass(frozen=True)
@@ -320,7 +322,7 @@ class Blocks:
 
 
 def blocked(bank: DataFrame, most: int) -> Blocks:
-    """``bank`` in blocks of about ``most`` rows that lie near a pivot.
+    """``bank`` in blocks of about ``most`` rows, or a 24th of it where that is more, that lie near a pivot.
 
     Pivots are rows of the bank, drawn by a seed. A row goes to the pivot of largest
     cosine; blocks too large are cut by the ids' hash. By the largest angle of a block's
@@ -330,6 +332,7 @@ def blocked(bank: DataFrame, most: int) -> Blocks:
     """
     rows = bank.select("id", "vec").where("vec is not null")
     count = rows.count()
+    most = max(most, min(LARGEST, count // BLOCKS))
     pivots = shuffled(rows, "id", 7, min(PIVOTS, max(1, -(-2 * count // most)))).toPandas()["vec"].tolist() or [[0.0]]
     p = np.array(pivots, np.float64).reshape(len(pivots), -1)
     norm = np.linalg.norm(p, axis=1, keepdims=True)
@@ -337,7 +340,7 @@ def blocked(bank: DataFrame, most: int) -> Blocks:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("vec").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column("vec"))
             size = np.linalg.norm(x, axis=1)
             cos = (x @ p.T) / np.where(size > 0, size, 1)[:, None]
             at = cos.argmax(axis=1)
@@ -364,17 +367,19 @@ def blocked(bank: DataFrame, most: int) -> Blocks:
     return Blocks(placed.select("id", "vec", "b"), sizes, np.where(cos > 0, longest[:, None] * longest[None, :] * cos, 0.0) + 1e-9)
 
 
-def _block_scores(table: pa.Table, first: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of rows and columns, and their inner products; pairs not to be counted are -inf."""
+def _block_scores(table: pa.Table, first: int, second: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of rows and columns, and their inner products, a stretch at a time; pairs not to be counted are -inf."""
     b = table.column("b").to_numpy()
-    matrix, ids = np.array(table.column("vec").to_pylist(), np.float64), table.column("id").to_numpy()
+    matrix, ids = _matrix(table.column("vec")), table.column("id").to_numpy()
     rows, cols = np.flatnonzero(b == first), np.flatnonzero(b == second)
-    if not len(rows) or not len(cols):
-        return ids[rows], ids[cols], np.zeros((len(rows), len(cols)))
-    scores = matrix[rows] @ matrix[cols].T
-    if first == second:
-        scores[ids[rows][:, None] >= ids[cols][None, :]] = -np.inf
-    return ids[rows], ids[cols], scores
+    left, right = matrix[rows], matrix[cols]
+    for i in range(0, len(rows), ASKED):
+        for j in range(0, len(cols), AGAINST):
+            u, v = ids[rows[i : i + ASKED]], ids[cols[j : j + AGAINST]]
+            scores = left[i : i + ASKED] @ right[j : j + AGAINST].T
+            if first == second:
+                scores[u[:, None] >= v[None, :]] = -np.inf
+            yield u, v, scores
 
 
 def similarity_histogram(bank: DataFrame, thresholds: list[float], most: int = 2_000) -> DataFrame:
@@ -388,8 +393,11 @@ def similarity_histogram(bank: DataFrame, thresholds: list[float], most: int = 2
     wanted = blocks.upper & (blocks.most > min(thresholds)) if thresholds else blocks.upper & False
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, _, scores = _block_scores(table, key[0].as_py(), key[1].as_py())
-        return pa.table({"threshold": thresholds, "n": [int((scores > t).sum()) for t in thresholds]})
+        n = np.zeros(len(thresholds), np.int64)
+        for _, _, scores in _block_scores(table, key[0].as_py(), key[1].as_py()):
+            some = scores[scores > min(thresholds)]
+            n += [int((some > t).sum()) for t in thresholds]
+        return pa.table({"threshold": thresholds, "n": n})
 
     counts = blocks.pairs(wanted).groupBy("i", "j").applyInArrow(run, "threshold double, n long")
     rows = int(blocks.sizes.sum())
@@ -409,12 +417,16 @@ def top_pairs(bank: DataFrame, k: int, most: int = 2_000) -> DataFrame:
     own = np.eye(len(blocks.sizes), dtype=bool)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        u, v, scores = _block_scores(table, key[0].as_py(), key[1].as_py())
-        floor = np.partition(scores.ravel(), -k)[-k] if scores.size > k else -np.inf
-        r, c = np.nonzero((scores >= floor) & (scores > -np.inf))
-        a, b = np.minimum(u[r], v[c]), np.maximum(u[r], v[c])
-        order = np.lexsort([b, a, -scores[r, c]])[:k]
-        return pa.table({"u": a[order], "v": b[order], "score": scores[r, c][order]})
+        a, b, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for u, v, scores in _block_scores(table, key[0].as_py(), key[1].as_py()):
+            # What lies below the k-th best so far is no answer; of equal scores the ids decide.
+            floor = best[-1] if len(best) == k else np.partition(scores.ravel(), -k)[-k] if scores.size > k else -np.inf
+            r, c = np.nonzero((scores >= floor) & (scores > -np.inf))
+            a, b = np.append(a, np.minimum(u[r], v[c])), np.append(b, np.maximum(u[r], v[c]))
+            best = np.append(best, scores[r, c])
+            order = np.lexsort([b, a, -best])[:k]
+            a, b, best = a[order], b[order], best[order]
+        return pa.table({"u": a, "v": b, "score": best})
 
     best = lambda wanted: settled(blocks.pairs(wanted).groupBy("i", "j").applyInArrow(run, "u long, v long, score double").orderBy(F.desc("score"), "u", "v").limit(k), "pairs")
     first = best(own)
