@@ -61,6 +61,17 @@ def test_a_lookup_reads_little_and_an_index_is_opened_again(spark, tmp_path):
     assert sizes <= 2 * trigrams.PART
 
 
+def test_ids_meet_under_their_gram_before_they_are_shuffled(spark, monkeypatch):
+    """Rows of the index are far fewer than pairs of a gram and an id, and repeated ids in two stretches count once."""
+    df = spark.createDataFrame([(i % 150, f"same words here {i % 3}", None) for i in range(300)], LABELS)
+    index = trigrams.build(df, "id", "label")
+    rows = index.postings.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
+    assert rows["n"] < rows["ids"] / 3
+    monkeypatch.setattr(trigrams, "HELD", 40)
+    got = trigrams.found(trigrams.build(df, "id", "label"), spark.createDataFrame([("words here 1",), ("zords",)], "needle string")).collect()
+    assert sorted(r["id"] for r in got) == sorted(2 * [i for i in range(150) if i % 3 == 1])
+
+
 def test_empty_labels(spark):
     index = trigrams.build(spark.createDataFrame([], LABELS), "id", "label", "alternatives")
     for needles in ([("abc",), ("a",)], []):
@@ -119,3 +130,16 @@ def test_odd_vectors(spark):
     assert ids(where=F.col("kind") == "a") == [(1, 1, 1)]
     none = graph_search.build(spark.createDataFrame([], VECTORS))
     assert graph_search.search(none, asked, 5).count() == 0
+
+
+def test_rows_are_compared_one_by_one_where_walks_find_too_little():
+    """Queries that are no rows of the shard lie far from all; a narrow walk finds too few."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links, fine, asked = graph_search.linked(x), np.ones(6000, bool), rng.standard_normal((60, 64))
+    last = np.sort(asked @ x.T, axis=1)[:, -20]
+    found = lambda width: (graph_search.walked(x, links, fine, asked, 20, width)[1] >= last[:, None] - 1e-9).mean()
+    wide = graph_search.wide_enough(x, links, fine, asked, 20, 20)
+    assert found(20) < 0.95 <= found(wide) and wide > 20
+    assert graph_search.wide_enough(x, links, np.arange(6000) < 50, asked, 20, 20) == 20

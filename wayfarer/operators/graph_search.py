@@ -29,6 +29,8 @@ SHARD = 16_384
 LINKS, LOOKED_AT, FAR = 24, 96, 4
 #: Queries that meet a shard in one task, and those that walk at once.
 QUERIES, WALKERS = 2048, 256
+#: Queries of a task that are tried against all rows of its shard, and the share of right answers that they need.
+TRIED, RECALL = 64, 0.95
 
 
 def _units(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -153,6 +155,21 @@ def walked(x: np.ndarray, links: np.ndarray, fine: np.ndarray, asked: np.ndarray
     return np.where(np.isfinite(best), rows, -1), best, seen.sum(axis=1)
 
 
+def wide_enough(x: np.ndarray, links: np.ndarray, fine: np.ndarray, asked: np.ndarray, k: int, width: int) -> int:
+    """``width``, if walks find ``RECALL`` of what some of the queries should; else one at which rows are compared one by one.
+
+    The queries tried are ``TRIED`` at most and are compared with all rows that pass.
+    """
+    passing = np.flatnonzero(fine)
+    tried = asked[np.unique(np.linspace(0, len(asked) - 1, min(len(asked), TRIED)).astype(np.int64))]
+    width = max(width, k)
+    if len(passing) <= max(4 * width, len(x) // 4):
+        return width
+    last = np.partition(tried @ x[passing].T, -k, axis=1)[:, -k]
+    found = (walked(x, links, fine, tried, k, width)[1] >= last[:, None] - 1e-9).mean()
+    return width if found >= RECALL else len(x)
+
+
 @dataclass(frozen=True)
 class GraphIndex:
     """One row for each id: shard, unit (its vector of length 1), links (ids), and all other columns in ``about``."""
@@ -199,8 +216,9 @@ def search(index: GraphIndex, queries: DataFrame, k: int, where: Column | None =
     """(query, id, score, rank, seen): about the k rows of largest cosine that pass ``where``.
 
     ``queries`` has query and vec; ``where`` is a predicate over the bank's columns but
-    the vector, which a null fails. ``width`` is how many answers a walk keeps: more find
-    more and see more. ``seen`` counts the rows of all shards a query was compared
+    the vector, which a null fails. ``width`` is how many answers a walk keeps at
+    least: more find more and see more, and where some tried queries find too little in a
+    shard, its rows are compared one by one. ``seen`` counts the rows of all shards a query was compared
     with. Without ``itself``, the row whose id is the query's is no answer. Queries
     whose vector is null, zero or of another length find nothing.
     """
@@ -223,8 +241,9 @@ def search(index: GraphIndex, queries: DataFrame, k: int, where: Column | None =
             asked, names = _units(right.column("ask"), size), right.column("query").to_numpy()
             some = asked.any(axis=1)
             asked, names = asked[some], names[some]
+            wide = wide_enough(x, links, fine, asked, k + more, width) if len(names) else width
             for a in range(0, len(names), WALKERS):
-                rows, scores, seen = walked(x, links, fine, asked[a : a + WALKERS], k + more, width)
+                rows, scores, seen = walked(x, links, fine, asked[a : a + WALKERS], k + more, wide)
                 q, c = np.nonzero(rows >= 0)
                 for held, new in zip(out, (names[a + q], ids[rows[q, c]], scores[q, c], seen[q]), strict=True):
                     held.extend(new.tolist())
