@@ -178,6 +178,14 @@ def test_substring_through_hot_anchors(spark, monkeypatch, shard):
     assert got == brute.substring(made)
 
 
+def test_a_segment_meets_all_its_ranges_in_one_row(spark):
+    """Three places of a segment with 40 ranges are three rows with 40 hits each, not 120 rows."""
+    segments = spark.createDataFrame([(1, 11, at, 60, 7, 8, 9) for at in (0, 100, 200)] + [(2, 12, 5, 60, 7, 8, 9)], substring.SEGMENTS)
+    earlier = spark.createDataFrame([(7, 8, 9, 1, 2 * k, 1) for k in range(40)], "anchor long, seg_a long, seg_b long, doc_id long, from long, n long")
+    found = substring._own_hits(segments, earlier).collect()
+    assert sorted((r["doc_id"], r["text_id"], sorted(tuple(h) for h in r["hits"])) for r in found) == [(1, 11, [(at + 2 * k, 1) for k in range(40)]) for at in (0, 100, 200)]
+
+
 @pytest.mark.parametrize("window", [5, 63, 64, 130])
 def test_substring_of_other_windows(spark, window):
     rng = np.random.default_rng(window)

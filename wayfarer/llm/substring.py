@@ -34,6 +34,8 @@ from wayfarer.llm.words import Words, sliding_hash, word_chunks
 GRAM = 8
 #: Words of a shard on average. An anchor with more of them is split.
 SHARD_WORDS = 200_000
+#: A run that very many segments have meets its first document in so many groups.
+RUN_SALTS = 64
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -217,6 +219,18 @@ def _earlier(window: int):
     return shard
 
 
+def _own_hits(segments: DataFrame, earlier: DataFrame) -> DataFrame:
+    """One row for each segment of its first document that has earlier windows, with all of these.
+
+    A segment's ranges meet in an array before the join, so however many ranges it has
+    and however often its document repeats it, the join makes no more rows than it reads.
+    """
+    key = ["anchor", "seg_a", "seg_b", "doc_id"]
+    ranges = earlier.groupBy(key).agg(F.collect_list(F.struct("from", "n")).alias("ranges"))
+    moved = F.transform("ranges", lambda r: F.struct((F.col("at") + r["from"]).alias("at"), r["n"].alias("n")))
+    return segments.drop("n").join(ranges, key).select("doc_id", "text_id", moved.alias("hits"))
+
+
 SPANS = "doc_id long, text_id long, n_removed long, sha256 string, spans array<struct<start:long,end:long>>"
 
 
@@ -313,7 +327,10 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     cool = cut.where("not hot").select("anchor", F.lit(0).alias("part"), "seg_a", "seg_b", "doc_id", F.lit(0).cast("long").alias("skip"), F.lit(None).cast("long").alias("n"), F.col("seg_a").alias("run_a"), F.col("seg_b").alias("run_b"), "text")
     split = staged(split, "runs")
     run_key = ["anchor", "part", "run_a", "run_b"]
-    merged = split.groupBy(run_key).agg(F.min(F.struct("doc_id", "text")).alias("o")).select(*run_key, "o.*")
+    # Very many segments may have one run, so its first document is found, and given back, by salts.
+    split = split.withColumn("salt", F.pmod(F.xxhash64("seg_a", "seg_b"), F.lit(RUN_SALTS)))
+    salted = split.groupBy(*run_key, "salt").agg(F.min(F.struct("doc_id", "text")).alias("o"))
+    merged = salted.groupBy(run_key).agg(F.min("o").alias("o")).select(*run_key, "o.*")
     runs = staged(cool.select(*run_key, "doc_id", "text").union(merged), "distinct")
     amount = runs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + amount // (6 * SHARD_WORDS)
@@ -321,14 +338,14 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
 
     # (segment, its first document): windows that an earlier document has.
     of_cool = found.join(cool.drop("text", "n"), run_key).select(*key, "doc_id", F.col("place").alias("from"), "n")
-    owners = split.drop("text").join(merged.select(*run_key, F.col("doc_id").alias("owner")), run_key)
+    owner = salted.select(*run_key, "salt").join(merged.select(*run_key, F.col("doc_id").alias("owner")), run_key)
+    owners = split.drop("text").join(owner, [*run_key, "salt"])
     of_hot = owners.where("doc_id = owner").drop("n").join(found, run_key).select(*key, "doc_id", (F.col("skip") + F.col("place")).alias("from"), "n")
     of_copies = owners.where("doc_id > owner").select(*key, "doc_id", F.col("skip").alias("from"), "n")
     earlier = of_cool.union(of_hot).union(of_copies)
 
-    later = segments.join(firsts.select(*key, F.col("doc_id").alias("least")), key).where("doc_id > least").select("doc_id", "text_id", "at", "n")
-    single = segments.drop("n").join(earlier, [*key, "doc_id"]).select("doc_id", "text_id", (F.col("at") + F.col("from")).alias("at"), "n")
-    hits = later.union(single).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
+    later = segments.join(firsts.select(*key, F.col("doc_id").alias("least")), key).where("doc_id > least").select("doc_id", "text_id", F.array(F.struct("at", "n")).alias("hits"))
+    hits = later.union(_own_hits(segments, earlier)).groupBy("doc_id", "text_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     part = held.select("doc_id", "text_id", "text").join(hits, ["doc_id", "text_id"]).mapInArrow(_apply(window), SPANS)
     gone = F.col("gone").isNotNull()
     nothing = F.array().cast("array<struct<start:long,end:long>>")
