@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import arrays, dates, text, vectors
 from wayfarer.operators import career, merge, ranking, resume, skills
+from wayfarer.plans import enriched
 from wayfarer.sources import files, shared
 from wayfarer.streaming import log_table, views
 
@@ -296,6 +297,28 @@ def test_resume_sections(spark, html, want):
     assert (got["summary"], got["additional_info"], got["education"], got["skills"]) == want
 
 
+def test_resume_pages_are_read_alike_as_tokens_and_by_the_parser(spark, monkeypatch):
+    plain = '<DIV CLASS="section" ID="SECTION_SKLL1"><ul><li>a &amp; b<br/>c</li><li>d&nbsp;e</ul></div></p>tail &am'
+    odd = ["<!-- x -->" + plain, plain + "<script>'<p>'</script>", "<p class=a>" + plain, plain + "<", "a < b" + plain, '<p class="a&amp;b">' + plain]
+    token, fed = resume._TOKEN, []
+    feed = resume._Tree.feed
+    monkeypatch.setattr(resume._Tree, "feed", lambda self, x: (fed.append(x), feed(self, x))[1])
+    got = [resume._sections(h) for h in [plain, *odd]]
+    assert fed == odd
+    monkeypatch.setattr(resume, "_TOKEN", resume.re.compile("()()()()()(.?)", resume.re.DOTALL))
+    assert got == [resume._sections(h) for h in [plain, *odd]] and len(fed) == len(odd) + len([plain, *odd])
+    assert got[0][0]["chunks"] == ["a & b\nc", "d\xa0e"] and token.groups == 6
+
+
+def test_resumes_are_read_by_all_cores(spark, sf_dir, monkeypatch):
+    """Customers of one row group come in one task; their pages don't stay there."""
+    seen = []
+    monkeypatch.setattr(enriched.resume, "parsed", lambda pages, key, html: (seen.append(pages), pages.select(key, F.array().alias("skills")))[1])
+    enriched.resumes_parsed(spark, sf_dir)
+    held = [r["n"] for r in seen[0].groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(held) >= 2 * spark.sparkContext.defaultParallelism and max(held) <= sum(held) / 4
+
+
 def test_highlights_may_leave_skills_alone(spark):
     df = spark.createDataFrame([(1, RESUME.format("Highlights"))], "id long, html string")
     assert resume.parsed(df, "id", "html", highlights_add_skills=False).first()["skills"] == []

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -84,12 +85,40 @@ class _Tree(HTMLParser):
         self.open[-1].parts.append(data)
 
 
+# An end tag, a start tag whose attributes are all quoted and hold no reference, or a text; anything else is odd.
+# Elements whose content is not markup are odd, too.
+_TOKEN = re.compile(
+    r"</([a-z][a-z0-9]*)[ \t\n\r\f]*>"
+    r"|<(?!script|style|textarea|title|iframe|noembed|noframes|noscript|xmp|plaintext|svg|math)([a-z][a-z0-9]*)"
+    r"""((?:[ \t\n\r\f]+[a-z][a-z0-9_:-]*="[^"<>&]*")*)[ \t\n\r\f]*(/?)>"""
+    r"|([^<]+)|(<)",
+    re.ASCII | re.IGNORECASE,
+)
+_ATTRIBUTE = re.compile(r'([a-z][a-z0-9_:-]*)="([^"]*)"', re.ASCII | re.IGNORECASE)
+
+
+def _tree(html: str) -> _Node:
+    """The root of a page. Plain pages are cut into tokens at once; the parser reads those with anything odd."""
+    tree, tokens = _Tree(), _TOKEN.findall(html)
+    if any(t[5] for t in tokens):
+        tree.feed(html)
+        tree.close()
+        return tree.root
+    for end, start, attrs, closed, text, _ in tokens:
+        if text:
+            tree.handle_data(unescape(text) if "&" in text else text)
+        elif start:
+            tree.handle_starttag(start.lower(), [(k.lower(), v) for k, v in _ATTRIBUTE.findall(attrs)] if attrs else [])
+            if closed:
+                tree.handle_endtag(start.lower())
+        else:
+            tree.handle_endtag(end.lower())
+    return tree.root
+
+
 def _sections(html: str) -> list[dict]:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
     found = []
-    for section in tree.root.below():
+    for section in _tree(html).below():
         if section.tag != "div" or "section" not in section.classes:
             continue
         inner = [n for n in section.below() if n.tag == "div"]
@@ -110,7 +139,11 @@ SECTIONS = "array<struct<heading:string,prefix:string,text:string,chunks:array<s
 
 
 def sections(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, sections) of each row; null and empty pages have none."""
+    """(key, sections) of each row; null and empty pages have none.
+
+    Pages are read in the partitions that they come in. Reading is the work here, so
+    rows of few files or row groups are to be dealt out before.
+    """
     kind = pa.list_(pa.struct([("heading", pa.string()), ("prefix", pa.string()), ("text", pa.string()), ("chunks", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
