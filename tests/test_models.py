@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfarer.operators import ranking, recurrent, sketches, training
+from wayfarer.plans.vectors import careers_encoded
 
 
 def plain(w: dict, steps: list, summary, skills, cell: str) -> np.ndarray:
@@ -68,6 +69,30 @@ def test_same_vectors_as_step_by_step(spark, monkeypatch, cell, beside):
     assert recurrent.encoded(df.where("id < 0"), model, cell).count() == 0
 
 
+def test_steps_are_read_flat():
+    kind = pa.list_(pa.struct([("months", pa.float64()), ("vec", pa.list_(pa.float32())), ("industry", pa.int32())]))
+    made = [[(1.0, [9.0, 9.0], 1)], None, [(None, [0.5, None], None), (2.0, [1.0, -1.0], 7)], [], [(3.0, [2.0, 4.0], 2)], [(4.0, [9.0, 9.0], 0)]]
+    column = pa.array([h and [dict(zip(("months", "vec", "industry"), s, strict=True)) for s in h] for h in made], kind)
+    vec, months, industry = recurrent._steps(column.slice(1, 4), 2, 3)
+    assert np.array_equal(vec, [[0.5, np.nan], [1, -1], [2, 4]], equal_nan=True) and vec.dtype == np.float64
+    assert months.tolist() == [0, 2, 3] and industry.tolist() == [0, 0, 2]
+    for bad in (None, [1.0], [1.0, 2.0, 3.0]):
+        with pytest.raises(ValueError, match="vector"):
+            recurrent._steps(pa.array([[{"months": 1.0, "vec": [1.0, 2.0], "industry": 0}, {"months": 1.0, "vec": bad, "industry": 0}]], kind), 2, 3)
+    assert recurrent._matrix(pa.array([None, [1.0, 2.0], None]), 2).tolist() == [[0, 0], [1, 2], [0, 0]]
+
+
+def test_careers_are_dealt_before_they_meet_their_vectors(spark, sf_dir, monkeypatch):
+    """Orders without vectors are shuffled once, by customer; vectors stay floats."""
+    seen = []
+    encoded = recurrent.encoded
+    monkeypatch.setattr(recurrent, "encoded", lambda h, w: (seen.append(h), encoded(h, w))[1])
+    careers_encoded(spark, sf_dir)
+    assert "vec:array<float>" in seen[0].schema.simpleString()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 def test_no_step_is_padded(monkeypatch):
     """One long history beside many short ones costs its own steps and no more."""
     seen = []

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 Weights = dict[str, np.ndarray]
@@ -141,18 +142,36 @@ STEP = "struct<vec:array<double>,months:double,industry:int>"
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column; null ones are zero."""
-    return np.array([v if v is not None else [0.0] * width for v in column.to_pylist()], np.float64).reshape(len(column), width)
+    """Rows of a list column, read flat; null ones are zero."""
+    out, known = np.zeros((len(column), width)), column.is_valid().to_numpy(zero_copy_only=False)
+    out[known] = _flat(column.filter(pa.array(known)), width)
+    return out
+
+
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column without nulls; null elements are not numbers."""
+    if not pc.all(pc.fill_null(pc.equal(pc.list_value_length(column), width), False), min_count=0).as_py():
+        raise ValueError(f"a vector is null or has not {width} elements")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
+def _steps(column: pa.Array, width: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, months and industries of all steps, one history after another; no step becomes a Python object."""
+    flat = column.flatten()
+    vec, months, industry = (flat.flatten()[flat.type.get_field_index(name)] for name in ("vec", "months", "industry"))
+    known = pc.and_(pc.greater_equal(industry, 0), pc.less(industry, kinds))
+    industry = pc.if_else(pc.fill_null(known, False), industry, 0)
+    return _flat(vec, width), pc.fill_null(months, 0).to_numpy(zero_copy_only=False).astype(np.float64), industry.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def encoded(histories: DataFrame, weights: DataFrame, cell: str = "gru") -> DataFrame:
     """(id, vec): the vector of each history.
 
     ``histories`` has id, steps (array of vec, months and industry, in order), summary
-    and skills (arrays, null for none). Null months count as 0, a null or unknown
-    industry as the first. A null or empty history is encoded from what stands beside
-    it. A history is one row, so its length is bounded by what a task holds; histories
-    are scanned some thousands of steps at a time.
+    and skills (arrays, null for none); vectors are of floats or doubles. Null months
+    count as 0, a null or unknown industry as the first. A null or empty history is
+    encoded from what stands beside it. A history is one row, so its length is bounded
+    by what a task holds; histories are scanned some thousands of steps at a time.
     """
     w = held(weights)
     width = w["forward_input"].shape[1] - 1 - len(w["months"]) - (len(w["industry"]) if "industry" in w else 0)
@@ -161,18 +180,16 @@ def encoded(histories: DataFrame, weights: DataFrame, cell: str = "gru") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(s) if s is not None else 0 for s in batch.column("steps").to_pylist()], np.int64)
+            sizes = pc.fill_null(pc.list_value_length(batch.column("steps")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends, a = np.cumsum(sizes), 0
             while a < len(sizes):
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEPS, "right")))
                 part = batch.slice(a, b - a)
-                flat = [s for h in part.column("steps").to_pylist() for s in h or []]
-                steps = np.array([s["vec"] for s in flat], np.float64).reshape(len(flat), width)
-                months = np.array([s["months"] or 0.0 for s in flat], np.float64)
-                industry = np.array([s["industry"] if s["industry"] is not None and 0 <= s["industry"] < kinds else 0 for s in flat], np.int64)
+                steps, months, industry = _steps(part.column("steps"), width, kinds)
                 summary, skills = (_matrix(part.column(name), beside[name]) if beside[name] else np.zeros((b - a, 0)) for name in ("summary", "skills"))
                 vec = forward(w, steps, months, industry, sizes[a:b], summary, skills, cell)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(vec.tolist(), pa.list_(pa.float64()))], names=["id", "vec"])
+                bounds = np.arange(0, vec.size + 1, vec.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(bounds, pa.array(vec.ravel()))], names=["id", "vec"])
                 a = b
 
     return histories.select("id", "steps", "summary", "skills").mapInArrow(run, f"id {dict(histories.dtypes)['id']}, vec array<double>")

@@ -169,9 +169,14 @@ def careers_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders as histories, in order, encoded by a seeded recurrent model; weights are beyond SQL."""
     vecs = _vectors(spark, sf_dir)
     width = vecs.select(F.size("vec").alias("n")).first()["n"]
-    rows = table(spark, sf_dir, "orders").join(vecs, F.col("id") == F.col("o_orderkey") % vecs.count())
-    step = F.struct(F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.log1p(F.col("o_totalprice") / 10_000).alias("months"), (F.col("label") % 5).alias("industry"))
-    lists = rows.groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", step.alias("s")))), lambda x: x["s"]).alias("steps"))
+    n = vecs.count()
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    # With few vectors the narrow rows are dealt by their history, and no vector is shuffled.
+    if n <= min(20_000, ranking.BROADCAST_BYTES // (8 * width)):
+        orders, vecs = orders.repartition(4 * spark.sparkContext.defaultParallelism, "o_custkey"), F.broadcast(vecs)
+    rows = orders.join(vecs, F.col("id") == F.col("o_orderkey") % n)
+    step = F.struct("vec", F.log1p(F.col("o_totalprice") / 10_000).alias("months"), (F.col("label") % 5).alias("industry"))
+    lists = rows.groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", step.alias("s")))), lambda x: x["s"]).alias("steps"))
     none = F.lit(None).cast("array<double>")
     model = recurrent.as_table(spark, recurrent.drawn_weights(width, 24, 16, seed=3, industries=5, industry=3))
     return recurrent.encoded(lists.select("id", "steps", none.alias("summary"), none.alias("skills")), model).select("id", F.posexplode("vec").alias("place", "x"))
