@@ -4,12 +4,15 @@ import datetime
 from collections import Counter
 from pathlib import Path
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wayfarer.functions import arrays, dates, text, vectors
 from wayfarer.operators import career, merge, ranking, resume, skills
-from wayfarer.plans import enriched
+from wayfarer.plans import catalogue, enriched
 from wayfarer.sources import files, shared
 from wayfarer.streaming import log_table, views
 
@@ -104,6 +107,52 @@ def test_against_bank_in_blocks(spark):
     assert rows(20_000) == {q: (a, t, x.expected) for q, (a, t, x) in rows(6).items()}
 
 
+@pytest.mark.parametrize(("own", "mask", "longest"), [(lambda i: (i + 1) % 90, 0.6, 1.0), (lambda i: 7, 0.2, 1.0), (lambda i: i * 7 % 90, -0.5, 1.0), (lambda i: i * 3, 0.6, 1.0), (lambda i: (i + 1) % 90, 30.0, 9.0)])
+def test_masked_losses_in_blocks(spark, own, mask, longest):
+    """Few and many masked rows, true rows near, shared or not there, and exponents beyond a double's range."""
+    v = np.random.default_rng(5).normal(size=(90, 4))
+    v *= longest / np.linalg.norm(v, axis=1)[:, None]
+    bank = spark.createDataFrame([(i, x.tolist(), own(i)) for i, x in enumerate(v)], "id long, vec array<double>, own long")
+    want = {r["query"]: pytest.approx(r["loss"]) for r in ranking.against_bank(bank.withColumnRenamed("id", "query"), bank.select("id", "vec"), 90, 0.05, mask).collect()}
+    for most in (2_000, 40):
+        assert {r["query"]: r["loss"] for r in ranking.masked_losses(bank, 0.05, mask, most).collect()} == want
+
+
+def test_masked_losses_make_each_product_once(monkeypatch):
+    """Of two blocks, a product serves the row that asks, the one asked, and the masks of both: not four are made."""
+    n = 2 * ranking.MET
+    v = np.random.default_rng(5).normal(size=(2 * n, 8))
+    made = []
+
+    def counted(a, b, out):
+        made.append(len(a) * b.shape[1])
+        return np.dot(a, b, out=out)
+
+    def block(ids):
+        own, kinds = (ids + 1) % (2 * n), pa.list_(pa.float64())
+        far = [None if o in ids else v[o].tolist() for o in own]
+        return pa.table({"id": ids, "vec": pa.array(v[ids].tolist(), kinds), "own": own, "far": pa.array(far, kinds)})
+
+    monkeypatch.setattr(np, "matmul", counted)
+    found = ranking._masked(block(np.arange(n)), block(np.arange(n, 2 * n)), 0.5, 0.6)
+    monkeypatch.undo()
+    rest = np.where(np.roll(v, -1, axis=0) @ v.T <= 0.6, np.exp(v @ v.T / 0.5), 0.0)
+    rest[np.arange(2 * n), (np.arange(2 * n) + 1) % (2 * n)] = 0.0
+    assert found.column("rest").to_numpy() == pytest.approx(np.append(rest[:n, n:].sum(axis=1), rest[n:, :n].sum(axis=1)))
+    assert sum(made) < 1.1 * n * n
+
+
+def test_masked_contrastive_loss_without_vectors(spark, tmp_path):
+    """Rows without a vector or an id, as SQL takes them."""
+    rows = [(i if i != 17 else None, None if i in (3, 9, 10) else [float(i % 5) / 4, float(i % 3) / 2, 0.5], i % 4) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = dict(con.execute(catalogue.SQL["masked_contrastive_loss"]).fetchall())
+    got = {r["query"]: r["loss"] for r in catalogue.QUERIES["masked_contrastive_loss"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(x is None for x in want.values()) == 5
+
+
 def test_arrays(spark):
     a, b = F.array(F.lit("SQL"), F.lit(" "), F.lit(None)), F.array(F.lit("sql"), F.lit("Go "))
     assert one(spark, arrays.merged_ignoring_case(a, b)) == ["SQL", "Go"]

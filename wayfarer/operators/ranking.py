@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +147,8 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, bank_rows: int, most: i
 
 #: Queries and rows of the bank that are multiplied at once; their products stay in a core's cache.
 ASKED, AGAINST = 256, 2048
+#: Rows of either side whose products are read several times, and for both sides.
+MET = 512
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -263,12 +266,17 @@ def against_bank(queries: DataFrame, bank: DataFrame, rows: int, temperature: fl
     left = bank.select("id", "vec", place("id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("t"))
     right = known.select("query", "ask", "own", "own_vec", place("query", turns).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     found = left.groupBy("b", "t").cogroup(right.groupBy("b", "t")).applyInArrow(block, "query long, above long, ties long, top double, rest double, true double")
+    return _summed(found, "above", "ties")
+
+
+def _summed(found: DataFrame, *counts: str) -> DataFrame:
+    """(query, counts, loss) of (query, counts, top, rest, true) by block; a block's wrong rows are ``rest`` times exp(``top``)."""
     # The true row counts once beside the wrong ones of all blocks.
     parts = F.collect_list(F.struct("top", "rest"))
-    whole = found.groupBy("query").agg(F.sum("above").alias("above"), F.sum("ties").alias("ties"), F.first("true").alias("true"), F.max("top").alias("most"), parts.alias("parts"))
+    whole = found.groupBy("query").agg(*[F.sum(c).alias(c) for c in counts], F.first("true").alias("true"), F.max("top").alias("most"), parts.alias("parts"))
     high = F.greatest("most", "true")
     total = F.aggregate("parts", F.exp(F.col("true") - high), lambda s, p: s + p["rest"] * F.exp(p["top"] - high))
-    return whole.select("query", "above", "ties", (high + F.log(total) - F.col("true")).alias("loss"))
+    return whole.select("query", *counts, (high + F.log(total) - F.col("true")).alias("loss"))
 
 
 def drawn(bank: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
@@ -382,6 +390,152 @@ def _block_scores(table: pa.Table, first: int, second: int) -> Iterator[tuple[np
             yield u, v, scores
 
 
+#: Places in a matrix: (rows, columns), or a matrix of booleans.
+Places = tuple[np.ndarray, np.ndarray] | np.ndarray
+
+
+class _Stretch:
+    """Some rows of a block, and after them those of their true rows that aren't among them."""
+
+    def __init__(self, block: np.ndarray, place: np.ndarray, ids: np.ndarray, own: np.ndarray, first: int) -> None:
+        at = place[first : first + MET]
+        n, last = len(at), first + len(at)
+        inside = (at >= first) & (at < last)
+        more = np.unique(at[~inside])
+        # By eights, so that a row of marks can be searched by eights.
+        rows = np.concatenate([np.arange(first, last), more, np.zeros(-(n + len(more)) % 8, np.int64)])
+        self.at, self.n, self.matrix, self.ids, self.own = slice(first, last), n, block[rows], ids[first:last], own[first:last]
+        self.span = self.own.min(), self.own.max()
+        #: Where in the matrix the true row of each lies, and whose true row each of the matrix is.
+        self.place = np.where(inside, at - first, n + np.searchsorted(more, at))
+        self.count = np.bincount(self.place, minlength=len(rows))
+        self.start, self.order = np.cumsum(self.count) - self.count, np.argsort(self.place, kind="stable")
+
+    def not_wrong(self, marks: np.ndarray, true: np.ndarray, other: np.ndarray, t: _Stretch) -> Places:
+        """Places of rows here and rows of ``t`` that are their true row or too like it.
+
+        (``true``, ``other``) are those of ``marks``, whose rows are this matrix's; where
+        they are many, ``marks`` is read instead.
+        """
+        row = own = np.zeros(0, np.int64)
+        if self.span[0] <= t.ids[-1] and self.span[1] >= t.ids[0]:
+            own = np.minimum(np.searchsorted(t.ids, self.own), t.n - 1)
+            row = np.flatnonzero(t.ids[own] == self.own)
+            own = own[row]
+        if len(true) > marks.size // 32:
+            found = marks[self.place, : t.n]
+            found[row, own] = True
+            return found
+        n = self.count[true]
+        n[other >= t.n] = 0
+        end = np.cumsum(n)
+        first = np.repeat(self.start[true] - end + n, n)
+        return np.append(self.order[first + np.arange(len(first))], row), np.append(np.repeat(other, n), own)
+
+
+class _Side:
+    """A block's rows by id, with the sums over wrong rows: ``rest`` times exp(``top``)."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.sort_by("id")
+        ids, own, far = table.column("id").to_numpy(), table.column("own"), table.column("far")
+        asked, away = own.is_valid().to_numpy(), far.is_valid().to_numpy()
+        own = pc.coalesce(own, table.column("id")).to_numpy()
+        matrix = _matrix(table.column("vec"))
+        block = np.concatenate([matrix, _matrix(far.drop_null())]) if away.any() else matrix
+        place = np.where(away, len(ids) + np.cumsum(away) - 1, np.searchsorted(ids, own))
+        self.ids, self.asked, self.true = ids, asked, np.einsum("ij,ij->i", matrix, block[place])
+        self.top, self.rest = np.full(len(ids), -np.inf), np.zeros(len(ids))
+        self.longest = np.linalg.norm(block, axis=1).max(initial=0)
+        self.stretches = [_Stretch(block, place, ids, own, a) for a in range(0, len(ids), MET)]
+
+    def add(self, at: slice, z: np.ndarray, but: Places, plain: bool) -> None:
+        """Add exponentials to the sums of some rows, ``but`` for some places; ``plain``: they are taken already."""
+        held = z[but]
+        z[but] = 0.0 if plain else -np.inf
+        if plain:
+            self.rest[at] += z.sum(axis=1)
+        else:
+            top = np.maximum(self.top[at], z.max(axis=1))
+            fine = np.where(np.isfinite(top), top, 0.0)
+            self.rest[at] = self.rest[at] * np.exp(self.top[at] - fine) + np.exp(z - fine[:, None]).sum(axis=1)
+            self.top[at] = top
+        z[but] = held
+
+    def found(self, temperature: float, plain: bool) -> pa.Table:
+        true = self.true / temperature
+        top = np.zeros(len(true)) if plain else np.where(np.isfinite(self.top), self.top, true)
+        return pa.table({"query": self.ids, "top": top, "rest": self.rest, "true": true}).filter(pa.array(self.asked))
+
+
+#: Exponents up to this need no largest one taken off: neither they nor sums of them leave a double's range.
+PLAIN = 600.0
+
+
+def _masked(left: pa.Table, right: pa.Table | None, temperature: float, mask: float) -> pa.Table:
+    """(query, top, rest, true) of two blocks' rows, each against the other block; of one block against itself.
+
+    A product and its exponential serve both rows, and a row that is a query and the
+    true one of another in the same stretch is multiplied once.
+    """
+    one = _Side(left)
+    two = one if right is None else _Side(right)
+    plain = bool(one.longest * two.longest <= PLAIN * temperature)
+    held = np.empty(max((len(s.matrix) for s in one.stretches), default=0) * max((len(t.matrix) for t in two.stretches), default=0))
+    for s in one.stretches:
+        for t in two.stretches:
+            shape = len(s.matrix), len(t.matrix)
+            scores = np.matmul(s.matrix, t.matrix.T, out=held[: shape[0] * shape[1]].reshape(shape))
+            marks = ~(scores <= mask)
+            eights = np.flatnonzero(marks.view(np.int64))
+            row, col = np.nonzero(marks.reshape(-1, 8)[eights])
+            row, col = np.divmod(eights[row] * 8 + col, shape[1])
+            z = scores[: s.n]
+            z *= 1 / temperature
+            if plain:
+                np.exp(z, out=z)
+            z = z[:, : t.n]
+            one.add(s.at, z, s.not_wrong(marks, row, col, t), plain)
+            if right is not None:
+                two.add(t.at, z.T, t.not_wrong(marks.T, col, row, s), plain)
+    sides = [one] if right is None else [one, two]
+    return pa.concat_tables([side.found(temperature, plain) for side in sides])
+
+
+def masked_losses(rows: DataFrame, temperature: float, mask: float, most: int = 2_000) -> DataFrame:
+    """(query, loss): ``against_bank`` with a mask, where the queries are the bank's own rows.
+
+    ``rows`` has id, vec and own, the id of the true row; rows whose own isn't there are
+    no queries. A row without a vector is no wrong one, and a query's loss is null if
+    its own vector or the true row's is. Blocks of about ``most`` rows, or a 24th of the bank
+    where that is more, are ranges of ids, as neighbours are often each other's true
+    rows. Each pair of blocks meets once, for the queries of both: the work is half of
+    the product of both sides.
+    """
+    # Rows without an id are nobody's true row, but wrong ones.
+    rows, count = rows.withColumn("id", F.coalesce("id", F.lit(-(1 << 63)))), rows.count()
+    blocks = max(1, -(-count // max(most, min(LARGEST, count // BLOCKS))))
+    cuts = rows.approxQuantile("id", [k / blocks for k in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    block = lambda c: sum([(F.col(c) >= x).cast("int") for x in cuts], F.lit(0))
+    owns = rows.select(F.col("id").alias("own"), F.col("vec").alias("own_vec"), F.lit(True).alias("there")).dropDuplicates(["own"])
+    known = settled(rows.select("id", "vec", "own").join(owns, "own", "left").withColumn("b", block("id")), "known")
+    bare = F.col("vec").isNull() | F.col("own_vec").isNull()
+    own, far = F.when(F.col("own_vec").isNotNull(), F.col("own")), F.when(block("own") != F.col("b"), F.col("own_vec"))
+    placed = known.where("vec is not null").select("id", "vec", own.alias("own"), far.alias("far"), "b").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = placed.select("id", "vec", "own", "far", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        sides = [table.filter(pc.equal(table.column("b"), b)) for b in (i, j)]
+        return _masked(sides[0], None if i == j else sides[1], temperature, mask)
+
+    # Tasks of some seconds, that aren't merged by their bytes, of which their work is the square.
+    tasks = min(blocks * (blocks + 1) // 2, max(2 * rows.sparkSession.sparkContext.defaultParallelism, count * count >> 31))
+    found = met.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(run, "query long, top double, rest double, true double")
+    none = known.where(F.col("there") & bare).select(F.col("id").alias("query"), F.lit(None).cast("double").alias("loss"))
+    return _summed(found).unionByName(none)
+
+
 def similarity_histogram(bank: DataFrame, thresholds: list[float], most: int = 2_000) -> DataFrame:
     """(threshold, n, percent): pairs of different rows above each threshold.
 

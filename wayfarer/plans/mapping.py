@@ -111,8 +111,8 @@ def masked_contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the bank too like the true one don't count as wrong."""
     rows = _vectors(spark, sf_dir)
     n = rows.count()
-    asked = rows.select(F.col("id").alias("query"), "vec", ((F.col("id") + 1) % n).alias("own"))
-    return ranking.against_bank(asked, rows.select("id", "vec"), n, 0.05, mask=0.6).select("query", F.round("loss", 4).alias("loss"))
+    asked = rows.select("id", "vec", ((F.col("id") + 1) % n).alias("own"))
+    return ranking.masked_losses(asked, 0.05, 0.6).select("query", F.round("loss", 4).alias("loss"))
 
 
 @query(f"WITH {_E} SELECT a.label, round(1 - avg(list_cosine_similarity(a.v, b.v)), 6) AS loss FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")
